@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm.common import table
+from corbel.llm.pieces import op6_pieces
 from corbel.llm.quality import op9_quality
+from corbel.llm.tokens import op3_tokens
+
+#: The vocabulary file of the token queries, among the public tokenizers.
+PIECES = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """Where the machine keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_tokens": lambda s, d: op3_tokens(table(s, d, "documents"), tokenizer(PIECES)),
+        "op6_pieces": lambda s, d: op6_pieces(table(s, d, "documents"), tokenizer(PIECES)),
         "op9_quality": lambda s, d: op9_quality(table(s, d, "documents"), table(s, d, "labels")),
     }
 
