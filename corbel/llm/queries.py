@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corbel.llm.common import table
 from corbel.llm.pieces import op6_pieces
 from corbel.llm.quality import op9_quality
+from corbel.llm.simhash import op4_simhash
 from corbel.llm.tokens import op3_tokens
 from corbel.llm.toxicity import op5_toxicity
 
@@ -28,6 +29,7 @@ def tokenizer(name: str) -> str:
 def queries() -> dict[str, Query]:
     return {
         "op3_tokens": lambda s, d: op3_tokens(table(s, d, "documents"), tokenizer(PIECES)),
+        "op4_simhash": lambda s, d: op4_simhash(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op6_pieces": lambda s, d: op6_pieces(table(s, d, "documents"), tokenizer(PIECES)),
         "op9_quality": lambda s, d: op9_quality(table(s, d, "documents"), table(s, d, "labels")),
