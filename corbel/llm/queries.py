@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm.common import table
+from corbel.llm.mixing import op10_mixing
 from corbel.llm.pieces import op6_pieces
 from corbel.llm.quality import op9_quality
 from corbel.llm.simhash import op4_simhash
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op6_pieces": lambda s, d: op6_pieces(table(s, d, "documents"), tokenizer(PIECES)),
         "op9_quality": lambda s, d: op9_quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op10_mixing": lambda s, d: op10_mixing(table(s, d, "documents")),
     }
 
 
