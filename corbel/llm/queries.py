@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corbel.llm.chunks import op1_chunks
 from corbel.llm.common import table
 from corbel.llm.mixing import op10_mixing
 from corbel.llm.pieces import op6_pieces
@@ -29,6 +30,7 @@ def tokenizer(name: str) -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chunks": lambda s, d: op1_chunks(table(s, d, "documents")),
         "op3_tokens": lambda s, d: op3_tokens(table(s, d, "documents"), tokenizer(PIECES)),
         "op4_simhash": lambda s, d: op4_simhash(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
