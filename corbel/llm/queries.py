@@ -14,6 +14,7 @@ from corbel.llm.quality import op9_quality
 from corbel.llm.simhash import op4_simhash
 from corbel.llm.tokens import op3_tokens
 from corbel.llm.toxicity import op5_toxicity
+from corbel.llm.vectors import op8_neighbours
 
 #: The vocabulary file of the token queries, among the public tokenizers.
 PIECES = "piece_bpe_32k.model"
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash": lambda s, d: op4_simhash(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op6_pieces": lambda s, d: op6_pieces(table(s, d, "documents"), tokenizer(PIECES)),
+        "op8_neighbours": lambda s, d: op8_neighbours(table(s, d, "embeddings")),
         "op9_quality": lambda s, d: op9_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op10_mixing": lambda s, d: op10_mixing(table(s, d, "documents")),
     }
