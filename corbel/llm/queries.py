@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm.chunks import op1_chunks
 from corbel.llm.common import table
+from corbel.llm.imatch import op7_imatch
 from corbel.llm.mixing import op10_mixing
 from corbel.llm.pieces import op6_pieces
 from corbel.llm.quality import op9_quality
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash": lambda s, d: op4_simhash(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op6_pieces": lambda s, d: op6_pieces(table(s, d, "documents"), tokenizer(PIECES)),
+        "op7_imatch": lambda s, d: op7_imatch(table(s, d, "documents")),
         "op8_neighbours": lambda s, d: op8_neighbours(table(s, d, "embeddings")),
         "op9_quality": lambda s, d: op9_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op10_mixing": lambda s, d: op10_mixing(table(s, d, "documents")),
