@@ -13,6 +13,7 @@ from corbel.llm.mixing import op10_mixing
 from corbel.llm.pieces import op6_pieces
 from corbel.llm.quality import op9_quality
 from corbel.llm.simhash import op4_simhash
+from corbel.llm.suffixes import op2_suffixes
 from corbel.llm.tokens import op3_tokens
 from corbel.llm.toxicity import op5_toxicity
 from corbel.llm.vectors import op8_neighbours
@@ -33,6 +34,7 @@ def tokenizer(name: str) -> str:
 def queries() -> dict[str, Query]:
     return {
         "op1_chunks": lambda s, d: op1_chunks(table(s, d, "documents")),
+        "op2_suffixes": lambda s, d: op2_suffixes(table(s, d, "documents")),
         "op3_tokens": lambda s, d: op3_tokens(table(s, d, "documents"), tokenizer(PIECES)),
         "op4_simhash": lambda s, d: op4_simhash(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
