@@ -33,27 +33,25 @@ def negated(text: Column, start: Column, end: Column, window: int = 80) -> Colum
     return any_of([around.contains(w) for w in K.NEGATIONS])
 
 
-def spans_by_join(texts: DataFrame, terms: list[str], id_column: str, text_column: str = "text") -> DataFrame:
-    """(id, term, start, end) of all occurrences, overlapping ones too, for a short list of terms, in expressions only."""
-    low = F.lower(text_column)
-    one = lambda t: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(low) - len(t) + 1, F.lit(1))), lambda p: F.substring(low, p, F.lit(len(t))) == t), lambda p: F.struct(F.lit(t).alias("term"), (p - 1).alias("start"), (p - 1 + len(t)).alias("end")))
-    found = F.flatten(F.array(*[F.when(low.contains(t), one(t)).otherwise(F.array().cast("array<struct<term:string,start:int,end:int>>")) for t in terms]))
-    return texts.select(id_column, text_column, F.explode(found).alias("m")).select(id_column, text_column, "m.*")
-
-
 def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str = "text", words: bool = False) -> DataFrame:
-    """(id, term, start, end) of all occurrences of a lexicon's terms in lower-cased texts.
+    """(id, term, start, end) of all occurrences of a lexicon's terms in lower-cased texts, overlapping ones too.
 
-    A lexicon of up to BROADCAST_TERMS terms goes to every task as an automaton;
-    a larger one is joined by term length.  With ``words`` only whole words
-    count, longest first, and spans don't overlap.
+    The lexicon goes to every task as an automaton, BROADCAST_TERMS terms at a
+    time; a larger one takes a pass over the texts for each such part.  With
+    ``words`` only whole words count, longest first, and spans don't overlap;
+    the lexicon must then fit one part.
     """
     distinct = terms.select("term").where("term <> ''").distinct()
-    if distinct.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS and not words:
-        sizes = distinct.groupBy(F.length("term").alias("n")).agg(F.lit(1)).select("n")
-        low = texts.select(id_column, F.lower(text_column).alias("low"))
-        grams = low.join(F.broadcast(sizes.limit(10_000)), F.length("low") >= F.col("n")).select(id_column, F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda p: F.struct(F.substring(F.col("low"), p, F.col("n")).alias("term"), (p - 1).alias("start")))).alias("g"), "n")
-        return grams.select(id_column, "g.term", "g.start", (F.col("g.start") + F.col("n")).alias("end")).join(distinct, "term").select(id_column, "term", "start", "end")
+    parts = -(-distinct.count() // BROADCAST_TERMS)
+    if parts > 1:
+        if words:
+            raise ValueError(f"whole words take a lexicon of {BROADCAST_TERMS} terms at most")
+        parts += 1  # hashed parts are uneven
+        found = [spans(texts, distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k), id_column, text_column) for k in range(parts)]
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
     keys = texts.sparkSession.sparkContext.broadcast(sorted(r[0] for r in distinct.collect()))
     kind = texts.schema[id_column].dataType.simpleString()
 

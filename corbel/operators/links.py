@@ -18,8 +18,8 @@ def label_drug_links(labels: DataFrame, keys: DataFrame, fold_case: bool = True)
     ``labels`` has row_id, spl_set_id and ndcs; ``keys`` is the table of link keys.
     """
     fold = F.lower if fold_case else (lambda c: F.col(c) if isinstance(c, str) else c)
-    by_id = keys.select(fold(F.explode("spl_set_ids")).alias("k"), "rxcui").distinct()
-    by_code = keys.select(ndc11(F.explode("ndc11s")).alias("k"), "rxcui").where("k is not null").distinct()
+    by_id = keys.select(F.explode("spl_set_ids").alias("k"), "rxcui").select(fold("k").alias("k"), "rxcui").distinct()
+    by_code = keys.select(F.explode("ndc11s").alias("k"), "rxcui").select(ndc11("k").alias("k"), "rxcui").where("k is not null").distinct()
     direct = labels.join(by_id, fold(F.trim("spl_set_id")) == by_id.k).select("row_id", "spl_set_id", "rxcui", F.lit("spl_set_id").alias("via")).distinct()
     codes = labels.select("row_id", "spl_set_id", F.explode("ndcs").alias("n"))
     other = codes.join(by_code, ndc11("n") == by_code.k).select("row_id", "spl_set_id", "rxcui", F.lit("ndc11").alias("via")).distinct()

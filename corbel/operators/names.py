@@ -50,5 +50,5 @@ def name_counts(found: DataFrame) -> DataFrame:
 
 def coverage(labels: DataFrame, found: DataFrame) -> DataFrame:
     """How many labels there are, and how many of them have a name."""
-    total, named = labels.agg(F.count_distinct("spl_set_id").alias("labels")), found.agg(F.count_distinct("spl_set_id").alias("named"))
-    return total.join(named).withColumn("coverage", percent("named", "labels"))
+    every = labels.select("spl_set_id", F.lit(None).cast("string").alias("named")).unionByName(found.select("spl_set_id", F.col("spl_set_id").alias("named")))
+    return every.agg(F.count_distinct("spl_set_id").alias("labels"), F.count_distinct("named").alias("named")).withColumn("coverage", percent("named", "labels"))
