@@ -46,5 +46,24 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Every string of 50 bytes as hexadecimal text, and what is left of each document without the later ones.
+_SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, base, substring(h, 2 * base + 1, 898) AS x FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50, 400)) AS base FROM d WHERE length(h) >= 100)),
+w AS (SELECT doc_id, base + j AS i, substring(x, 2 * j + 1, 100) AS s FROM (SELECT doc_id, base, x, unnest(generate_series(0, least(399, length(x) // 2 - 50))) AS j FROM b)),
+m AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s HAVING count(*) > 1),
+c AS (SELECT w.doc_id, i FROM w JOIN m USING (s) WHERE f < w.doc_id),
+g AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM c),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM g),
+p AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY ALL),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM p),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, CAST(count(*) AS BIGINT) AS n_spans, max(b) AS last FROM q GROUP BY 1),
+k AS (SELECT q.doc_id, string_agg(substring(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS pre FROM q JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(pre, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same: models, hashes of 64 bits and random draws have none."""
+    return {"op2_suffixes": _SUFFIXES}
