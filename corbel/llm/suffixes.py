@@ -1,15 +1,15 @@
 """Exact removal of repeated byte strings by merging Burrows-Wheeler transforms.
 
 Every string of ``width`` bytes belongs to the smallest hash of a short gram
-inside it, its anchor, so equal strings meet wherever they stand.  Each task
-(a shard) cuts its documents into fragments, runs of strings with one anchor,
-settles the fragments that it holds more than once by itself, and sends one
-copy of each to the bucket of its anchor.  A bucket drops anchors of a single
-document, settles equal fragments, and for anchors with differing fragments
-builds the transform of each shard's fragments and merges them: an interleave
-of the shards is refined symbol by symbol, which yields common prefixes and,
-after ``width`` rounds, the intervals of equal strings, without sorting the
-suffixes of different shards together.
+inside it, its anchor, so equal strings meet wherever they stand.  A first pass
+finds the anchors of more than one document.  Then each task (a shard) cuts its
+documents into fragments, runs of strings with one such anchor, settles the
+fragments that it holds more than once by itself, and sends one copy of each to
+the bucket of its anchor.  A bucket settles equal fragments, and for anchors
+with differing fragments builds the transform of each shard's fragments and
+merges them: an interleave of the shards is refined symbol by symbol, which
+yields common prefixes and, after ``width`` rounds, the intervals of equal
+strings, without sorting the suffixes of different shards together.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from corbel.llm.common import text_of
 #: Length of the strings that are looked for, and of the grams that anchor them.
 WIDTH, GRAM = 50, 16
 #: Bytes that are hashed at once, that a shard gathers, and that a bucket holds on the average.
-BLOCK, SHARD, BUCKET = 1 << 18, 6 << 20, 4 << 20
+BLOCK, SHARD, BUCKET = 1 << 15, 16 << 20, 3 << 20
 #: Strings of a fragment at most; a longer run is cut, which changes no result.
 RUN = 256
 
@@ -182,8 +182,9 @@ def least_owner(groups: list[tuple[list[bytes], np.ndarray]], width: int = WIDTH
     return out
 
 
-_ROW = np.dtype([("anchor", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("id", "<i8"), ("key", "<i8"), ("at", "<i4"), ("n", "<i4")])
+_ROW = np.dtype([("anchor", "<u4"), ("id", "<i8"), ("key", "<u4"), ("at", "<i4"), ("n", "<i2")])
 _OUT = "bucket int, shard long, payload binary, id long, key long, a int, b int"
+_TAGS = "bucket int, payload binary, id long, tags binary"
 
 
 def _spans(bucket, ids, keys, a, b) -> pa.RecordBatch:
@@ -191,75 +192,199 @@ def _spans(bucket, ids, keys, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["bucket", "shard", "payload", "id", "key", "a", "b"])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes first: like bytes stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(raw: bytes, kind: np.dtype, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _tagged(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor in the upper half, 32 of its other bits in the lower."""
+    b = np.uint64(buckets)
+    return ((anchor % b) << np.uint64(32) | (anchor // b & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the length."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
+
+
+def _tag_rows(bucket, ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    """One row for each id with its tags."""
+    order = np.argsort(ids, kind="stable")
+    ids, tags = ids[order], tags[order]
+    cut = _cuts(ids)
+    packed = [tags[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+    heads = ids[cut[:-1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.abs(heads) % bucket, pa.int32()), pa.nulls(len(heads), pa.binary()), pa.array(heads), pa.array(packed, pa.binary())], names=["bucket", "payload", "id", "tags"])
+
+
+def _anchored(batches: Iterator[pa.RecordBatch]):
+    """Shards of (ids, texts, fragments) of a stream of (id, text, ...), and the further columns of each shard's rows."""
+    ids, texts, more, parts, block = [], [], [], [], []
+    total = block_size = 0
+
+    def hash_block():
+        base = len(texts) - len(block)
+        text, at, n, anchor = fragments(block)
+        parts.append((text + base, at, n, anchor))
+        block.clear()
+
+    for batch in batches:
+        rest = [c.to_pylist() for c in batch.columns[2:]]
+        for k, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            raw = text.encode("utf-8", "replace")
+            ids.append(i)
+            texts.append(raw)
+            more.append([c[k] for c in rest])
+            block.append(raw)
+            block_size += len(raw)
+            total += len(raw)
+            if block_size >= BLOCK or total >= SHARD:
+                hash_block()
+                block_size = 0
+            if total >= SHARD:
+                yield ids, texts, more, tuple(np.concatenate(x) for x in zip(*parts))
+                ids, texts, more, parts, total = [], [], [], [], 0
+    if block:
+        hash_block()
+    if parts:
+        yield ids, texts, more, tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchor_rows(buckets: int):
+    """Over (id, text): the anchors that a shard knows to be shared by id, and one entry of each anchor for its bucket."""
+    import zlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, _, (doc, _, _, anchor) in _anchored(batches):
+            if not len(doc):
+                continue
+            tag, owner = _tagged(anchor, buckets), np.array(ids, np.int64)[doc]
+            order = np.lexsort((owner, tag))
+            tag, owner = tag[order], owner[order]
+            keep = np.ones(len(tag), bool)
+            keep[1:] = (tag[1:] != tag[:-1]) | (owner[1:] != owner[:-1])
+            tag, owner = tag[keep], owner[keep]
+            cut = _cuts(tag)
+            several = np.diff(cut) > 1
+            shared = np.repeat(several, np.diff(cut))
+            if shared.any():
+                yield _tag_rows(buckets, owner[shared], tag[shared])
+            tag, owner = tag[cut[:-1]], owner[cut[:-1]]
+            base = int(owner.min())
+            # Entries of anchors that are known to be shared need no answer.
+            code = np.where(several, 0, owner - base + 1).astype(np.int64)
+            bucket = (tag >> 32).astype(np.int64)
+            at = _cuts(bucket)
+            payloads = []
+            for i, j in zip(at[:-1], at[1:]):
+                low = (tag[i:j] & 0xFFFFFFFF).astype(np.uint32)
+                low[1:] = low[1:] - low[:-1]  # sorted, so differences are small
+                payloads.append(np.array([j - i, base], np.int64).tobytes() + zlib.compress(_planes(low) + _planes(code[i:j]), 1))
+            m = len(payloads)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), pa.array(payloads, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=["bucket", "payload", "id", "tags"])
+
+    return run
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], payload: int):
+    """(bucket, rows) of a stream sorted by bucket; rows without a payload come as (None, batch)."""
+    last, held = None, []
+    for batch in batches:
+        plain = batch.filter(pa.compute.is_null(batch.column(payload)))
+        if plain.num_rows:
+            yield None, plain
+        some = batch.filter(pa.compute.is_valid(batch.column(payload)))
+        for row in zip(*(c.to_pylist() for c in some.columns)):
+            if row[0] != last and held:
+                yield last, held
+                held = []
+            last = row[0]
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _shared_anchors(buckets: int):
+    """Over entries sorted by bucket: the anchors of more than one document, by id."""
+    import zlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tags, size = [], [], 0
+        for bucket, rows in _by_bucket(batches, 1):
+            if bucket is None:
+                yield rows
+                continue
+            low, owner = [], []
+            for _, payload, _, _ in rows:
+                n, base = np.frombuffer(payload[:16], np.int64)
+                plain = zlib.decompress(payload[16:])
+                low.append(np.cumsum(_unplaned(plain[: 4 * n], np.dtype("<u4"), n), dtype=np.uint32))
+                code = _unplaned(plain[4 * n :], np.dtype("<i8"), n)
+                owner.append(np.where(code > 0, code + base - 1, np.iinfo(np.int64).min))
+            low, owner = np.concatenate(low), np.concatenate(owner)
+            order = np.argsort(low, kind="stable")
+            low, owner = low[order], owner[order]
+            at = _cuts(low)
+            known = owner == np.iinfo(np.int64).min
+            shared = (np.minimum.reduceat(owner, at[:-1]) != np.maximum.reduceat(owner, at[:-1])) | np.logical_or.reduceat(known, at[:-1])
+            goes = np.repeat(shared, np.diff(at)) & ~known
+            ids.append(owner[goes])
+            tags.append(low[goes].astype(np.int64) | np.int64(bucket) << 32)
+            size += len(ids[-1])
+            if size > 1 << 20:
+                yield _tag_rows(buckets, np.concatenate(ids), np.concatenate(tags))
+                ids, tags, size = [], [], 0
+        if size:
+            yield _tag_rows(buckets, np.concatenate(ids), np.concatenate(tags))
+
+    return run
+
+
 def _shard(buckets: int):
-    """Over (id, text): spans that a shard settles by itself, and its fragments by bucket."""
+    """Over (id, text, shared anchors): spans that a shard settles by itself, and its fragments by bucket."""
     import zlib
 
     digest = xxhash.xxh3_128_digest
 
-    def flush(ids: list[int], keys: list[int], parts: list[tuple], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        doc, at, n, anchor = (np.concatenate(x) for x in zip(*parts))
-        if not len(doc):
-            return
-        bodies = [texts[d][a : a + k] for d, a, k in zip(doc.tolist(), at.tolist(), (n + WIDTH - 1).tolist())]
-        two = np.frombuffer(b"".join(map(digest, bodies)), np.int64).reshape(-1, 2)
-        rows = np.zeros(len(doc), _ROW)
-        id_of, key_of = np.array(ids, np.int64), np.array(keys, np.int64)
-        rows["anchor"], rows["d1"], rows["d2"], rows["at"], rows["n"], rows["id"], rows["key"] = anchor, two[:, 0], two[:, 1], at, n, id_of[doc], key_of[doc]
-        order = np.lexsort((rows["at"], rows["id"], rows["d2"], rows["d1"]))
-        s = rows[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s["d1"][1:] != s["d1"][:-1]) | (s["d2"][1:] != s["d2"][:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = s["id"] > s["id"][first]
-        if later.any():
-            d, a, b = _joined(doc[order][later], s["at"][later].astype(np.int64), (s["at"] + s["n"] + WIDTH - 1)[later].astype(np.int64))
-            yield _spans(np.abs(id_of[d]) % buckets, id_of[d], key_of[d], a, b)
-        kept = order[~later]
-        goes = (anchor[kept] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(goes, kind="stable")
-        kept, goes = kept[by], goes[by]
-        cut = np.concatenate([[0], np.flatnonzero(goes[1:] != goes[:-1]) + 1, [len(goes)]])
-        payloads = []
-        for i, j in zip(cut[:-1], cut[1:]):
-            some = kept[i:j]
-            # Rows by column, so that like bytes stand together, then the bodies of the fragments.
-            cols = b"".join(np.ascontiguousarray(rows[some][c]).tobytes() for c in _ROW.names)
-            payloads.append(np.int64(j - i).tobytes() + zlib.compress(cols + b"".join(bodies[k] for k in some.tolist()), 1))
-        m = len(payloads)
-        shard = int(rows["d1"][0] ^ rows["id"][0])
-        yield pa.RecordBatch.from_arrays([pa.array(goes[cut[:-1]], pa.int32()), pa.array([shard] * m, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=["bucket", "shard", "payload", "id", "key", "a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, texts, parts, total = [], [], [], [], 0
-        block, block_size = [], 0
-
-        def hash_block():
-            nonlocal block, block_size
-            base = len(texts) - len(block)
-            text, at, n, anchor = fragments(block)
-            parts.append((text + base, at, n, anchor))
-            block, block_size = [], 0
-
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = text.encode("utf-8", "replace")
-                ids.append(i)
-                keys.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                texts.append(raw)
-                block.append(raw)
-                block_size += len(raw)
-                total += len(raw)
-                if block_size >= BLOCK:
-                    hash_block()
-                if total >= SHARD:
-                    hash_block()
-                    yield from flush(ids, keys, parts, texts)
-                    ids, keys, texts, parts, total = [], [], [], [], 0
-        hash_block()
-        yield from flush(ids, keys, parts, texts)
+        for ids, texts, more, (doc, at, n, anchor) in _anchored(batches):
+            wanted = np.frombuffer(b"".join(t for (tags,) in more for t in tags or ()), np.int64)
+            some = np.isin(_tagged(anchor, buckets), wanted)
+            doc, at, n, anchor = doc[some], at[some], n[some], anchor[some]
+            if not len(doc):
+                continue
+            bodies = [texts[d][a : a + k] for d, a, k in zip(doc.tolist(), at.tolist(), (n + WIDTH - 1).tolist())]
+            two = np.frombuffer(b"".join(map(digest, bodies)), np.int64).reshape(-1, 2)
+            id_of, key_of = np.array(ids, np.int64), np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
+            order = np.lexsort((at, id_of[doc], two[:, 1], two[:, 0]))
+            s = two[order]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]).any(1)
+            owner = id_of[doc[order]]
+            later = owner > owner[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            if later.any():
+                row = order[later]
+                d, a, b = _joined(doc[row], at[row], at[row] + n[row] + WIDTH - 1)
+                yield _spans(np.abs(id_of[d]) % buckets, id_of[d], key_of[d], a, b)
+            kept = np.sort(order[~later])
+            goes = (anchor[kept] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(goes, kind="stable")
+            kept, goes = kept[by], goes[by]
+            rows = np.zeros(len(kept), _ROW)
+            rows["anchor"], rows["id"], rows["key"], rows["at"], rows["n"] = _tagged(anchor[kept], buckets) & 0xFFFFFFFF, id_of[doc[kept]], key_of[doc[kept]], at[kept], n[kept]
+            cut = _cuts(goes)
+            payloads = []
+            for i, j in zip(cut[:-1], cut[1:]):
+                cols = b"".join(_planes(np.ascontiguousarray(rows[i:j][c])) for c in _ROW.names)
+                payloads.append(np.int64(j - i).tobytes() + zlib.compress(cols + b"".join(bodies[k] for k in kept[i:j].tolist()), 1))
+            m = len(payloads)
+            shard = int(two[0, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(goes[cut[:-1]], pa.int32()), pa.array([shard] * m, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=["bucket", "shard", "payload", "id", "key", "a", "b"])
 
     return run
 
@@ -267,96 +392,131 @@ def _shard(buckets: int):
 def settle_bucket(rows: np.ndarray, shard: np.ndarray, body: list[bytes]) -> tuple[np.ndarray, ...]:
     """(row, a, b): the spans of a bucket's fragments that equal strings of smaller ids cover."""
     none = (np.zeros(0, np.int64),) * 3
-    order = np.lexsort((rows["id"], rows["d2"], rows["d1"], rows["anchor"]))
-    s = rows[order]
+    two = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, body)), np.int64).reshape(-1, 2)
+    order = np.lexsort((rows["id"], two[:, 1], two[:, 0], rows["anchor"]))
+    s, two = rows[order], two[order]
     new_anchor = np.ones(len(s), bool)
     new_anchor[1:] = s["anchor"][1:] != s["anchor"][:-1]
     at = np.flatnonzero(new_anchor)
     # Anchors of one document, and rows of it, are through.
     shared = np.repeat(np.minimum.reduceat(s["id"], at) != np.maximum.reduceat(s["id"], at), np.diff(np.append(at, len(s))))
-    order, s, new_anchor = order[shared], s[shared], new_anchor[shared]
+    order, s, two, new_anchor = order[shared], s[shared], two[shared], new_anchor[shared]
     if not len(s):
         return none
     new = new_anchor.copy()
-    new[1:] |= (s["d1"][1:] != s["d1"][:-1]) | (s["d2"][1:] != s["d2"][:-1])
+    new[1:] |= (two[1:] != two[:-1]).any(1)
     group = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     owner = s["id"][heads]  # the least id of each distinct fragment
-    start, end = s["at"].astype(np.int64), (s["at"] + s["n"] + WIDTH - 1).astype(np.int64)
+    start, end = s["at"].astype(np.int64), s["at"].astype(np.int64) + s["n"] + WIDTH - 1
     later = s["id"] > owner[group]
     out = [(order[later], start[later], end[later])]
     # Distinct fragments under one anchor may share some of their strings.
     anchor_of = np.cumsum(new_anchor) - 1
-    several = np.bincount(anchor_of[heads])[anchor_of[heads]] > 1
-    some = np.flatnonzero(several)
+    some = np.flatnonzero(np.bincount(anchor_of[heads])[anchor_of[heads]] > 1)
     if len(some):
-        home = shard[order[heads[some]]]
-        parts = np.unique(home, return_inverse=True)[1] % 4
-        sets = [some[parts == k] for k in range(4)]
-        sets = [x for x in sets if len(x)]
-        found = least_owner([([body[k] for k in order[heads[x]]], owner[x]) for x in sets])
-        for x, least in zip(sets, found):
-            counts = np.array([len(y) for y in least])
-            flat = np.concatenate(least)
-            which = np.repeat(np.arange(len(x)), counts)
-            begin = np.concatenate([[0], counts.cumsum()[:-1]])
-            hit = np.flatnonzero(flat < owner[x][which])
-            if len(hit):
-                f, a = which[hit], (hit - begin[which[hit]]).astype(np.int64)
-                f, a, b = _joined(f, a, a + WIDTH)
-                # Every row of the least document holds these strings.
-                row_of = {}
-                for r in np.flatnonzero(~later & np.isin(group, x)):
-                    row_of.setdefault(group[r], []).append(r)
-                for k, p, q in zip(x[f].tolist(), a.tolist(), b.tolist()):
-                    for r in row_of[k]:
-                        out.append((order[r : r + 1], start[r : r + 1] + p, start[r : r + 1] + q))
+        part, begin, size, least = _shared_strings([body[k] for k in order[heads[some]]], owner[some], shard[order[heads[some]]])
+        counts = size
+        flat_owner = np.repeat(owner[some][part], counts)
+        hit = np.flatnonzero(least < flat_owner)
+        if len(hit):
+            which = np.repeat(np.arange(len(part)), counts)
+            base = np.repeat(np.concatenate([[0], counts.cumsum()[:-1]]), counts)
+            a = begin[which[hit]] + hit - base[hit]
+            f, a, b = _joined(some[part[which[hit]]], a, a + WIDTH)
+            # The rows of a fragment's least document come first in its group, and each holds these strings.
+            own = np.bincount(group[~later], minlength=len(heads))
+            times = own[f]
+            r = np.repeat(heads[f], times) + np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+            out.append((order[r], start[r] + np.repeat(a, times), start[r] + np.repeat(b, times)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _shared_strings(bodies: list[bytes], owner: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(fragment, first start, strings, least owners): the runs of strings that fragments of several owners hold.
+
+    Strings whose hash no other owner has can't be shared and are left out;
+    equal runs go once into the transforms, which decide about the rest.
+    """
+    sizes = np.array([len(x) for x in bodies])
+    ends = sizes.cumsum()
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    h = {1: _SEED[data]}
+    for n in (1, 2, 4, 8, 16):
+        up = h[n].copy()
+        up[:-n] = h[n][:-n] * np.uint64(pow(_BASE, n, 1 << 64)) + h[n][n:]
+        h[2 * n] = up
+    # WIDTH = 32 + 16 + 2
+    last = len(data) - WIDTH + 1
+    full = (h[32][:last] * np.uint64(pow(_BASE, 16, 1 << 64)) + h[16][32 : 32 + last]) * np.uint64(pow(_BASE, 2, 1 << 64)) + h[2][48 : 48 + last]
+    counts = sizes - WIDTH + 1
+    of = np.repeat(np.arange(len(bodies)), counts)
+    within = np.arange(len(of)) - np.repeat(counts.cumsum() - counts, counts)
+    place = (ends - sizes)[of] + within
+    by = np.argsort(full[place], kind="stable")
+    sorted_, owners = full[place][by], owner[of][by]
+    at = _cuts(sorted_)
+    several = np.minimum.reduceat(owners, at[:-1]) != np.maximum.reduceat(owners, at[:-1])
+    kept = np.zeros(len(of), bool)
+    kept[by] = np.repeat(several, np.diff(at))
+    none = np.zeros(0, np.int64)
+    rows = np.flatnonzero(kept)
+    if not len(rows):
+        return none, none, none, none
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1] + 1) | (of[rows[1:]] != of[rows[:-1]])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(rows)))
+    fragment, begin = of[rows[first]], within[rows[first]]
+    texts = [bodies[f][a : a + k + WIDTH - 1] for f, a, k in zip(fragment.tolist(), begin.tolist(), size.tolist())]
+    distinct: dict[bytes, int] = {}
+    number = np.array([distinct.setdefault(t, len(distinct)) for t in texts])
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, owner[fragment])
+    place_of = np.zeros(len(distinct), np.int64)
+    place_of[number[::-1]] = home[fragment[::-1]]
+    parts = np.unique(place_of, return_inverse=True)[1] % 4
+    strings = list(distinct)
+    sets = [x for k in range(4) if len(x := np.flatnonzero(parts == k))]
+    found: list[np.ndarray] = [none] * len(strings)
+    for x, some in zip(sets, least_owner([([strings[k] for k in x], least[x]) for x in sets])):
+        for k, y in zip(x.tolist(), some):
+            found[k] = y
+    return fragment, begin, size, np.concatenate([found[k] for k in number.tolist()])
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by bucket: settled spans as they are, and the spans of each bucket."""
     import zlib
 
-    held: list[tuple[int, bytes]] = []
-    last = None
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
+    for bucket, found in _by_bucket(batches, 2):
+        if bucket is None:
+            yield found
+            continue
         rows, shards, body = [], [], []
-        for shard, payload in held:
+        for _, shard, payload, *_ in found:
             n = int(np.frombuffer(payload[:8], np.int64)[0])
             plain = zlib.decompress(payload[8:])
             part, at = np.zeros(n, _ROW), 0
             for c in _ROW.names:
                 size = n * _ROW[c].itemsize
-                part[c] = np.frombuffer(plain[at : at + size], _ROW[c])
+                part[c] = _unplaned(plain[at : at + size], _ROW[c], n)
                 at += size
-            ends = at + (part["n"] + WIDTH - 1).cumsum(dtype=np.int64)
+            ends = at + (part["n"].astype(np.int64) + WIDTH - 1).cumsum()
             body += [plain[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist())]
             rows.append(part)
             shards.append(np.full(n, shard))
-        held.clear()
-        all_rows = np.concatenate(rows)
-        r, a, b = settle_bucket(all_rows, np.concatenate(shards), body)
+        every = np.concatenate(rows)
+        r, a, b = settle_bucket(every, np.concatenate(shards), body)
         if len(r):
-            docs, back = np.unique(all_rows[["id", "key"]][r], return_inverse=True)
+            docs, back = np.unique(every[["id", "key"]][r], return_inverse=True)
             d, a, b = _joined(back, a, b)
-            yield _spans(np.zeros(len(d)), docs["id"][d], docs["key"][d], a, b)
+            yield _spans(np.zeros(len(d)), docs["id"][d], docs["key"][d].astype(np.int64), a, b)
 
-    for batch in batches:
-        settled = batch.filter(pa.compute.is_null(batch.column(2)))
-        if settled.num_rows:
-            yield settled
-        for bucket, shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if payload is None:
-                continue
-            if bucket != last:
-                yield from close()
-                last = bucket
-            held.append((shard, payload))
-    yield from close()
+
+def _by_id(docs: DataFrame, id_column: str, text_column: str, parts: int) -> DataFrame:
+    """(id, text) of rows with an id, dealt by id: the one shuffle of the texts, which both joins use."""
+    return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text")).repartition(parts, "id")
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -366,9 +526,12 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     plain = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text_of(text_column))
     total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    buckets = max(32, int(total * 4 / BUCKET))
+    buckets = max(32, int(total / BUCKET))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = plain.mapInArrow(_shard(buckets), _OUT)
+    anchors = plain.mapInArrow(_anchor_rows(buckets), _TAGS).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors(buckets), _TAGS)
+    shared = anchors.groupBy(F.col("id").alias("__id")).agg(F.collect_list("tags").alias("tags"))
+    dealt = _by_id(docs, id_column, text_column, parts)
+    cut = dealt.join(shared, F.col("id") == F.col("__id")).select("id", "text", "tags").mapInArrow(_shard(buckets), _OUT)
     return cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket, _OUT).select("id", "key", "a", "b")
 
 
@@ -404,14 +567,17 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 raw = text.encode("utf-8", "replace")
                 spans = []
                 if sets is not None:
-                    key = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                    key = xxhash.xxh32_intdigest(raw)
                     spans = [(s["a"], s["b"]) for x in sets if x["key"] == key for s in x["spans"]]
                 kept, removed, runs = _kept(raw, spans)
                 rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text")).join(spans, F.col("id") == F.col("__id"), "left")
-    return joined.select("id", cut("text", "__found").alias("x")).select("id", "x.*")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = _by_id(docs, id_column, text_column, parts).join(spans, F.col("id") == F.col("__id"), "left")
+    nobody = docs.where(F.col(id_column).isNull()).select(F.lit(None).cast("long").alias("id"), text_of(text_column).alias("text"), F.lit(None).cast(spans.schema["__found"].dataType).alias("__found"))
+    every = joined.select("id", "text", "__found").unionByName(nobody)
+    return every.select("id", cut("text", "__found").alias("x")).select("id", "x.*")
 
 
 def op2_suffixes(docs: DataFrame) -> DataFrame:
