@@ -222,6 +222,13 @@ def _tag_rows(bucket, ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.abs(heads) % bucket, pa.int32()), pa.nulls(len(heads), pa.binary()), pa.array(heads), pa.array(packed, pa.binary())], names=["bucket", "payload", "id", "tags"])
 
 
+def _single_tags(ids: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    """One row for each tag: their number follows the input, which rows by task and id would not."""
+    n = len(ids)
+    plain = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tags))])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids), plain], names=["bucket", "payload", "id", "tags"])
+
+
 def _anchored(batches: Iterator[pa.RecordBatch]):
     """Shards of (ids, texts, fragments) of a stream of (id, text, ...), and the further columns of each shard's rows."""
     ids, texts, more, parts, block = [], [], [], [], []
@@ -336,11 +343,11 @@ def _shared_anchors(buckets: int):
             ids.append(owner[goes])
             tags.append(low[goes].astype(np.int64) | np.int64(bucket) << 32)
             size += len(ids[-1])
-            if size > 1 << 20:
-                yield _tag_rows(buckets, np.concatenate(ids), np.concatenate(tags))
+            if size > 1 << 18:
+                yield _single_tags(np.concatenate(ids), np.concatenate(tags))
                 ids, tags, size = [], [], 0
         if size:
-            yield _tag_rows(buckets, np.concatenate(ids), np.concatenate(tags))
+            yield _single_tags(np.concatenate(ids), np.concatenate(tags))
 
     return run
 
