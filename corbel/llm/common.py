@@ -47,5 +47,11 @@ def fold(id_column: str, modulus: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
+    """One of the driver's tables, to be read in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches hold few rows: texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
