@@ -9,19 +9,23 @@ text are SentencePiece's own even where the rebuilt model differs.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corbel.llm.common import text_of
 from corbel.llm.tokens import pretokens, splits_at_spaces
 
 _SPACE = "▁"
-#: Pre-tokens whose ids a worker keeps; a full cache starts anew.
-CACHE_SIZE = 400_000
+#: Pre-tokens whose ids either generation of a worker's cache keeps.
+CACHE_SIZE = 300_000
 
 
 def _merges(scores: dict[str, float], ids: dict[str, int]) -> list[tuple[str, str]]:
@@ -62,7 +66,7 @@ def rebuild(path: str):
         steps.append(normalizers.Prepend(_SPACE))
     if spec.escape_whitespaces:
         steps.append(normalizers.Replace(" ", _SPACE))
-    tok.normalizer = normalizers.Sequence(steps)
+    tok.normalizer = normalizers.Sequence(steps) if steps else None
     tok.decoder = decoders.Sequence([decoders.Replace(_SPACE, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * bool(spec.add_dummy_prefix))
     defined = [AddedToken(p.piece, normalized=False) for p in m.pieces if p.type == kinds.USER_DEFINED]
     if defined:
@@ -77,11 +81,15 @@ class Codec:
     young one is full it becomes the old one, whose entries move back on use.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_SIZE):
+    def __init__(self, path: str, most: int = CACHE_SIZE):
         import sentencepiece
 
-        self.tok, self.sp, self.most = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path), cache
+        self.path, self.sp, self.most = path, sentencepiece.SentencePieceProcessor(model_file=path), most
         self.split = splits_at_spaces(self.sp)
+        if self.split:
+            # Pre-tokens come with their marks, so there is nothing left to normalise.
+            self.core = rebuild(path)
+            self.core.normalizer = None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.off: set[str] = set()
@@ -93,20 +101,40 @@ class Codec:
         spec = pb.ModelProto()
         spec.ParseFromString(sp.serialized_model_proto())
         self.prefixed = spec.normalizer_spec.add_dummy_prefix
+        self.opens = np.array([sp.id_to_piece(k).startswith(_SPACE) for k in range(sp.get_piece_size())])
         # What each id adds to a text; bytes of byte pieces, marks as spaces.
         self.surface = [bytes([int(sp.id_to_piece(k)[1:-1], 16)]) if sp.is_byte(k) else sp.id_to_piece(k).replace(_SPACE, " ").encode() for k in range(sp.get_piece_size())]
 
+    @cached_property
+    def tok(self):
+        """The whole tokenizer, for texts that can't be cut."""
+        return rebuild(self.path)
+
     def _learn(self, words: set[str]) -> None:
         """Put the ids of all of ``words`` into the young generation."""
         if len(self.young) > self.most:
             self.old, self.young, self.off = self.young, {}, set()
         for k in words & self.old.keys():
             self.young[k] = self.old[k]
-        new = sorted(words - self.young.keys())
-        for k, ours, theirs in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), self.sp.encode(new, num_threads=1)):
-            if ours.ids != theirs:
+        new = words - self.young.keys() - {""}
+        # Words without further marks are coded many in a line and told apart by their marks.
+        plain = [k for k in new if " " not in k and _SPACE not in k]
+        rest = list(new.difference(plain))
+        lines = [plain[k : k + 128] for k in range(0, len(plain), 128)]
+        ours = self.core.encode_batch_fast([_SPACE + _SPACE.join(x) for x in lines], add_special_tokens=False)
+        theirs = self.sp.encode([" ".join(x) for x in lines], num_threads=1)
+        for line, mine, other in zip(lines, ours, theirs):
+            flat = np.array(other, np.int32)
+            at = np.flatnonzero(self.opens[flat])
+            if len(at) != len(line) or mine.ids != other:
+                rest += line
+                continue
+            raw, ends = flat.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(flat)]
+            self.young.update(zip(line, (raw[i:j] for i, j in zip((4 * at).tolist(), ends))))
+        for k, mine, other in zip(rest, self.core.encode_batch_fast([_SPACE + k for k in rest], add_special_tokens=False), self.sp.encode(rest, num_threads=1)):
+            if mine.ids != other:
                 self.off.add(k)
-            self.young[k] = np.array(theirs, np.int32).tobytes()
+            self.young[k] = array("i", other).tobytes()
         self.young[""] = self.lone
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
@@ -142,6 +170,12 @@ class Codec:
         return out
 
 
+@cache
+def worker_codec(path: str) -> Codec:
+    """One codec for all tasks of a worker, so that what it has learnt stays."""
+    return Codec(path)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
     """``docs`` with token_ids, n_tokens, same_as_model and round_trip for each whole text.
 
@@ -149,22 +183,25 @@ def encode_pieces(docs: DataFrame, model_path: str, text_column: str = "text") -
     text again.  same_as_model: the rebuilt tokenizer gave every id itself.
     Columns of those names are replaced.
     """
+    added = "token_ids array<int>, n_tokens long, same_as_model boolean, round_trip boolean"
+    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "same_as_model", "round_trip")]
+    plain = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(text_column).alias("__text"))
+    schema = StructType(plain.schema.fields[:-1] + StructType.fromDDL(added).fields)
 
-    @F.pandas_udf("token_ids array<int>, n_tokens long, same_as_model boolean, round_trip boolean")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_path)
-        for texts in batches:
-            plain = texts.tolist()
-            ids, same = [], []
-            back: list[str] = []
-            for k in range(0, len(plain), 256):
-                a, b = codec.encode(plain[k : k + 256])
-                ids, same = ids + a, same + b
-                back += codec.decode(a)
-            yield pd.DataFrame({"token_ids": ids, "n_tokens": [len(x) for x in ids], "same_as_model": same, "round_trip": [x == y for x, y in zip(plain, back)]})
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = worker_codec(model_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                ids, same = codec.encode(texts)
+                sizes = np.array([len(x) for x in ids], np.int64)
+                offsets = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+                equal = pa.array([x == y for x, y in zip(texts, codec.decode(ids))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(sizes), pa.array(same, pa.bool_()), equal], names=schema.names)
 
-    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "same_as_model", "round_trip")]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], coded(text_of(text_column)).alias("__p")).select(*[F.col(f"`{c}`") for c in kept], "__p.*")
+    return plain.mapInArrow(coded, schema)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, ids_column: str = "token_ids", column: str = "text") -> DataFrame:
@@ -172,7 +209,7 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_column: str = "token_ids
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(model_path)
+        codec = worker_codec(model_path)
         for some in batches:
             there = some.notna()
             out = pd.Series([None] * len(some), index=some.index, dtype=object)
@@ -184,5 +221,5 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_column: str = "token_ids
 
 def op6_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, token_ids, same_as_model and round_trip for every document."""
-    plain = docs.select("doc_id", text_of("text").alias("text"))
-    return encode_pieces(plain, model_path).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", "token_ids", "same_as_model", "round_trip")
+    plain = docs.select("doc_id", text_of("text").alias("text"), F.octet_length(text_of("text")).cast("long").alias("n_bytes"))
+    return encode_pieces(plain, model_path).select("doc_id", "n_bytes", "n_tokens", "token_ids", "same_as_model", "round_trip")
