@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corbel.config import EngineConfig
 from corbel.functions.keys import entity_links
+from corbel.operators.cut import materialize
 from corbel.operators.ordered import ordered_list
 from corbel.operators.resolve import filter_phrase, known_condition, resolve_conditions, resolve_drugs
 from corbel.operators.vectors import Encoder
@@ -37,7 +38,7 @@ class Engine:
     config: EngineConfig = EngineConfig()
 
     def ask(self, questions: DataFrame) -> DataFrame:
-        """One payload for each question (qid, text)."""
+        """One payload for each question (qid, text).  Questions and evidence are written on the way, so that each part is planned by itself."""
         parsed = parse_questions(questions.select("qid", "text"), self.lexicon)
         found = resolve_drugs(parsed, self.lexicon, self.drugs)
         if self.conditions is not None and self.terms is not None:
@@ -45,9 +46,10 @@ class Engine:
             found = found.join(resolve_conditions(asked, self.conditions, self.terms, cutoff=self.config.fuzzy_cutoff).select("qid", "condition"), "qid", "left")
         else:
             found = found.withColumn("condition", known_condition("condition_text"))
+        found = materialize(found, "questions")
         name = F.coalesce(F.nullif(F.trim("drug.matched_name"), F.lit("")), F.trim("drug.query_text"))
         asked = found.select("qid", "text", "intent", filter_phrase().alias("phrase"), name.alias("drug_name"), F.col("drug.spl_set_id").alias("question_label"))
-        evidence = collect_evidence(asked, self.rows, self.encoder, self.config.top_k)
+        evidence = materialize(collect_evidence(asked, self.rows, self.encoder, self.config.top_k), "evidence")
         lists = evidence.groupBy("qid").agg(ordered_list(F.struct("spl_set_id", "section", "snippet", "score", "stage", F.to_json("links").alias("links")), F.col("rank"), distinct=False).alias("e"))
         shown = F.transform("e", lambda e: F.struct(e["spl_set_id"].alias("spl_set_id"), e["section"].alias("section"), e["snippet"].alias("snippet"), e["score"].alias("score"), e["stage"].alias("stage"), F.from_json(e["links"], "map<string,string>").alias("links")))
         rows = found.join(lists, "qid", "left").withColumn("evidence", F.coalesce(shown, F.array().cast(_EVIDENCE)))
@@ -57,5 +59,5 @@ class Engine:
         return rows.select("qid", F.col("text").alias("query"), "intent", "drug", "condition", graph.alias("graph"), "evidence", links.alias("sources"), verdict.alias("verdict"))
 
     def answer(self, questions: DataFrame, grouped: bool = False) -> DataFrame:
-        """One summary for each question.  The payloads are persisted: the summary reads them several times."""
-        return summarize(self.ask(questions).persist(), self.config.top_k, grouped)
+        """One summary for each question.  The payloads are written first: the summary reads them several times."""
+        return summarize(materialize(self.ask(questions), "payloads"), self.config.top_k, grouped)

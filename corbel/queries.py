@@ -17,6 +17,7 @@ from corbel.functions import keys as keys_
 from corbel.functions import ranking
 from corbel.functions import text as text_
 from corbel.operators import chunker, concepts, dictionary, drugs, links, names, resolve, vectors
+from corbel.operators.cut import materialize
 from corbel.operators.ordered import first_rows, newest_rows, ordered_list, sorted_set, top_rows
 from corbel.plans import answer, evidence, questions
 from corbel.plans.engine import Engine
@@ -682,6 +683,7 @@ def engine(s: SparkSession, d: str) -> Engine:
     """An engine over documents: sources are labels, languages their sections."""
     docs = _t(s, d, "documents")
     rows = evidence.label_rows(docs.select(F.col("source").alias("spl_set_id"), F.concat(F.lit("contraindications "), "lang").alias("section"), "text", F.col("doc_id").alias("ord")))
+    rows = materialize(rows, "label-rows")
     sources = docs.select("source").distinct()
     lex = sources.select(F.lower("source").alias("key"), F.col("source").alias("spl_set_id"))
     drugs_ = sources.select(F.lower("source").alias("spl_set_id"), F.regexp_replace("source", "[^0-9]", "").alias("rxcui"))
@@ -696,7 +698,7 @@ def asked(s: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def engine_ask(s, d):
-    found = engine(s, d).ask(asked(s, d)).persist()
+    found = engine(s, d).ask(asked(s, d))
     return found.select("qid", "intent", "drug.spl_set_id", "drug.rxcui", F.size("evidence").alias("n"), F.to_json("evidence").alias("evidence"))
 
 
