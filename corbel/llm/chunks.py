@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corbel.llm.common import text_of
+from corbel.llm.common import materialize, text_of
 
 #: Bytes that the gear hash remembers.
 GEAR_WINDOW = 32
@@ -107,10 +107,11 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """(id, pos, size) of every chunk that an earlier one equals.
 
     Earlier is a smaller id, or the same id and a smaller place.  Digests are
-    counted on the map side first; only digests that repeat are joined back, by
-    a join whose large keys may be split.
+    counted on the map side first.  Those that repeat are written, so that the
+    join back meets plain shuffles, of which Spark can split a large key.
     """
     first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    first = materialize(first, "digests")
     found = chunks.join(first, ["d1", "d2"])
     return found.where(F.struct("id", "pos") > F.col("first")).select("id", "pos", "size")
 
