@@ -14,8 +14,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 50) -
     Each round points the larger neighbours of a node, then the smaller ones,
     at the smallest neighbour; edges never multiply and the number of rounds is
     logarithmic in practice.  Every round's edges are written to the shared
-    folder.  A node of very many edges is first aggregated on the map side and
-    then joined, so its edges may be split over tasks.  Null ends and loops are dropped.
+    folder.  A node of very many edges is first aggregated on the map side; its
+    least neighbour is written, so that the join back meets plain shuffles, of
+    which Spark can split a large key.  Null ends and loops are dropped.
     """
 
     def star(e: DataFrame, both: bool) -> DataFrame:
@@ -23,7 +24,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 50) -
         pairs = e.select("u", "v")
         if both:
             pairs = pairs.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = materialize(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         joined = pairs.join(least, "u")
         moved = joined.where("v > u" if both else "true").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not both:

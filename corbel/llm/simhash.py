@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = made.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(classes.select("fp"), distance, pairwise=pairwise))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = materialize(named, "classes")
+    smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "smallest")
     return made.join(named.join(smallest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
