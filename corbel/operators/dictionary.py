@@ -27,14 +27,17 @@ def lexicon(docs: DataFrame, least: int = 3) -> DataFrame:
     return first_rows(found.where((F.length("term") >= least) & F.col("term").rlike(r"\p{L}")), ["snomed_id", "term"])
 
 
-def negated(text: Column, start: Column, end: Column, window: int = 80) -> Column:
-    """Whether a word of negation stands within ``window`` characters of a span; ``text`` is lower case."""
-    around = F.substring(text, F.greatest(start - window, F.lit(0)) + 1, end + window - F.greatest(start - window, F.lit(0)))
-    return any_of([around.contains(w) for w in K.NEGATIONS])
+def negated(around: Column | str) -> Column:
+    """Whether a word of negation stands in what surrounds a mention."""
+    x = F.col(around) if isinstance(around, str) else around
+    return any_of([x.contains(w) for w in K.NEGATIONS])
 
 
-def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str = "text", words: bool = False) -> DataFrame:
-    """(id, term, start, end) of all occurrences of a lexicon's terms in lower-cased texts, overlapping ones too.
+def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str = "text", words: bool = False, window: int = 80) -> DataFrame:
+    """id, term, start, end, match_text and around of all occurrences of a lexicon's terms in lower-cased texts, overlapping ones too.
+
+    match_text is what the text itself says, around what stands within
+    ``window`` characters in lower case; so no later step reads the text again.
 
     The lexicon goes to every task as an automaton, BROADCAST_TERMS terms at a
     time; a larger one takes a pass over the texts for each such part.  With
@@ -47,7 +50,7 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
         if words:
             raise ValueError(f"whole words take a lexicon of {BROADCAST_TERMS} terms at most")
         parts += 1  # hashed parts are uneven
-        found = [spans(texts, distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k), id_column, text_column) for k in range(parts)]
+        found = [spans(texts, distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k), id_column, text_column, window=window) for k in range(parts)]
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
@@ -76,19 +79,19 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
                             kept.append(f)
                             last = f[1]
                     found = kept
-                rows += [(i, t, s, e) for s, e, t in found]
-            yield pd.DataFrame(rows, columns=[id_column, "term", "start", "end"])
+                rows += [(i, t, s, e, text[s:e], low[max(0, s - window) : e + window]) for s, e, t in found]
+            yield pd.DataFrame(rows, columns=[id_column, "term", "start", "end", "match_text", "around"])
 
-    return texts.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, term string, start int, end int")
+    return texts.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
 
 
 def condition_links(chunks: DataFrame, lex: DataFrame, run_ts: str, words: bool = False) -> DataFrame:
     """One link for each mention of a concept in the sections that make links."""
     link = literal_map(K.SECTION_LINK)[F.col("section")]
     rows = chunks.withColumn("link_type", link).where("link_type is not null and text is not null")
-    found = spans(rows, lex, "chunk_id", words=words).join(lex.select("term", "snomed_id", "surface"), "term").join(rows.select("chunk_id", "spl_set_id", "section", "text", "link_type"), "chunk_id")
+    found = spans(rows, lex, "chunk_id", words=words).join(lex.select("term", "snomed_id", "surface"), "term").join(rows.select("chunk_id", "spl_set_id", "section", "link_type"), "chunk_id")
     out = found.select(
-        short_sha1("chunk_id", "snomed_id", "start", "end", "link_type").alias("link_id"), "spl_set_id", "chunk_id", "section", "snomed_id", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("match_text"), F.col("start").alias("char_start"),
-        F.col("end").alias("char_end"), "link_type", F.round(surface_confidence("surface"), 3).alias("confidence"), F.lit("dictionary").alias("method"), F.struct(negated(F.lower("text"), F.col("start"), F.col("end")).alias("negated")).alias("qualifiers"), F.lit(run_ts).alias("last_updated"),
+        short_sha1("chunk_id", "snomed_id", "start", "end", "link_type").alias("link_id"), "spl_set_id", "chunk_id", "section", "snomed_id", "match_text", F.col("start").alias("char_start"),
+        F.col("end").alias("char_end"), "link_type", F.round(surface_confidence("surface"), 3).alias("confidence"), F.lit("dictionary").alias("method"), F.struct(negated("around").alias("negated")).alias("qualifiers"), F.lit(run_ts).alias("last_updated"),
     )
     return out.withColumn("ord", F.struct("chunk_id", "char_start", "char_end", "snomed_id"))

@@ -75,15 +75,14 @@ SELECT doc_id, term, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS cha
 
 
 def _spans(found: DataFrame) -> DataFrame:
-    flag = dictionary.negated(F.lower("text"), F.col("start"), F.col("end"))
-    return found.select("doc_id", "term", F.col("start").alias("char_start"), F.col("end").alias("char_end"), flag.alias("negated"), ranking.surface_confidence("term").alias("confidence"))
+    return found.select("doc_id", "term", F.col("start").alias("char_start"), F.col("end").alias("char_end"), dictionary.negated("around").alias("negated"), ranking.surface_confidence("term").alias("confidence"))
 
 
 @_query(_SPANS_SQL)
 def dict_match_spans(s, d):
     docs = _t(s, d, "documents")
     lex = s.createDataFrame([(t,) for t in TERMS], "term string")
-    return _spans(dictionary.spans(docs, lex, "doc_id").join(docs.select("doc_id", "text"), "doc_id"))
+    return _spans(dictionary.spans(docs, lex, "doc_id"))
 
 
 @_query(f"""
