@@ -25,7 +25,7 @@ from corbel.llm.tokens import pretokens, splits_at_spaces
 
 _SPACE = "▁"
 #: Pre-tokens whose ids either generation of a worker's cache keeps.
-CACHE_SIZE = 300_000
+CACHE_SIZE = 100_000
 
 
 def _merges(scores: dict[str, float], ids: dict[str, int]) -> list[tuple[str, str]]:
