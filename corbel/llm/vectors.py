@@ -5,8 +5,8 @@ distance.  Centroids are fitted on a bounded sample and searched by a graph in
 memory.  A vector joins every list whose centroid is nearly as near as its
 nearest; a query reads every list within a distance ratio that is calibrated on
 the sample.  Long lists are split into parts of bounded size, and so are a
-list's queries; within a part scores are exact.  A query's best of the sample
-are candidates too, and their least score bounds what a list need return.
+list's queries; within a part scores are exact.  A query first reads the nearest
+of its lists, whose best bound what the others need return.
 """
 
 from __future__ import annotations
@@ -181,13 +181,13 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_column: str =
     stat = rows.agg(F.count("*").alias("n"), F.max(square).alias("m")).first()
     bound = float(stat["m"])
     lifted = F.concat("v", F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(bound) - square))))
-    some = rows.select("id", lifted.alias("x")).orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    some = rows.select(lifted.alias("x")).orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     points = _matrix(some["x"])
     graph = fit_graph(points, min(LISTS, int(np.ceil(np.sqrt(stat["n"])))))
     ratio = calibrate(graph, points[:5000], top, wanted)
     shared = spark.sparkContext.broadcast(graph)
 
-    def listed(reach: float, most: int | None, lift: bool):
+    def listed(reach: float, most: int | None, lift: bool, sizes: np.ndarray | None = None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for at in range(0, len(b), 256):
@@ -196,32 +196,36 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_column: str =
                     extra = np.sqrt(np.maximum(0, bound - (x**2).sum(1))) if lift else np.zeros(len(x))
                     x = np.column_stack([x, extra])
                     lists = shared.value.within(x, reach, most)
+                    if sizes is not None:
+                        lists = [enough(shared.value, y, row, sizes) for y, row in zip(lists, x)]
                     n = [len(y) for y in lists]
-                    yield pd.DataFrame({"list": np.concatenate(lists).astype("int32"), "id": np.repeat(block["id"].to_numpy(), n), "v": [y for y, k in zip(block["v"], n) for _ in range(k)]})
+                    out = pd.DataFrame({"list": np.concatenate(lists).astype("int32"), "id": np.repeat(block["id"].to_numpy(), n), "v": [y for y, k in zip(block["v"], n) for _ in range(k)]})
+                    yield out if sizes is None else out.assign(home=np.concatenate([np.arange(len(y)) < homes(y, sizes) for y in lists]))
 
         return run
 
+    # A vector is in REPLICAS lists at most, so lists of so many rows hold `top` others.
+    full = REPLICAS * (top + 1)
+
+    def enough(graph: Graph, lists: np.ndarray, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        # Lists stay nearest first.
+        if sizes[lists].sum() >= full:
+            return lists
+        order = np.argsort(((graph.centroids - x) ** 2).sum(1), kind="stable")
+        short = order[: np.searchsorted(sizes[order].cumsum(), full) + 1]
+        return np.concatenate([lists, short[~np.isin(short, lists)]])
+
+    def homes(lists: np.ndarray, sizes: np.ndarray) -> int:
+        # With the root of their number both readings return about as many rows.
+        return max(int(np.ceil(np.sqrt(len(lists)))), int(np.searchsorted(sizes[lists].cumsum(), full)) + 1)
+
     member = materialize(rows.mapInPandas(listed(NEARLY, REPLICAS, True), "list int, id long, v array<double>"), "lists")
-    queries = rows.where(F.col("id") % every == 0)
-    first = spark.sparkContext.broadcast((some["id"].to_numpy(), points[:, :-1]))
-
-    def of_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                q, x, y = _best(b["id"].to_numpy(), _matrix(b["v"]), *first.value, top)
-                yield pd.DataFrame({"query_id": q, "vec_id": x, "score": y})
-
-    known = materialize(queries.mapInPandas(of_sample, "query_id long, vec_id long, score double"), "known")
-    bounds = known.groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
-    asked = queries.mapInPandas(listed(ratio, None, False), "list int, id long, v array<double>")
-    asked = asked.join(bounds, F.col("id") == F.col("query_id"), "left").select("list", "id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    asked = materialize(asked, "asked")
+    sizes_of = np.zeros(len(graph.centroids), int)
+    for r in member.groupBy("list").count().collect():  # as many rows as there are lists, at most LISTS
+        sizes_of[r["list"]] = r["count"]
+    asked = materialize(rows.where(F.col("id") % every == 0).mapInPandas(listed(ratio, None, False, sizes_of), "list int, id long, v array<double>, home boolean"), "asked")
     # As many rows as there are lists.
     held = member.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    wants = asked.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("q_parts"))
-    plan = F.broadcast(held.join(wants, "list"))
-    left = asked.join(plan, "list").select("list", F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "bound")
-    right = member.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
 
     def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -229,9 +233,20 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_column: str =
         q, x, s = _best(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), top, a["bound"].to_numpy(float))
         return pd.DataFrame({"query_id": q, "vec_id": x, "score": s})
 
-    keys = ["list", "q_part", "part"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(met, "query_id long, vec_id long, score double")
-    found = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def scored(some: DataFrame) -> DataFrame:
+        wants = some.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("q_parts"))
+        plan = F.broadcast(held.join(wants, "list"))
+        left = some.join(plan, "list").select("list", F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "bound")
+        right = member.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
+        keys = ["list", "q_part", "part"]
+        return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(met, "query_id long, vec_id long, score double")
+
+    least = F.lit(float("-inf"))
+    near = materialize(scored(asked.where("home").withColumn("bound", least)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "near")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    bounds = near.select("query_id", F.col("score").alias("bound"), place.alias("place")).where(F.col("place") == top).drop("place")
+    rest = asked.where("not home").join(bounds, F.col("id") == F.col("query_id"), "left").select("list", "id", "v", F.coalesce("bound", least).alias("bound"))
+    found = near.unionByName(scored(materialize(rest, "rest"))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
 

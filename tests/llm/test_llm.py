@@ -331,6 +331,25 @@ def test_neighbours(spark):
     assert sorted((r["query_id"], r["rank"]) for r in vectors.op8_neighbours(few).collect()) == [(0, 1), (0, 2), (0, 3), (20, 1), (20, 2), (20, 3)]
 
 
+def test_neighbours_come_from_lists_alone(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(2000, 16))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    scores = v[::20] @ v.T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    want = {20 * k: set(np.argsort(-s)[:20].tolist()) for k, s in enumerate(scores)}
+
+    def recall(**how):
+        got = vectors.nearest(df, **how).collect()
+        assert len(got) == 2000
+        return np.mean([g["vec_id"] in want[g["query_id"]] for g in got])
+
+    # A sample of the whole table adds nothing to what the nearest lists hold ...
+    assert recall(sample=2000, wanted=0.0) < 0.9
+    # ... and one of a twentieth takes nothing away.
+    assert recall(sample=100) >= 0.95
+
+
 def test_graph_walk_finds_near_centroids():
     r = np.random.default_rng(3)
     g = vectors.fit_graph(r.normal(size=(3000, 6)), 120)
