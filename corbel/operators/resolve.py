@@ -86,17 +86,20 @@ def fuzzy(mentions: DataFrame, lexicon: DataFrame, cutoff: float = 88.0, block:
     """(qid, snomed_id, name, score): the likeliest lexicon name of each mention, the first of equals.
 
     Without ``block`` every name is held against every mention, for lexicons of
-    up to FUZZY_NAMES names.  With it only names that share a word are, which
-    leaves out likenesses of spelling alone.
+    up to FUZZY_NAMES names, which go to every task; mentions may be any number.
+    With it only names that share a word are, which leaves out likenesses of
+    spelling alone.
     """
-    asked = mentions.select("qid", norm_lower("text").alias("q")).where("q <> ''").distinct()
+    # A number of parts of its own: few mentions shall not end up in one task.
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = mentions.select("qid", norm_lower("text").alias("q")).where("q <> ''").repartition(parts, "qid", "q").distinct()
     if block:
         left, right = asked.select("*", F.explode(F.split("q", " ")).alias("w")), lexicon.select("*", F.explode(F.split("key", " ")).alias("w"))
         pairs = left.join(right, "w").drop("w").distinct()
     else:
         if lexicon.limit(FUZZY_NAMES + 1).count() > FUZZY_NAMES:
             raise ValueError("the lexicon is too large; set block=True")
-        pairs = lexicon.join(F.broadcast(asked.limit(100_000)), F.lit(True))
+        pairs = asked.join(F.broadcast(lexicon), F.lit(True))
     scored = pairs.withColumn("score", token_set_ratio_udf("q", "key")).where(F.col("score") >= cutoff)
     return top_rows(scored, ["qid"], [F.desc("score"), F.asc("key")]).select("qid", "snomed_id", "name", "score")
 
