@@ -54,17 +54,38 @@ def encode(df: DataFrame, text: str, encoder: Encoder, batch: int = 256, normali
     return out.withColumn(column, unit(column)) if normalize else out
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries (query_id, qvec) in blocks of about QUERIES at most."""
+    asked = queries.select("query_id", "qvec")
+    if asked.limit(QUERIES + 1).count() <= QUERIES:
+        return [asked]
+    n = asked.count() // QUERIES + 2  # hashed blocks are uneven
+    return [asked.where(F.pmod(F.xxhash64("query_id", "qvec"), F.lit(n)) == k) for k in range(n)]
+
+
+def _every(blocks: list[DataFrame]) -> DataFrame:
+    out = blocks[0]
+    for more in blocks[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def search(queries: DataFrame, rows: DataFrame, top: int = 5, metric: str = "ip") -> DataFrame:
     """Exact neighbours: query_id, row_id, rank and score of the best rows of every query.
 
-    ``queries`` has query_id and qvec, up to QUERIES rows, which go to every
-    task; ``rows`` has row_id and vec and is never shuffled: each task keeps its
-    own best, and only those meet.  Scores are inner products, or squared
-    distances with ``metric='l2'``, in double precision.
+    ``queries`` has query_id and qvec, which go to every task, QUERIES rows at a
+    time; more of them take a pass over the rows for each such block.  ``rows``
+    has row_id and vec and is never shuffled: each task keeps its own best, and
+    only those meet.  Scores are inner products, or squared distances with
+    ``metric='l2'``, in double precision.
     """
-    asked = queries.select("query_id", "qvec").limit(QUERIES + 1).collect()
-    if len(asked) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries; search them in parts")
+    found = _every([_search_block(block, rows, top, metric) for block in _blocks(queries)])
+    return top_rows(found, ["query_id"], [F.desc("score") if metric == "ip" else F.asc("score"), F.asc("row_id")], top, "rank")
+
+
+def _search_block(queries: DataFrame, rows: DataFrame, top: int, metric: str) -> DataFrame:
+    """query_id, row_id and score: each task's best rows of every query of one block."""
+    asked = queries.collect()
     ids = [r["query_id"] for r in asked]
     kind = queries.schema["query_id"].dataType.simpleString(), rows.schema["row_id"].dataType.simpleString()
     shared = queries.sparkSession.sparkContext.broadcast(np.array([r["qvec"] for r in asked], float).reshape(len(asked), -1))
@@ -83,14 +104,13 @@ def search(queries: DataFrame, rows: DataFrame, top: int = 5, metric: str = "ip"
         out = [(ids[k], r, -s if metric == "ip" else s) for k, found in best.items() for s, r in found]
         yield pd.DataFrame(out, columns=["query_id", "row_id", "score"])
 
-    found = rows.select("row_id", "vec").mapInPandas(run, f"query_id {kind[0]}, row_id {kind[1]}, score double")
-    return top_rows(found, ["query_id"], [F.desc("score") if metric == "ip" else F.asc("score"), F.asc("row_id")], top, "rank")
+    return rows.select("row_id", "vec").mapInPandas(run, f"query_id {kind[0]}, row_id {kind[1]}, score double")
 
 
 def search_by_expression(queries: DataFrame, rows: DataFrame, top: int = 5, metric: str = "ip") -> DataFrame:
-    """The same in expressions only, for a few queries: one join with a broadcast side, then the best per query."""
+    """The same in expressions only, for a few queries: a join with a broadcast side for each block, then the best per query."""
     score = dot("qvec", "vec") if metric == "ip" else squared_distance("qvec", "vec")
-    pairs = rows.select("row_id", "vec").join(F.broadcast(queries.select("query_id", "qvec").limit(QUERIES)), F.size("vec") == F.size("qvec"))
+    pairs = _every([rows.select("row_id", "vec").join(F.broadcast(block), F.size("vec") == F.size("qvec")) for block in _blocks(queries)])
     return top_rows(pairs.select("query_id", "row_id", score.alias("score")), ["query_id"], [F.desc("score") if metric == "ip" else F.asc("score"), F.asc("row_id")], top, "rank")
 
 

@@ -1,9 +1,24 @@
 """Inputs beyond the sizes that operators ship to every task at once."""
 
-from corbel.operators import resolve
+import random
+
+from corbel.operators import resolve, vectors
 
 
 def test_every_mention_is_scored(spark):
     lex = spark.createDataFrame([("renal failure", "1", "Renal failure")], "key string, snomed_id string, name string")
     asked = spark.range(100_050).selectExpr("id as qid", "'failure renal' as text")
     assert resolve.fuzzy(asked, lex).count() == 100_050
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    rows = spark.createDataFrame([(k, [r.random() for _ in range(4)]) for k in range(30)], "row_id int, vec array<float>")
+    asked = rows.selectExpr("row_id as query_id", "vec as qvec")
+    for run in (vectors.search, vectors.search_by_expression):
+        for metric in ("ip", "l2"):
+            want = sorted((x["query_id"], x["rank"], x["row_id"]) for x in run(asked, rows, 3, metric).collect())
+            assert len(want) == 90
+            with monkeypatch.context() as m:
+                m.setattr(vectors, "QUERIES", 7)
+                assert sorted((x["query_id"], x["rank"], x["row_id"]) for x in run(asked, rows, 3, metric).collect()) == want
