@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corbel import constants as K
 from corbel.functions.keys import short_sha1
@@ -85,6 +86,36 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
     return texts.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
 
 
+def holding(texts: DataFrame, terms: DataFrame, text_column: str = "text") -> DataFrame:
+    """``texts`` with the column term: each row once for every term that its text holds as it stands.
+
+    The terms go to every task as in ``spans``; any number of them will do.
+    """
+    distinct = terms.select("term").where("term <> ''").distinct()
+    parts = -(-distinct.count() // BROADCAST_TERMS)
+    if parts > 1:
+        parts += 1  # hashed parts are uneven
+        found = [holding(texts, distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k), text_column) for k in range(parts)]
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+    keys = texts.sparkSession.sparkContext.broadcast(sorted(r[0] for r in distinct.collect()))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k in keys.value:
+            machine.add_word(k, k)
+        machine.make_automaton()
+        for b in batches:
+            yield pd.Series([sorted({t for _, t in machine.iter(x or "")}) if len(machine) else [] for x in b], dtype=object)
+
+    return texts.withColumn("term", F.explode(held(text_column)))
+
+
 def condition_links(chunks: DataFrame, lex: DataFrame, run_ts: str, words: bool = False) -> DataFrame:
     """One link for each mention of a concept in the sections that make links."""
     link = literal_map(K.SECTION_LINK)[F.col("section")]

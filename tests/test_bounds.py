@@ -2,7 +2,8 @@
 
 import random
 
-from corbel.operators import resolve, vectors
+from corbel.operators import dictionary, resolve, vectors
+from corbel.plans import evidence
 
 
 def test_every_mention_is_scored(spark):
@@ -22,3 +23,21 @@ def test_queries_in_blocks(spark, monkeypatch):
             with monkeypatch.context() as m:
                 m.setattr(vectors, "QUERIES", 7)
                 assert sorted((x["query_id"], x["rank"], x["row_id"]) for x in run(asked, rows, 3, metric).collect()) == want
+
+
+def test_labels_are_elected_for_all_names(spark, monkeypatch):
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefghijklmnop") for _ in range(101_000))
+    names = sorted({text[k : k + 14] for k in range(100_500)})
+    rows = spark.createDataFrame([("s1", "x", text, 0), ("s2", "x", text[:20], 1), ("s2", "x", text[:20].upper(), 2)], "spl_set_id string, section string, text string, ord int")
+    asked = spark.createDataFrame([(k, n.upper(), "") for k, n in enumerate(names)], "qid int, drug_name string, question_label string")
+    got = {x["qid"]: x["elected"] for x in evidence.elect_labels(asked, rows).collect()}
+    assert got == {k: "s2" if n in text[:20] else "s1" for k, n in enumerate(names)}
+
+
+def test_terms_held_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "BROADCAST_TERMS", 2)
+    texts = spark.createDataFrame([(1, "abcab"), (2, "b"), (3, None), (4, "B")], "k int, text string")
+    terms = spark.createDataFrame([(t,) for t in ("a", "ab", "b", "bca", "x", "", "a")], "term string")
+    assert sorted((x["k"], x["term"]) for x in dictionary.holding(texts, terms).collect()) == [(1, "a"), (1, "ab"), (1, "b"), (1, "bca"), (2, "b")]
+    assert dictionary.holding(texts, terms.where("false")).count() == 0
