@@ -104,7 +104,7 @@ def all_negated_flag(s, d):
 @_query("""SELECT b.item_id, CAST(count(*) AS BIGINT) AS docs, min(d.doc_id) AS first_doc
 FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text)) GROUP BY b.item_id""")
 def passage_contains(s, d):
-    items = _t(s, d, "benchmark").select("item_id", F.lower("text").alias("term")).limit(dictionary.BROADCAST_TERMS)
+    items = _t(s, d, "benchmark").select("item_id", F.lower("text").alias("term"))
     found = dictionary.spans(_t(s, d, "documents"), items, "doc_id").select("doc_id", "term").distinct().join(items, "term")
     return found.groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 

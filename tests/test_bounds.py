@@ -2,6 +2,7 @@
 
 import random
 
+from corbel import queries
 from corbel.operators import dictionary, resolve, vectors
 from corbel.plans import evidence
 
@@ -41,3 +42,11 @@ def test_terms_held_in_parts(spark, monkeypatch):
     terms = spark.createDataFrame([(t,) for t in ("a", "ab", "b", "bca", "x", "", "a")], "term string")
     assert sorted((x["k"], x["term"]) for x in dictionary.holding(texts, terms).collect()) == [(1, "a"), (1, "ab"), (1, "b"), (1, "bca"), (2, "b")]
     assert dictionary.holding(texts, terms.where("false")).count() == 0
+
+
+def test_every_passage_is_looked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dictionary, "BROADCAST_TERMS", 40)
+    spark.createDataFrame([(k, f"Passage {k}!") for k in range(100)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, "x " + " ".join(f"passage {k}!" for k in range(99))), (6, "PASSAGE 7!")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(x) for x in queries.queries()["passage_contains"](spark, str(tmp_path)).collect())
+    assert got == [(k, 2 if k == 7 else 1, 5) for k in range(99)]
