@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel.llm.common import materialize, text_of
@@ -54,14 +54,14 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: Column) -> DataFrame:
     """(id, signed 64-bit fingerprint) of every whole text; null texts count as empty."""
 
     @F.pandas_udf("long")
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select(F.col(id_column).alias("id"), made(text_of(text_column)).alias("fp"))
+    return docs.select(F.col(id_column).alias("id"), made(text_of(text_column)).alias("fp"), *more)
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -173,6 +173,12 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, pairwise: int
     return found.where("v is not null").unionByName(stars)
 
 
+def _classes(prints: DataFrame, distance: int, pairwise: int) -> DataFrame:
+    """(fp, root, least) for the distinct fingerprints of ``prints`` (fp, least), root the same for all that links reach."""
+    roots = components(links(prints.select("fp"), distance, pairwise=pairwise))
+    return materialize(prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = 4, pairwise: int = PAIRWISE) -> DataFrame:
     """(id, fp, component): the component is the smallest id that links reach, itself included.
 
@@ -180,10 +186,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component.  Repeated ids stay repeated.  An empty table gives no rows.
     """
     made = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = made.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(classes.select("fp"), distance, pairwise=pairwise))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = materialize(named, "classes")
+    named = _classes(made.groupBy("fp").agg(F.min("id").alias("least")), distance, pairwise)
     smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "smallest")
     return made.join(named.join(smallest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
@@ -195,12 +198,16 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns.
+    """One row of each component, the one with the smallest id, with its own columns.
 
-    Rows without an id are kept; of rows with the same id one copy of each
-    differing row is kept.
+    Rows without an id come last, so they stay only where no other does; among
+    equal ids the text's digest decides, and among equal texts a hash of the row.
     """
-    found = near_duplicates(docs).where("id = component").select(F.col("id").alias("__id")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(found, docs["doc_id"] == found["__id"], "left_semi").select(*names)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).select(*names))
+    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text_of().cast("binary"))).cast("binary"))
+    made = materialize(fingerprints(docs, "doc_id", "text", key.alias("key")), "fingerprints")
+    named = _classes(made.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least")), 4, PAIRWISE)
+    first = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
+    kept = docs.withColumn("__key", key).join(first, "__key", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*names)))
+    return kept.withColumn("__copy", copy).where("__copy = 1").select(*names)

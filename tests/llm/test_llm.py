@@ -223,6 +223,13 @@ def test_simhash(docs, rows):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = words(60, 70), words(60, 71), words(60, 72)
+    rows = [(1, a), (1, a), (1, b), (0, b), (None, a), (None, c), (None, c), (2, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", None, k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else 9, r["text"] or "") for r in simhash.keep_one(df).collect()) == [(0, b), (1, a), (2, ""), (9, c)]
+
+
 @pytest.mark.parametrize("pairwise", [4096, 3])
 def test_links_span_components(spark, pairwise):
     r = random.Random(4)
