@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm.chunks import op1_chunks
-from corbel.llm.common import table
+from corbel.llm.common import small_batches, table
 from corbel.llm.imatch import op7_imatch
 from corbel.llm.mixing import op10_mixing
 from corbel.llm.pieces import op6_pieces
@@ -31,18 +31,25 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, to be read in small batches, as texts may be very long: a setting of the session."""
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def queries() -> dict[str, Query]:
+    """The query of each operator over its whole table."""
     return {
-        "op1_chunks": lambda s, d: op1_chunks(table(s, d, "documents")),
-        "op2_suffixes": lambda s, d: op2_suffixes(table(s, d, "documents")),
-        "op3_tokens": lambda s, d: op3_tokens(table(s, d, "documents"), tokenizer(PIECES)),
-        "op4_simhash": lambda s, d: op4_simhash(table(s, d, "documents")),
-        "op5_toxicity": lambda s, d: op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
-        "op6_pieces": lambda s, d: op6_pieces(table(s, d, "documents"), tokenizer(PIECES)),
-        "op7_imatch": lambda s, d: op7_imatch(table(s, d, "documents")),
+        "op1_chunks": lambda s, d: op1_chunks(documents(s, d)),
+        "op2_suffixes": lambda s, d: op2_suffixes(documents(s, d)),
+        "op3_tokens": lambda s, d: op3_tokens(documents(s, d), tokenizer(PIECES)),
+        "op4_simhash": lambda s, d: op4_simhash(documents(s, d)),
+        "op5_toxicity": lambda s, d: op5_toxicity(documents(s, d), table(s, d, "labels")),
+        "op6_pieces": lambda s, d: op6_pieces(documents(s, d), tokenizer(PIECES)),
+        "op7_imatch": lambda s, d: op7_imatch(documents(s, d)),
         "op8_neighbours": lambda s, d: op8_neighbours(table(s, d, "embeddings")),
-        "op9_quality": lambda s, d: op9_quality(table(s, d, "documents"), table(s, d, "labels")),
-        "op10_mixing": lambda s, d: op10_mixing(table(s, d, "documents")),
+        "op9_quality": lambda s, d: op9_quality(documents(s, d), table(s, d, "labels")),
+        "op10_mixing": lambda s, d: op10_mixing(documents(s, d)),
     }
 
 
