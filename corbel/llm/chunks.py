@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corbel.llm.common import materialize, text_of
+from corbel.llm.common import materialize, packed, text_of, unpacked
 
 #: Bytes that the gear hash remembers.
 GEAR_WINDOW = 32
@@ -80,40 +80,50 @@ def edges(raw: bytes, reach: int = REACH) -> list[int]:
 
 
 def chunk_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH) -> DataFrame:
-    """(id, pos, size, d1, d2) for every chunk of every whole text; null and empty texts have none."""
-    schema = "id long, pos int, size int, d1 long, d2 long"
+    """(id, key, pos, size, d1, d2) for every chunk of every whole text; null and empty texts have none.
+
+    The key, a hash of the whole text, tells texts of one id apart.
+    """
+    schema = "id long, key long, pos int, size int, d1 long, d2 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, counts, places, sizes, digests = [], [], [], [], []
+            ids, keys, counts, places, sizes, digests = [], [], [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode("utf-8", "replace")
                 ends = edges(raw, reach)
                 ids.append(k)
+                keys.append(text_key(raw))
                 counts.append(len(ends) - 1)
                 places += ends[:-1]
                 sizes += [b - a for a, b in zip(ends, ends[1:])]
                 digests += [digest(raw[a:b]) for a, b in zip(ends, ends[1:])]
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            keys = np.repeat(np.array([x if x is not None else 0 for x in ids], np.int64), counts)
+            owners = np.repeat(np.array([x if x is not None else 0 for x in ids], np.int64), counts)
             none = np.repeat(np.array([x is None for x in ids], bool), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, mask=none), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["id", "pos", "size", "d1", "d2"])
+            columns = [pa.array(owners, mask=none), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "pos", "size", "d1", "d2"])
 
     return docs.select(F.col(id_column).cast("long"), text_of(text_column)).mapInArrow(cut, schema)
 
 
+def text_key(raw: bytes) -> int:
+    """The hash of a text that Spark's xxhash64 gives too."""
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).astype(np.int64))
+
+
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """(id, pos, size) of every chunk that an earlier one equals.
+    """(id, key, pos, size) of every chunk that an earlier one equals.
 
-    Earlier is a smaller id, or the same id and a smaller place.  Digests are
-    counted on the map side first.  Those that repeat are written, so that the
-    join back meets plain shuffles, of which Spark can split a large key.
+    Earlier is a smaller id, then a smaller key, then a smaller place.  Digests
+    are counted on the map side first.  Those that repeat are written, so that
+    the join back meets plain shuffles, of which Spark can split a large key.
     """
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     first = materialize(first, "digests")
     found = chunks.join(first, ["d1", "d2"])
-    return found.where(F.struct("id", "pos") > F.col("first")).select("id", "pos", "size")
+    return found.where(F.struct("id", "key", "pos") > F.col("first")).select("id", "key", "pos", "size")
 
 
 def cut_text(text: str, places, least: int = LEAST_RUN) -> tuple[bytes, int, int]:
@@ -145,32 +155,40 @@ def cut_text(text: str, places, least: int = LEAST_RUN) -> tuple[bytes, int, int
     return b"".join(kept), removed, n
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH, least: int = LEAST_RUN) -> DataFrame:
-    """``docs`` with the text cut, and n_bytes, n_removed, n_spans and kept_sha256 beside it.
+_CUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
-    A document that is all repeats keeps its row with the empty text.  Null
-    texts count as empty and stay null.  Rows without an id are left as they
-    are; rows that share an id are cut alike, by the places of any of them.
-    Columns of those names are replaced.
-    """
-    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+def _cut_rows(docs: DataFrame, id_column: str, text_column: str, reach: int, least: int) -> DataFrame:
+    """(row, cut): every row, and its text without repeats (kept) with the figures of the cut."""
     chunks = chunk_rows(docs.where(F.col(id_column).isNotNull()), id_column, text_column, reach)
-    spans = repeated_chunks(chunks).groupBy("id").agg(F.collect_set(F.struct("pos", "size")).alias("__spans")).withColumnRenamed("id", "__id")
-    names = [c for c in docs.columns if c not in made]
+    spans = repeated_chunks(chunks).groupBy(F.col("id").alias("owner"), F.col("key").alias("owner_key")).agg(F.collect_set(F.struct("pos", "size")).alias("found"))
 
     @F.pandas_udf("kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in batches:
+        for texts, found in batches:
             rows = []
-            for text, found in zip(texts, spans):
-                raw, removed, n = cut_text(text or "", [] if found is None else [(x["pos"], x["size"]) for x in found], least)
+            for text, some in zip(texts, found):
+                raw, removed, n = cut_text(text or "", [] if some is None else [(x["pos"], x["size"]) for x in some], least)
                 kept = None if text is None else raw.decode("utf-8", "replace")
                 rows.append((kept, len(raw) + removed, removed, n, hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(rows, columns=["kept", *made])
+            yield pd.DataFrame(rows, columns=["kept", *_CUT])
 
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(spans, F.col(id_column).cast("long") == F.col("__id"), "left")
-    done = joined.withColumn("__cut", cut(F.col(text_column), F.col("__spans")))
-    return done.select(*[F.col("__cut.kept").alias(c) if c == text_column else F.col(f"`{c}`") for c in names], *[F.col(f"__cut.{c}").alias(c) for c in made])
+    rows = packed(docs, id=F.col(id_column).cast("long"), key=F.xxhash64(text_of(text_column)))
+    joined = rows.join(spans, (F.col("id") == F.col("owner")) & (F.col("key") == F.col("owner_key")), "left")
+    return joined.select("row", cut(F.col("row").getField(text_column), F.col("found")).alias("cut"))
+
+
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH, least: int = LEAST_RUN) -> DataFrame:
+    """``docs`` with the text cut, and n_bytes, n_removed, n_spans and kept_sha256 beside it.
+
+    A document that is all repeats keeps its row with the empty text.  Null
+    texts count as empty and stay null.  Rows without an id neither remove nor
+    are removed.  Texts that share an id are documents of their own, in the
+    order of a hash of theirs; rows that repeat as a whole are cut alike, as one
+    document.  Columns of those names are replaced; an empty table gives no rows.
+    """
+    done = _cut_rows(docs, id_column, text_column, reach, least)
+    return unpacked(done, docs.columns, **{text_column: F.col("cut.kept")}, **{c: F.col(f"cut.{c}") for c in _CUT})
 
 
 def op1_chunks(docs: DataFrame) -> DataFrame:
@@ -179,6 +197,10 @@ def op1_chunks(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with their repeated passages cut, with their own columns; n_chars, where there is one, is counted anew."""
-    done = remove_repeats(docs)
-    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """The documents with their repeated passages cut, with their own columns; n_chars, where there is one, is counted anew.
+
+    Nulls, repeated ids and empty tables: see ``remove_repeats``.  No row is lost.
+    """
+    done = _cut_rows(docs, "doc_id", "text", REACH, LEAST_RUN)
+    text = F.col("cut.kept")
+    return unpacked(done, docs.columns, text=text, **({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}))
