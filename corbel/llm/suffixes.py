@@ -9,7 +9,9 @@ the bucket of its anchor.  A bucket settles equal fragments, and for anchors
 with differing fragments builds the transform of each shard's fragments and
 merges them: an interleave of the shards is refined symbol by symbol, which
 yields common prefixes and, after ``width`` rounds, the intervals of equal
-strings, without sorting the suffixes of different shards together.
+strings, without sorting the suffixes of different shards together.  Anchors of
+very many fragments, as a line that stands in every document among ever other
+words has, are split: their strings go to buckets by digests of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from corbel.llm.common import text_of
 WIDTH, GRAM = 50, 16
 #: Bytes that are hashed at once, that a shard gathers, and that a bucket holds on the average.
 BLOCK, SHARD, BUCKET = 1 << 15, 16 << 20, 3 << 20
+#: Fragments of one anchor that a bucket may get, estimated from one document in so many; the bound rises with the bytes of a
+#: table beyond 2^40, so that there are never more than about a million split anchors, which every task is told.
+CROWD, SAMPLED = 1 << 16, 16
 #: Strings of a fragment at most; a longer run is cut, which changes no result.
 RUN = 256
 
@@ -192,6 +197,14 @@ def _spans(bucket, ids, keys, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["bucket", "shard", "payload", "id", "key", "a", "b"])
 
 
+def _string_spans(rows: np.ndarray, buckets: int = 1) -> pa.RecordBatch:
+    """The spans of strings, joined within each text."""
+    docs, back = np.unique(rows[["id", "key"]], return_inverse=True)
+    start = rows["at"].astype(np.int64)
+    d, a, b = _joined(back, start, start + WIDTH)
+    return _spans(np.abs(docs["id"][d] % buckets), docs["id"][d], docs["key"][d].astype(np.int64), a, b)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, all first bytes first: like bytes stand together."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -282,16 +295,18 @@ def _anchor_rows(buckets: int):
             if shared.any():
                 yield _tag_rows(buckets, owner[shared], tag[shared])
             tag, owner = tag[cut[:-1]], owner[cut[:-1]]
-            base = int(owner.min())
-            # Entries of anchors that are known to be shared need no answer.
-            code = np.where(several, 0, owner - base + 1).astype(np.int64)
+            # Owners by their place among the ids; anchors that are known to be shared need no answer and have 0.
+            several = several.astype(bool)
             bucket = (tag >> 32).astype(np.int64)
             at = _cuts(bucket)
             payloads = []
             for i, j in zip(at[:-1], at[1:]):
                 low = (tag[i:j] & 0xFFFFFFFF).astype(np.uint32)
                 low[1:] = low[1:] - low[:-1]  # sorted, so differences are small
-                payloads.append(np.array([j - i, base], np.int64).tobytes() + zlib.compress(_planes(low) + _planes(code[i:j]), 1))
+                known, code = np.unique(owner[i:j][~several[i:j]], return_inverse=True)
+                place = np.zeros(j - i, np.uint32)
+                place[~several[i:j]] = code + 1
+                payloads.append(np.array([j - i, len(known)], np.int64).tobytes() + zlib.compress(_planes(low) + _planes(place) + known.tobytes(), 1))
             m = len(payloads)
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]], pa.int32()), pa.array(payloads, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=["bucket", "payload", "id", "tags"])
 
@@ -326,19 +341,22 @@ def _shared_anchors(buckets: int):
             if bucket is None:
                 yield rows
                 continue
-            low, owner = [], []
+            low, owner, known = [], [], []
             for _, payload, _, _ in rows:
-                n, base = np.frombuffer(payload[:16], np.int64)
+                n, m = np.frombuffer(payload[:16], np.int64)
                 plain = zlib.decompress(payload[16:])
                 low.append(np.cumsum(_unplaned(plain[: 4 * n], np.dtype("<u4"), n), dtype=np.uint32))
-                code = _unplaned(plain[4 * n :], np.dtype("<i8"), n)
-                owner.append(np.where(code > 0, code + base - 1, np.iinfo(np.int64).min))
-            low, owner = np.concatenate(low), np.concatenate(owner)
+                place = _unplaned(plain[4 * n : 8 * n], np.dtype("<u4"), n).astype(np.int64)
+                ids_of = np.frombuffer(plain[8 * n :], np.int64)
+                known.append(place == 0)
+                owner.append(np.concatenate([[0], ids_of])[place])
+            low, owner, known = np.concatenate(low), np.concatenate(owner), np.concatenate(known)
             order = np.argsort(low, kind="stable")
-            low, owner = low[order], owner[order]
+            low, owner, known = low[order], owner[order], known[order]
             at = _cuts(low)
-            known = owner == np.iinfo(np.int64).min
-            shared = (np.minimum.reduceat(owner, at[:-1]) != np.maximum.reduceat(owner, at[:-1])) | np.logical_or.reduceat(known, at[:-1])
+            # More than one owner, or a shard that told so.
+            first = np.repeat(owner[at[:-1]], np.diff(at))
+            shared = np.logical_or.reduceat(known | (owner != first), at[:-1])
             goes = np.repeat(shared, np.diff(at)) & ~known
             ids.append(owner[goes])
             tags.append(low[goes].astype(np.int64) | np.int64(bucket) << 32)
@@ -352,22 +370,82 @@ def _shared_anchors(buckets: int):
     return run
 
 
-def _shard(buckets: int):
-    """Over (id, text, shared anchors): spans that a shard settles by itself, and its fragments by bucket."""
+def _counted_anchors(buckets: int):
+    """Over (id, text): how many differing fragments of each anchor a shard has, about: those whose first and last grams differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, _, (doc, at, n, anchor) in _anchored(batches):
+            if not len(doc):
+                continue
+            ends = [hash((texts[d][a : a + GRAM], texts[d][a + k + WIDTH - 1 - GRAM : a + k + WIDTH - 1])) for d, a, k in zip(doc.tolist(), at.tolist(), n.tolist())]
+            pairs = np.unique(np.stack([_tagged(anchor, buckets), np.array(ends, np.int64)], axis=1), axis=0)
+            tags, counts = np.unique(pairs[:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(counts.astype(np.int64))], names=["tag", "n"])
+
+    return run
+
+
+def crowded_anchors(plain: DataFrame, buckets: int, total: int, crowd: int = CROWD) -> np.ndarray:
+    """The tags of anchors of very many fragments, sorted; told from one document in SAMPLED, as it bears on the split only."""
+    some = plain.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0) if crowd >= SAMPLED else plain
+    least = max(crowd, total >> 24) / (SAMPLED if crowd >= SAMPLED else 1)
+    found = some.mapInArrow(_counted_anchors(buckets), "tag long, n long").groupBy("tag").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return np.sort(np.array([r["tag"] for r in found.select("tag").collect()], np.int64))
+
+
+_STRING = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("id", "<i8"), ("key", "<u4"), ("at", "<i4")])
+
+
+def _least_first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in the order of digest and id, and whether a smaller id has the same."""
+    rows = rows[np.lexsort((rows["at"], rows["id"], rows["d2"], rows["d1"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["d1"][1:] != rows["d1"][:-1]) | (rows["d2"][1:] != rows["d2"][:-1])
+    first = rows["id"][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return rows, rows["id"] > first
+
+
+def _shard(buckets: int, crowded):
+    """Over (id, text, shared anchors): spans that a shard settles by itself, and its fragments by bucket.
+
+    Strings of crowded anchors go to buckets below zero, by their digest.
+    """
     import zlib
 
     digest = xxhash.xxh3_128_digest
 
+    def apart(texts, id_of, key_of, doc, at, n) -> Iterator[pa.RecordBatch]:
+        """The strings of crowded anchors, those that a smaller id of the shard has as spans."""
+        owner = np.repeat(doc, n)
+        start = np.repeat(at - (n.cumsum() - n), n) + np.arange(n.sum())
+        two = np.frombuffer(b"".join(digest(texts[d][a : a + WIDTH]) for d, a in zip(owner.tolist(), start.tolist())), np.int64).reshape(-1, 2)
+        rows = np.zeros(len(owner), _STRING)
+        rows["d1"], rows["d2"], rows["id"], rows["key"], rows["at"] = two[:, 0], two[:, 1], id_of[owner], key_of[owner], start
+        rows, later = _least_first(rows)
+        if later.any():
+            yield _string_spans(rows[later], buckets)
+        rows = rows[~later]
+        goes = rows["d1"] % buckets
+        rows, goes = rows[np.argsort(goes, kind="stable")], np.sort(goes)
+        cut = _cuts(goes)
+        m = len(cut) - 1
+        payloads = [zlib.compress(rows[i:j].tobytes(), 1) for i, j in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - goes[cut[:-1]], pa.int32()), pa.nulls(m, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=["bucket", "shard", "payload", "id", "key", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, more, (doc, at, n, anchor) in _anchored(batches):
             wanted = np.frombuffer(b"".join(t for (tags,) in more for t in tags or ()), np.int64)
             some = np.isin(_tagged(anchor, buckets), wanted)
+            id_of, key_of = np.array(ids, np.int64), np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
+            hot = some & np.isin(_tagged(anchor, buckets), crowded.value)
+            if hot.any():
+                yield from apart(texts, id_of, key_of, doc[hot], at[hot], n[hot])
+                some &= ~hot
             doc, at, n, anchor = doc[some], at[some], n[some], anchor[some]
             if not len(doc):
                 continue
             bodies = [texts[d][a : a + k] for d, a, k in zip(doc.tolist(), at.tolist(), (n + WIDTH - 1).tolist())]
             two = np.frombuffer(b"".join(map(digest, bodies)), np.int64).reshape(-1, 2)
-            id_of, key_of = np.array(ids, np.int64), np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
             order = np.lexsort((at, id_of[doc], two[:, 1], two[:, 0]))
             s = two[order]
             new = np.ones(len(s), bool)
@@ -500,6 +578,11 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bucket is None:
             yield found
             continue
+        if bucket < 0:
+            strings, later = _least_first(np.concatenate([np.frombuffer(zlib.decompress(payload), _STRING) for _, _, payload, *_ in found]))
+            if later.any():
+                yield _string_spans(strings[later])
+            continue
         rows, shards, body = [], [], []
         for _, shard, payload, *_ in found:
             n = int(np.frombuffer(payload[:8], np.int64)[0])
@@ -526,19 +609,22 @@ def _by_id(docs: DataFrame, id_column: str, text_column: str, parts: int) -> Dat
     return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text")).repartition(parts, "id")
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", crowd: int = CROWD) -> DataFrame:
     """(id, key, a, b): spans of bytes that equal strings of WIDTH bytes in smaller ids cover; key tells texts of one id apart.
 
-    Spans may overlap.  Rows without an id neither remove nor are removed.
+    Spans may overlap.  Rows without an id neither remove nor are removed.  Any
+    64-bit ids will do.  ``crowd``: fragments from which on an anchor is split.
     """
-    plain = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text_of(text_column))
+    spark = docs.sparkSession
+    plain = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     buckets = max(32, int(total / BUCKET))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    crowded = spark.sparkContext.broadcast(crowded_anchors(plain, buckets, total, crowd))
     anchors = plain.mapInArrow(_anchor_rows(buckets), _TAGS).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors(buckets), _TAGS)
     shared = anchors.groupBy(F.col("id").alias("__id")).agg(F.collect_list("tags").alias("tags"))
     dealt = _by_id(docs, id_column, text_column, parts)
-    cut = dealt.join(shared, F.col("id") == F.col("__id")).select("id", "text", "tags").mapInArrow(_shard(buckets), _OUT)
+    cut = dealt.join(shared, F.col("id") == F.col("__id")).select("id", "text", "tags").mapInArrow(_shard(buckets, crowded), _OUT)
     return cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket, _OUT).select("id", "key", "a", "b")
 
 
