@@ -7,11 +7,15 @@ fingerprints arrive sorted, and the comparison emits a spanning forest of the
 true links instead of all pairs.  Keys of very many fingerprints are not
 compared pairwise: their fingerprints meet at the values halfway between them,
 which is exact as well and linear in their number.
+
+``near_duplicates`` links by Hamming distance alone.  ``keep_one``, the stage
+of a pipeline, takes such links between two fingerprints of a text's words as
+candidates and keeps those whose shingles of five words are alike by 0.8.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -19,17 +23,16 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corbel.llm.common import materialize, text_of
+from corbel.llm.common import materialize, packed, row_hash, text_of, unpacked
 from corbel.llm.graph import components
 
 BITS = 64
 #: Fingerprints of one key that are compared pairwise, in one task, at most.
 PAIRWISE = 4096
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _SMALL = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -54,14 +57,14 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: Column) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, signed 64-bit fingerprint) of every whole text; null texts count as empty."""
 
     @F.pandas_udf("long")
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select(F.col(id_column).alias("id"), made(text_of(text_column)).alias("fp"), *more)
+    return docs.select(F.col(id_column).alias("id"), made(text_of(text_column)).alias("fp"))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -197,17 +200,98 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest id, with its own columns.
+def word_fingerprints(text: str) -> tuple[int, int]:
+    """Two independent SimHashes, signed, of a text's words, each with the root of its count; 0 without words.
+
+    Words move less of a fingerprint than shingles when a text is edited, so
+    that few bits tell near copies from other texts.
+    """
+    seen = Counter(text.encode("utf-8", "replace").translate(_SMALL).split())
+    if not seen:
+        return 0, 0
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, seen)), np.uint8).reshape(-1, 16)
+    weights, total = np.sqrt(np.fromiter(seen.values(), float, len(seen))), np.zeros(128)
+    for k in range(0, len(weights), 8192):
+        total += weights[k : k + 8192] @ np.unpackbits(digests[k : k + 8192], axis=1)
+    a, b = np.packbits(2 * total > weights.sum()).view("<i8")
+    return int(a), int(b)
+
+
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; of fewer words the whole, of none the empty set."""
+    words = text.encode("utf-8", "replace").translate(_SMALL).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([h(b" ".join(words[k : k + width])) for k in range(max(1, len(words) - width + 1))], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared members of two sorted sets, of all; 1 for two empty ones."""
+    both = len(a) + len(b)
+    if not both:
+        return 1.0
+    shared = both - len(np.union1d(a, b))
+    return shared / (both - shared)
+
+
+def _candidates(texts: DataFrame, distance: int, pairwise: int) -> DataFrame:
+    """(u, v): digests of texts with a fingerprint in common or linked ones, as spanning links; ``texts`` has digest, fp0 and fp1."""
+    found = []
+    for fp in ("fp0", "fp1"):
+        first = materialize(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("digest").alias("first")), "first")
+        near = links(first.select("fp"), distance, pairwise=pairwise)
+        near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("du")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("dv")), "v")
+        same = texts.select(F.col(fp).alias("fp"), "digest").join(first, "fp").where("digest <> first")
+        found += [near.select("du", "dv"), same.select(F.col("first").alias("du"), F.col("digest").alias("dv"))]
+    every = found[0].union(found[1]).union(found[2]).union(found[3])
+    return materialize(every.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct(), "candidates")
+
+
+def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
+    """Texts (digest, least, fp0, fp1), least the first of their rows, and the candidate links (u, v) between them that are verified.
+
+    ``docs`` has id, text, digest and key, which stands for a row.
+    """
 
-    Rows without an id come last, so they stay only where no other does; among
-    equal ids the text's digest decides, and among equal texts a hash of the row.
+    @F.pandas_udf("fp0 long, fp1 long")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([word_fingerprints(t) for t in texts], columns=["fp0", "fp1"])
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(a, b)])
+
+    made = materialize(docs.select("id", "digest", "key", prints("text").alias("p")).select("id", "digest", "key", "p.*"), "fingerprints")
+    texts = made.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
+    texts = materialize(texts, "texts")
+    links_ = _candidates(texts, distance, pairwise)
+    # Only one row of each text in a link gives its shingles.
+    wanted = links_.select(F.col("u").alias("digest")).union(links_.select("v")).distinct().join(texts, "digest").select(F.col("least.key").alias("key"))
+    sets = docs.join(wanted.hint("shuffle_hash"), "key", "left_semi").select("digest", shingles("text").alias("grams")).dropDuplicates(["digest"])
+    sets = materialize(sets, "shingles")
+    pairs = links_.join(sets.select(F.col("digest").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("grams").alias("b")), "v")
+    return texts, pairs.where(close("a", "b")).select("u", "v")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> DataFrame:
+    """One row of each group of near copies, the one with the smallest id, with its own columns.
+
+    Equal texts are near copies, null counts as empty, and so are texts that
+    verified links connect.  Rows without an id come last, so they stay only
+    where no other does; among equal ids the text's digest decides, and among
+    equal texts a hash of the row.  An empty table gives no rows.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text_of().cast("binary"))).cast("binary"))
-    made = materialize(fingerprints(docs, "doc_id", "text", key.alias("key")), "fingerprints")
-    named = _classes(made.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least")), 4, PAIRWISE)
-    first = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
-    kept = docs.withColumn("__key", key).join(first, "__key", "left_semi")
-    copy = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*names)))
-    return kept.withColumn("__copy", copy).where("__copy = 1").select(*names)
+    digest = F.md5(text_of().cast("binary"))
+    rows = packed(docs, id=F.col("doc_id"), text=text_of(), digest=digest, key=F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), digest).cast("binary")), place=row_hash(docs))
+    texts, found = alike(rows.select("id", "text", "digest", "key"), width, similarity, distance, pairwise)
+    roots = components(found)
+    named = texts.join(roots, texts.digest == roots.node, "left").select(F.coalesce("root", "digest").alias("root"), "least")
+    first = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
+    kept = rows.select("row", "key", "place").join(first, "key", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("place"))
+    return unpacked(kept.withColumn("copy", copy).where("copy = 1"), docs.columns)
