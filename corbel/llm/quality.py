@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corbel.llm.common import fold, text_of
+from corbel.llm.common import fold, packed, text_of, unpacked
 
 #: Names of the document statistics, in the order of the columns.
 STATISTICS = (
@@ -153,26 +153,36 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, ra
     return Forest(depth, base, feature, threshold, value)
 
 
+def sample_rows(docs: DataFrame, ids: DataFrame, id_column: str, *columns) -> DataFrame:
+    """One row of ``docs`` for each of the few ``ids`` (__id, __y): __id, __y and the columns, of rows with one id the least by their hash.
+
+    ``ids`` is a bounded sample, so it may be broadcast; the rows are reduced on
+    the map side before they are shuffled.
+    """
+    names = [f"__c{k}" for k in range(len(columns))]
+    rows = docs.select(F.col(id_column).alias("__id"), *[c.alias(n) for c, n in zip(columns, names)]).join(F.broadcast(ids), "__id")
+    return rows.groupBy("__id", "__y").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("c")).select("__id", "__y", *[F.col(f"c.{n}").alias(n) for n in names])
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", train_rows: int = TRAIN_ROWS, keep=None) -> Forest:
     """Fit on at most ``train_rows`` labelled rows for whose id ``keep`` holds.
 
-    Repeated ids count once with their largest label; null ids and labels are
-    left out.  Only statistics reach the driver, never texts.
+    Null ids and labels are left out; an id counts once, with its largest label
+    and one of its texts, null as the empty text.  Without rows every text
+    scores 1.  Only statistics reach the driver, never texts.
     """
     ids = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
     if keep is not None:
         ids = ids.where(keep)
     ids = ids.groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).cast("double").alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    texts = docs.select(F.col(id_column).alias("__id"), text_of(text_column).alias("__text"))
 
     def measured(batches):
         for b in batches:
-            x = statistics(b["__text"])
+            x = statistics(b["__c0"])
             yield pd.DataFrame({"x": list(x), "y": b["__y"]})
 
-    # The sample is bounded by train_rows, so it may be broadcast and collected.
-    rows = texts.join(F.broadcast(ids), "__id").select("__text", "__y").mapInPandas(measured, "x array<double>, y double").limit(2 * train_rows).toPandas()
+    rows = sample_rows(docs, ids, id_column, text_of(text_column)).select("__c0", "__y").mapInPandas(measured, "x array<double>, y double").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(STATISTICS))
     y = rows["y"].to_numpy(float)
     order = np.lexsort([*x.T, y])
@@ -182,7 +192,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
 def score_quality(docs: DataFrame, forest: Forest, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is good.
 
-    Null texts are scored as empty ones.  An existing column of that name is replaced.
+    Null texts are scored as empty ones; equal texts score alike, repeated rows
+    stay.  An existing column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
@@ -194,13 +205,18 @@ def score_quality(docs: DataFrame, forest: Forest, text_column: str = "text", sc
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
+    """doc_id, held_out, score and predicted for every document; nulls and repeats: see ``fit_quality`` and ``score_quality``."""
     forest = fit_quality(docs, labels, keep=fold("doc_id", 3) != 1)
     plain = docs.select("doc_id", "text")
     return score_quality(plain, forest).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
+    """The documents that the classifier doesn't reject, with their own columns.
+
+    Rows without an id are scored as well, null texts as empty ones; rows that
+    repeat go or stay together.  Without labelled rows all stay.
+    """
     forest = fit_quality(docs, labels, keep=fold("doc_id", 3) != 1)
-    return score_quality(docs, forest, score_column="__quality").where(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score_quality(packed(docs, text=F.col("text")), forest)
+    return unpacked(scored.where(F.col("score") >= threshold), docs.columns)
