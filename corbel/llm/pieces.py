@@ -2,16 +2,17 @@
 
 The model's protobuf is parsed and rebuilt: its normaliser, the space mark,
 the scores (a unigram lattice, or merges ranked by score for a BPE model) and
-byte fallback.  Batches of pre-tokens are encoded on all threads and every
-pre-token is compared with SentencePiece before it is used, so the ids of a
-text are SentencePiece's own even where the rebuilt model differs.
+byte fallback.  Ids and decoded texts are the rebuilt tokenizer's own.  Batches
+of new pre-tokens are encoded on some threads, whose ids a worker keeps; each
+new pre-token, and each text that can't be cut, is also given to SentencePiece,
+and a text of which any part differs is marked.
 """
 
 from __future__ import annotations
 
-from array import array
+import os
 from collections.abc import Iterator
-from functools import cache, cached_property
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corbel.llm.common import text_of
+from corbel.llm.common import own, text_of
 from corbel.llm.tokens import pretokens, splits_at_spaces
 
 _SPACE = "▁"
 #: Pre-tokens whose ids either generation of a worker's cache keeps.
 CACHE_SIZE = 100_000
+#: Threads of either library in one worker.  Workers are as many as the executor's tasks, so a few are enough.
+THREADS = 2
 
 
 def _merges(scores: dict[str, float], ids: dict[str, int]) -> list[tuple[str, str]]:
@@ -79,66 +82,61 @@ class Codec:
 
     Ids of pre-tokens are kept as packed int32 in two generations: when the
     young one is full it becomes the old one, whose entries move back on use.
+    So do the marks of pre-tokens for which SentencePiece gives other ids.
     """
 
-    def __init__(self, path: str, most: int = CACHE_SIZE):
+    def __init__(self, path: str, most: int = CACHE_SIZE, threads: int = THREADS):
+        # The pool is made at the first batch; a pool that a parent process has made stays as it is.
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
-        self.path, self.sp, self.most = path, sentencepiece.SentencePieceProcessor(model_file=path), most
+        self.sp, self.tok, self.most, self.threads = sentencepiece.SentencePieceProcessor(model_file=path), rebuild(path), most, threads
         self.split = splits_at_spaces(self.sp)
-        if self.split:
-            # Pre-tokens come with their marks, so there is nothing left to normalise.
-            self.core = rebuild(path)
-            self.core.normalizer = None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.off: set[str] = set()
-        sp, lone = self.sp, self.sp.piece_to_id(_SPACE)
-        lone_ids = [lone] if lone != sp.unk_id() else [sp.piece_to_id(f"<0x{b:02X}>") for b in _SPACE.encode()]
-        self.lone = np.array(lone_ids, np.int32).tobytes()
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        spec = pb.ModelProto()
-        spec.ParseFromString(sp.serialized_model_proto())
-        self.prefixed = spec.normalizer_spec.add_dummy_prefix
-        self.opens = np.array([sp.id_to_piece(k).startswith(_SPACE) for k in range(sp.get_piece_size())])
-        # What each id adds to a text; bytes of byte pieces, marks as spaces.
-        self.surface = [bytes([int(sp.id_to_piece(k)[1:-1], 16)]) if sp.is_byte(k) else sp.id_to_piece(k).replace(_SPACE, " ").encode() for k in range(sp.get_piece_size())]
-
-    @cached_property
-    def tok(self):
-        """The whole tokenizer, for texts that can't be cut."""
-        return rebuild(self.path)
+        self.old_off: set[str] = set()
+        # The mark that ends a text which ends in a space: what two spaces have beyond one.
+        one, two = (self._ids([x])[0] for x in ("a", "a "))
+        self.lone, self.lone_off = np.array(two[len(one) :], np.int32).tobytes(), self.sp.encode("a ") != two
+        self.opens = np.array([(self.tok.id_to_token(k) or "").startswith(_SPACE) for k in range(self.tok.get_vocab_size())])
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         """Put the ids of all of ``words`` into the young generation."""
         if len(self.young) > self.most:
-            self.old, self.young, self.off = self.young, {}, set()
+            self.old, self.young, self.old_off, self.off = self.young, {}, self.off, set()
         for k in words & self.old.keys():
             self.young[k] = self.old[k]
+            if k in self.old_off:
+                self.off.add(k)
         new = words - self.young.keys() - {""}
         # Words without further marks are coded many in a line and told apart by their marks.
         plain = [k for k in new if " " not in k and _SPACE not in k]
         rest = list(new.difference(plain))
         lines = [plain[k : k + 128] for k in range(0, len(plain), 128)]
-        ours = self.core.encode_batch_fast([_SPACE + _SPACE.join(x) for x in lines], add_special_tokens=False)
-        theirs = self.sp.encode([" ".join(x) for x in lines], num_threads=1)
-        for line, mine, other in zip(lines, ours, theirs):
-            flat = np.array(other, np.int32)
+        joined = [" ".join(x) for x in lines]
+        for line, mine, theirs in zip(lines, self._ids(joined), self.sp.encode(joined, num_threads=self.threads)):
+            flat = np.array(mine, np.int32)
             at = np.flatnonzero(self.opens[flat])
-            if len(at) != len(line) or mine.ids != other:
+            if len(at) != len(line) or mine != theirs:
                 rest += line
                 continue
             raw, ends = flat.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(flat)]
             self.young.update(zip(line, (raw[i:j] for i, j in zip((4 * at).tolist(), ends))))
-        for k, mine, other in zip(rest, self.core.encode_batch_fast([_SPACE + k for k in rest], add_special_tokens=False), self.sp.encode(rest, num_threads=1)):
-            if mine.ids != other:
+        for k, mine, theirs in zip(rest, self._ids(rest), self.sp.encode(rest, num_threads=self.threads)):
+            if mine != theirs:
                 self.off.add(k)
-            self.young[k] = array("i", other).tobytes()
+            self.young[k] = np.array(mine, np.int32).tobytes()
         self.young[""] = self.lone
+        if self.lone_off:
+            self.off.add("")
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """The ids of each text, and whether the rebuilt model alone gives the same."""
+        """The rebuilt tokenizer's ids of each text, and whether SentencePiece gives the same."""
         cut = [pretokens(x) if self.split and "\0" not in x else None for x in texts]
         words = set().union(*(x for x in cut if x))
         if missing := words - self.young.keys():
@@ -146,28 +144,17 @@ class Codec:
         out, same = [], []
         for text, some in zip(texts, cut):
             if some is None:
-                found = self.sp.encode(text)
-                out.append(np.array(found, np.int32))
-                same.append(self.tok.encode(text, add_special_tokens=False).ids == found)
+                mine = self._ids([text])[0]
+                out.append(np.array(mine, np.int32))
+                same.append(mine == self.sp.encode(text))
             else:
                 out.append(np.frombuffer(b"".join(map(self.young.__getitem__, some)), np.int32))
                 same.append(not self.off or self.off.isdisjoint(some))
         return out, same
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts again.
-
-        Surfaces are joined; where the bytes are no UTF-8 the library decodes.
-        """
-        out = []
-        for x in ids:
-            some = x.tolist()
-            try:
-                text = b"".join(map(self.surface.__getitem__, some)).decode()
-                out.append(text[1:] if self.prefixed and text[:1] == " " else text)
-            except UnicodeDecodeError:
-                out.append(self.tok.decode(some, skip_special_tokens=False))
-        return out
+        """The texts again, by the rebuilt tokenizer's decoder."""
+        return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
 @cache
@@ -180,13 +167,16 @@ def encode_pieces(docs: DataFrame, model_path: str, text_column: str = "text") -
     """``docs`` with token_ids, n_tokens, same_as_model and round_trip for each whole text.
 
     Null and empty texts have no ids.  round_trip: decoding the ids gives the
-    text again.  same_as_model: the rebuilt tokenizer gave every id itself.
-    Columns of those names are replaced.
+    text again.  same_as_model: SentencePiece gives the same ids.  Repeated rows
+    and ids stay as they are; columns of those names are replaced, all others kept.
     """
     added = "token_ids array<int>, n_tokens long, same_as_model boolean, round_trip boolean"
-    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "same_as_model", "round_trip")]
-    plain = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(text_column).alias("__text"))
-    schema = StructType(plain.schema.fields[:-1] + StructType.fromDDL(added).fields)
+    made = StructType.fromDDL(added)
+    kept = [c for c in docs.columns if c not in made.fieldNames()]
+    # The text comes last, under a name of its own.
+    name = "text_" + "_" * max(map(len, kept), default=0)
+    plain = docs.select(*[own(c) for c in kept], text_of(text_column).alias(name))
+    schema = StructType(plain.schema.fields[:-1] + made.fields)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model_path)
