@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Vectors get one more number, so that the largest inner product is the smallest
-distance.  Centroids are fitted on a bounded sample and searched by a graph in
-memory.  A vector joins every list whose centroid is nearly as near as its
-nearest; a query reads every list within a distance ratio that is calibrated on
-the sample.  Long lists are split into parts of bounded size, and so are a
-list's queries; within a part scores are exact.  A query first reads the nearest
-of its lists, whose best bound what the others need return.
+distance.  Centroids are fitted on a bounded sample, in two levels so that lists
+are about as long, and searched by a graph in memory.  A vector near the border
+of its list joins the next ones too.  A query reads the lists within a distance
+ratio, the one by which the true neighbours of some queries are found.  Long
+lists are split into parts of bounded size, and so are a list's queries; within
+a part scores are exact.  A query first reads the nearest of its lists, whose
+best bound what the others need return.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 
 from corbel.llm.common import materialize
 
-#: Vectors that centroids and the ratio are fitted on at most.
-SAMPLE = 20_000
-#: Lists at most: this bounds the graph that is broadcast.
-LISTS = 4096
-#: Lists that a vector joins at most, and how much farther than the nearest they may be.
-REPLICAS, NEARLY = 4, 1.35
+#: Lists at most, which bounds the graph that is broadcast; up to that, a list has the root of the vectors' number, and this at least.
+LISTS, LIST = 16_384, 64
+#: Vectors of the sample for each list, numbers in the sample at most, and further vectors that tell where borders are.
+SAMPLE, NUMBERS, FURTHER = 8, 1 << 25, 2000
+#: Lists that a vector joins at most, and the share of vectors, those nearest to a border, that join more than one.
+REPLICAS, BOUNDARY = 4, 0.25
 #: Vectors of a list's part, and queries that meet it, on the average at most.
 PART = 4096
-#: Share of the sample's true neighbours that the calibrated ratio must find.
-RECALL = 0.975
+#: Queries whose true neighbours tell the ratio, and the share of them that it must find.
+ASKED, RECALL = 200, 0.93
 
 
 @dataclass(frozen=True)
@@ -75,40 +76,64 @@ class Graph:
             best, dist, done = (np.take_along_axis(a, keep, 1) for a in (best, dist, done))
         return best, np.sqrt(np.maximum(dist, 0))
 
+    def all_distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T, 0))
+
     def within(self, x: np.ndarray, ratio: float, most: int | None = None) -> list[np.ndarray]:
-        """For each row the centroids within ``ratio`` times the nearest distance, ``most`` at most.
+        """For each row the centroids within ``ratio`` times the nearest distance, nearest first, ``most`` at most.
 
-        The beam widens until it reaches past the ratio.
+        The beam widens until it reaches past the ratio; a row that needs a
+        large share of all centroids is compared with each of them.
         """
         out: list[np.ndarray] = [np.zeros(0, int)] * len(x)
+        k = len(self.centroids)
         rows, beam = np.arange(len(x)), 4 * most if most else 64
         while len(rows):
-            best, dist = self.nearest(x[rows], beam)
+            if beam * 4 >= k:
+                d = self.all_distances(x[rows])
+                best = np.argsort(d, axis=1, kind="stable")
+                dist, whole = np.take_along_axis(d, best, 1), np.ones(len(rows), bool)
+            else:
+                best, dist = self.nearest(x[rows], beam)
+                whole = np.full(len(rows), most is not None) | (dist[:, -1] > dist[:, 0] * ratio + 1e-6)
             good = np.isfinite(dist) & (dist <= np.maximum(dist[:, :1] * ratio, dist[:, :1] + 1e-6))
-            whole = np.full(len(rows), beam >= len(self.centroids) or most is not None) | ~good[:, -1]
             for i in np.flatnonzero(whole):
                 out[rows[i]] = best[i][good[i]][:most]
-            rows, beam = rows[~whole], beam * 2
+            rows, beam = rows[~whole], beam * 4
         return out
 
 
-def fit_graph(sample: np.ndarray, lists: int, rounds: int = 10, degree: int = 24, seed: int = 5) -> Graph:
-    """Centroids by k-means; a list without vectors starts anew at a far one."""
-    rng = np.random.default_rng(seed)
-    distinct = np.unique(sample, axis=0)
-    lists = max(1, min(lists, len(distinct)))
-    c = distinct[rng.choice(len(distinct), lists, replace=False)].copy()
+def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``k`` centroids by k-means and each row's; a centroid without rows starts anew at a far one."""
+    distinct = np.unique(x, axis=0)
+    k = max(1, min(k, len(distinct)))
+    c = distinct[rng.choice(len(distinct), k, replace=False)].copy()
+    a, far = np.zeros(len(x), int), np.zeros(len(x))
+
+    def assign() -> None:
+        for at in range(0, len(x), 4096):
+            d = (c**2).sum(1) - 2 * x[at : at + 4096] @ c.T
+            a[at : at + 4096], far[at : at + 4096] = d.argmin(1), d.min(1) + (x[at : at + 4096] ** 2).sum(1)
+
     for _ in range(rounds):
-        a, far = np.zeros(len(sample), int), np.zeros(len(sample))
-        for k in range(0, len(sample), 4096):
-            d = (c**2).sum(1) - 2 * sample[k : k + 4096] @ c.T
-            a[k : k + 4096], far[k : k + 4096] = d.argmin(1), d.min(1) + (sample[k : k + 4096] ** 2).sum(1)
-        n = np.bincount(a, minlength=lists)
+        assign()
+        n = np.bincount(a, minlength=k)
         total = np.zeros_like(c)
-        np.add.at(total, a, sample)
+        np.add.at(total, a, x)
         c[n > 0] = total[n > 0] / n[n > 0, None]
         empty = np.flatnonzero(n == 0)
-        c[empty] = sample[np.argsort(-far, kind="stable")[: len(empty)]]
+        c[empty] = x[np.argsort(-far, kind="stable")[: len(empty)]]
+    assign()
+    return c, a
+
+
+def fit_graph(sample: np.ndarray, lists: int, rounds: int = 8, degree: int = 24, seed: int = 5) -> Graph:
+    """Centroids in two levels: coarse ones, and within each as many as its share of the sample calls for."""
+    rng = np.random.default_rng(seed)
+    _, top = _means(sample, int(np.sqrt(lists)) if lists > 64 else 1, rounds, rng)
+    parts = [sample[top == k] for k in range(top.max() + 1)]
+    c = np.concatenate([_means(p, max(1, round(lists * len(p) / len(sample))), rounds, rng)[0] for p in parts if len(p)])
+    lists = len(c)
     links = np.full((lists, min(lists - 1, degree) + 4), -1)
     for k in range(lists):
         d = ((c - c[k]) ** 2).sum(1)
@@ -119,32 +144,32 @@ def fit_graph(sample: np.ndarray, lists: int, rounds: int = 10, degree: int = 24
     return Graph(c, links)
 
 
-def calibrate(graph: Graph, sample: np.ndarray, top: int, wanted: float = RECALL, queries: int = 200) -> float:
-    """The smallest ratio of a grid by which the sample's own neighbours are found; the last one reads every list."""
-    asked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
-    lists = graph.within(sample, NEARLY, REPLICAS)
-    member = np.zeros((len(sample), len(graph.centroids)), bool)
-    for k, x in enumerate(lists):
-        member[k, x] = True
-    plain = sample[asked].copy()
-    plain[:, -1] = 0
-    scores = plain @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    true = np.argsort(-scores, axis=1, kind="stable")[:, : min(top, max(len(sample) - 1, 0))]
-    for ratio in (1.0, 1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.35, 1.4, 1.5, 1.6, 1.8, 2.0, 3.0):
-        hit = [member[np.ix_(true[k], x)].any(1).mean() if len(true[k]) else 1.0 for k, x in enumerate(graph.within(plain, ratio))]
-        if np.mean(hit) >= wanted:
-            return ratio
-    return np.inf
+def border(graph: Graph, sample: np.ndarray, share: float = BOUNDARY) -> float:
+    """The distance ratio of the second centroid to the first within which that share of the vectors lies."""
+    if len(graph.centroids) < 2:
+        return 1.0
+    d = np.sort(np.concatenate([np.partition(graph.all_distances(sample[k : k + 4096]), 1, axis=1)[:, :2] for k in range(0, len(sample), 4096)]), axis=1)
+    return float(np.quantile(d[:, 1] / np.maximum(d[:, 0], 1e-12), share))
+
+
+def calibrate(graph: Graph, asked: np.ndarray, neighbours: list[np.ndarray], near: float, wanted: float = RECALL) -> float:
+    """The smallest ratio by which that share of the queries' true neighbours lies in a list that is read."""
+    needed = []
+    for q, x in zip(graph.all_distances(asked), neighbours):
+        if len(x):
+            needed += [q[some].min() / max(q.min(), 1e-12) for some in graph.within(x, near, REPLICAS)]
+    if not needed:
+        return 1.0
+    return float(np.quantile(needed, wanted, method="higher")) * (1 + 1e-9)
 
 
 def _matrix(values) -> np.ndarray:
-    return np.array([np.asarray(x, float) for x in values])
+    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
-def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, top: int, bound: np.ndarray | None = None) -> tuple[list, list, list]:
+def _best(q_uid: np.ndarray, q: np.ndarray, v_uid: np.ndarray, v_id: np.ndarray, v: np.ndarray, top: int, bound: np.ndarray | None = None) -> tuple[list, list, list]:
     """Each query's best of some vectors, none below its bound, in exact double precision; ties to the smaller id."""
-    queries, vectors, scores = [], [], []
+    queries, places, scores = [], [], []
     for at in range(0, len(q), 256):
         s = q[at : at + 256] @ v.T
         k = min(top + 1, s.shape[1])  # one more: the query itself may be among them
@@ -152,54 +177,118 @@ def _best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, top:
         if bound is not None:
             least = np.maximum(least, bound[at : at + 256])
         for i in range(len(s)):
-            some = np.flatnonzero((s[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) & (v_id != q_id[at + i]))
+            some = np.flatnonzero((s[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) & (v_uid != q_uid[at + i]))
             exact = (q[at + i] * v[some]).sum(1)
-            order = np.lexsort((v_id[some], -exact))[:top]
-            queries += [q_id[at + i]] * len(order)
-            vectors += v_id[some][order].tolist()
+            order = np.lexsort((v_uid[some], v_id[some], -exact))[:top]
+            queries += [q_uid[at + i]] * len(order)
+            places += some[order].tolist()
             scores += exact[order].tolist()
-    return queries, vectors, scores
+    return queries, places, scores
 
 
-def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", part: int = PART, sample: int = SAMPLE, wanted: float = RECALL) -> DataFrame:
+_ROW = "uid long, id long, v binary"
+
+
+def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(uid, id, size, v) of the vectors that take part, written once; v are the numbers' bytes."""
+    v = F.col("v")
+    ok = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where(ok)
+
+    @F.pandas_udf("binary")
+    def packed(some: pd.Series) -> pd.Series:
+        return some.map(lambda x: np.asarray(x, np.float64).tobytes())
+
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), "id", F.size("v").alias("size"), packed("v").alias("v"), F.array_max(F.transform("v", F.abs)).alias("most"))
+    return materialize(rows, "vectors")
+
+
+def _truth(rows: DataFrame, asked: pd.DataFrame, top: int) -> list[np.ndarray]:
+    """The true neighbours of a few queries, by one pass over all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((asked["uid"].to_numpy(), _matrix(asked["v"])))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uids, q = shared.value
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(held) > 8192:
+                held = cut(uids, q, held)
+        if held is not None:
+            found, k, score = best(uids, q, held)
+            yield pd.DataFrame({"query": found, "score": score, "uid": held["uid"].to_numpy()[k], "v": held["v"].to_numpy()[k]})
+
+    def best(uids, q, held):
+        found, k, score = _best(uids, q, held["uid"].to_numpy(), held["id"].to_numpy(), _matrix(held["v"]), top)
+        return found, np.array(k, int), score
+
+    def cut(uids, q, held):
+        return held.iloc[np.unique(best(uids, q, held)[1])].reset_index(drop=True)
+
+    found = rows.select("uid", "id", "v").mapInPandas(scan, "query long, score double, uid long, v binary")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "uid"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= top).toPandas()  # `top` rows for each of the few queries
+    by = {q: _matrix(part["v"].tolist()) for q, part in found.groupby("query")}
+    return [by.get(u, np.zeros((0, 1))) for u in asked["uid"]]
+
+
+def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", part: int = PART, sample: int = SAMPLE, wanted: float = RECALL, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` largest inner products with each query.
 
     Queries are the rows whose id ``every`` divides.  Vectors that are null or
-    zero, hold null or non-finite numbers, or differ in length from most, and
-    rows without an id, take no part.  Of rows with one id the smallest vector counts.
+    zero, or hold null or non-finite numbers, and rows without an id, take no
+    part.  Vectors of another length than a query's aren't its candidates; each
+    length has an index of its own.  Rows that share an id, or are equal, are
+    queries and candidates of their own.  ``told`` gets lists, replicas a vector
+    and the share of lists that a query reads, of the last length.
     """
-    spark = vectors.sparkSession
-    v = F.col("v")
-    usable = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where(usable)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    rows = materialize(rows.where(F.size("v") == sizes[0]["n"]).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    stat = rows.agg(F.count("*").alias("n"), F.max(square).alias("m")).first()
-    bound = float(stat["m"])
-    lifted = F.concat("v", F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(bound) - square))))
-    some = rows.select(lifted.alias("x")).orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    points = _matrix(some["x"])
-    graph = fit_graph(points, min(LISTS, int(np.ceil(np.sqrt(stat["n"])))))
-    ratio = calibrate(graph, points[:5000], top, wanted)
+    rows = usable(vectors, id_column, vector_column)
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.groupBy("size").agg(F.count("*").alias("n"), F.max("most").alias("most")).orderBy("size").collect():
+        found = found.unionByName(_nearest(rows.where(F.col("size") == r["size"]).select("uid", "id", "v"), r["n"], r["size"], r["most"], top, every, part, sample, wanted, {} if told is None else told))
+    return found
+
+
+def _nearest(rows: DataFrame, n: int, size: int, most: float, top: int, every: int, part: int, sample: int, wanted: float, told: dict) -> DataFrame:
+    spark = rows.sparkSession
+
+    # Distances are of vectors divided by the largest number, so that no square overflows.
+    def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"m": [((_matrix(b["v"].tolist()) / most) ** 2).sum(1).max()] if len(b) else []})
+
+    longest = float(rows.select("v").mapInPandas(squares, "m double").agg(F.max("m")).first()[0])
+
+    def lifted(x: np.ndarray) -> np.ndarray:
+        x = x / most
+        return np.column_stack([x, np.sqrt(np.maximum(0, longest - (x**2).sum(1)))])
+
+    def flat(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x / most, np.zeros(len(x))])
+
+    lists = max(1, min(LISTS, n // max(LIST, int(np.sqrt(n)))))
+    fitted = max(1, min(lists * sample, NUMBERS // size))
+    points = rows.select("uid", "v").orderBy(F.xxhash64("uid"), "uid").limit(fitted + FURTHER).toPandas()
+    points = lifted(_matrix(points["v"].tolist()))
+    graph = fit_graph(points[:fitted], lists)
+    # Vectors that the centroids were fitted on lie deeper in their lists than others.
+    near = border(graph, points[fitted:] if len(points) > fitted else points)
+    is_query = F.col("id") % every == 0
+    few = rows.where(is_query).orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(ASKED).toPandas()
+    ratio = calibrate(graph, flat(_matrix(few["v"].tolist())), [lifted(x) for x in _truth(rows, few, top)], near, wanted) if len(few) else 1.0
     shared = spark.sparkContext.broadcast(graph)
 
-    def listed(reach: float, most: int | None, lift: bool, sizes: np.ndarray | None = None):
+    def listed(reach: float, at_most: int | None, place, sizes: np.ndarray | None = None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for at in range(0, len(b), 256):
                     block = b.iloc[at : at + 256]
-                    x = _matrix(block["v"])
-                    extra = np.sqrt(np.maximum(0, bound - (x**2).sum(1))) if lift else np.zeros(len(x))
-                    x = np.column_stack([x, extra])
-                    lists = shared.value.within(x, reach, most)
+                    x = place(_matrix(block["v"].tolist()))
+                    lists = shared.value.within(x, reach, at_most)
                     if sizes is not None:
                         lists = [enough(shared.value, y, row, sizes) for y, row in zip(lists, x)]
-                    n = [len(y) for y in lists]
-                    out = pd.DataFrame({"list": np.concatenate(lists).astype("int32"), "id": np.repeat(block["id"].to_numpy(), n), "v": [y for y, k in zip(block["v"], n) for _ in range(k)]})
+                    counts = [len(y) for y in lists]
+                    out = pd.DataFrame({"list": np.concatenate(lists).astype("int32"), "uid": np.repeat(block["uid"].to_numpy(), counts), "id": np.repeat(block["id"].to_numpy(), counts), "v": np.repeat(block["v"].to_numpy(), counts)})
                     yield out if sizes is None else out.assign(home=np.concatenate([np.arange(len(y)) < homes(y, sizes) for y in lists]))
 
         return run
@@ -219,36 +308,39 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_column: str =
         # With the root of their number both readings return about as many rows.
         return max(int(np.ceil(np.sqrt(len(lists)))), int(np.searchsorted(sizes[lists].cumsum(), full)) + 1)
 
-    member = materialize(rows.mapInPandas(listed(NEARLY, REPLICAS, True), "list int, id long, v array<double>"), "lists")
+    member = materialize(rows.mapInPandas(listed(near, REPLICAS, lifted), f"list int, {_ROW}"), "lists")
     sizes_of = np.zeros(len(graph.centroids), int)
     for r in member.groupBy("list").count().collect():  # as many rows as there are lists, at most LISTS
         sizes_of[r["list"]] = r["count"]
-    asked = materialize(rows.where(F.col("id") % every == 0).mapInPandas(listed(ratio, None, False, sizes_of), "list int, id long, v array<double>, home boolean"), "asked")
+    asked = materialize(rows.where(is_query).mapInPandas(listed(ratio, None, flat, sizes_of), f"list int, {_ROW}, home boolean"), "asked")
     # As many rows as there are lists.
     held = member.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    told.update(lists=len(graph.centroids), replicas=sizes_of.sum() / n, ratio=ratio, asked=asked)
 
     def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x, s = _best(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), top, a["bound"].to_numpy(float))
-        return pd.DataFrame({"query_id": q, "vec_id": x, "score": s})
+            return pd.DataFrame({"query": [], "uid": [], "id": [], "score": []})
+        q, at, s = _best(a["uid"].to_numpy(), _matrix(a["v"].tolist()), b["uid"].to_numpy(), b["id"].to_numpy(), _matrix(b["v"].tolist()), top, a["bound"].to_numpy(float))
+        return pd.DataFrame({"query": q, "uid": b["uid"].to_numpy()[at], "id": b["id"].to_numpy()[at], "score": s})
 
     def scored(some: DataFrame) -> DataFrame:
         wants = some.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("q_parts"))
         plan = F.broadcast(held.join(wants, "list"))
-        left = some.join(plan, "list").select("list", F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "bound")
-        right = member.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
+        left = some.join(plan, "list").select("list", F.pmod(F.xxhash64("uid"), F.col("q_parts")).cast("int").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "uid", "v", "bound")
+        right = member.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"), F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), "uid", "id", "v")
         keys = ["list", "q_part", "part"]
-        return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(met, "query_id long, vec_id long, score double")
+        return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(met, "query long, uid long, id long, score double")
 
     least = F.lit(float("-inf"))
-    near = materialize(scored(asked.where("home").withColumn("bound", least)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "near")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    bounds = near.select("query_id", F.col("score").alias("bound"), place.alias("place")).where(F.col("place") == top).drop("place")
-    rest = asked.where("not home").join(bounds, F.col("id") == F.col("query_id"), "left").select("list", "id", "v", F.coalesce("bound", least).alias("bound"))
-    found = near.unionByName(scored(materialize(rest, "rest"))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
+    near_rows = materialize(scored(asked.where("home").withColumn("bound", least)).groupBy("query", "uid").agg(F.max("score").alias("score"), F.min("id").alias("id")), "near")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    bounds = near_rows.select("query", F.col("score").alias("bound"), place.alias("place")).where(F.col("place") == top).drop("place")
+    rest = asked.where("not home").join(bounds, F.col("uid") == F.col("query"), "left").select("list", "uid", "v", F.coalesce("bound", least).alias("bound"))
+    found = near_rows.unionByName(scored(materialize(rest, "rest")).groupBy("query", "uid").agg(F.max("score").alias("score"), F.min("id").alias("id"))).groupBy("query", "uid").agg(F.max("score").alias("score"), F.min("id").alias("id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id", "uid"))
+    best = found.select("query", rank.alias("rank"), F.col("id").alias("vec_id"), "score").where(F.col("rank") <= top)
+    ids = rows.where(is_query).select(F.col("uid").alias("query"), F.col("id").alias("query_id"))
+    return best.join(ids, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_neighbours(vectors: DataFrame) -> DataFrame:
