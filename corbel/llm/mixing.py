@@ -6,7 +6,8 @@ from one document to the other, keeping the pair's words and each one's
 expectation, until one of the two is whole.  Each task settles a bounded chunk
 of a source and leaves one residual at most; residuals meet in a reduction tree
 until one per source is left, which is rounded by itself.  Large documents
-are paired first, so that residuals are small.
+are paired first, so that residuals are small.  Rows that are equal throughout
+are one group, whose members are numbered and dealt to chunks by their numbers.
 """
 
 from __future__ import annotations
@@ -16,37 +17,38 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corbel.llm.common import WORD, materialize, text_of
+from corbel.llm.common import WORD, materialize, packed, row_hash, text_of, unpacked
 
 #: Documents of a source that one task settles at most, on the average, and residuals that meet in a node of the tree.
 CHUNK = 4096
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_ratio: float = 1.5, most: float = 2.0) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) in order of the source's code points, null last.
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_ratio: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target, ratio) for every source of (source, size).
 
-    The driver gets one row per source.  Weights repeat; what a source can't
-    take beyond ``most`` times its size is shared again by weight.
+    Sources take the weights in turn, by code point and null last, and share
+    ``total_ratio`` of all sizes.  What a source can't take beyond ``most`` times
+    its size is shared again by weight: sources by the share at which each is
+    full, those are full whose own share lies under the level that the others
+    then reach.  One task orders the sources, of which it gets one row each.
     """
-    rows = [(r["source"], int(r["size"] or 0)) for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()]
-    rows.sort(key=lambda r: (r[0] is None, [ord(c) for c in r[0] or ""]))
-    limit = [most * n for _, n in rows]
-    due = [0.0] * len(rows)
-    open_ = set(range(len(rows)))
-    left = total_ratio * sum(n for _, n in rows)
-    while open_:
-        unit = left / sum(weights[k % len(weights)] for k in open_)
-        full = {k for k in open_ if unit * weights[k % len(weights)] > limit[k]}
-        for k in full or open_:
-            due[k] = limit[k] if full else unit * weights[k % len(weights)]
-        if not full:
-            break
-        left -= sum(limit[k] for k in full)
-        open_ -= full
-    return [(s, n, d) for (s, n), d in zip(rows, due)]
+    per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    listed = F.array(*[F.lit(float(w)) for w in weights])
+    per = per.withColumn("weight", F.get(listed, place % len(weights))).withColumn("limit", F.col("source_size") * most)
+    per = per.withColumn("full_at", F.col("limit") / F.col("weight"))
+    before = Window.orderBy("full_at", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = total_ratio * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
+    level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    per = per.withColumn("level", level)
+    # The first source that isn't full tells the level of all that aren't.
+    reached = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(every)["level"]
+    target = F.least("limit", F.coalesce(reached * F.col("weight"), F.col("limit")))
+    return per.select("source", "source_size", target.alias("target")).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
 def _draw(key: bytes, other: bytes, seed: int) -> float:
@@ -112,27 +114,24 @@ def _settled(seed: int):
     return run
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (3, 1, 2), total_ratio: float = 1.5, most: float = 2.0, chunk: int = CHUNK, seed: int = 20_26) -> DataFrame:
-    """id, size, source, source_size, target, copies and taken for every row.
-
-    size counts words; taken is size times copies.  Documents without words
-    take nothing.  Null sources are one source, null ids are allowed and rows
-    that repeat are rounded each by itself.  The draws depend on the ids and
-    sizes that meet, so reruns agree.
-    """
-    spark = docs.sparkSession
-    sized = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size"))
-    sized = materialize(sized, "sizes")
-    shares = targets(sized, weights, total_ratio, most)
-    # One row per source: as many as the driver has just listed.
-    ratios = spark.createDataFrame([(s, n, float(d), d / n if n else 0.0) for s, n, d in shares], "source string, source_size long, target double, ratio double")
-    rows = sized.withColumn("__source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).join(F.broadcast(ratios.withColumn("__source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")), "__source")
-    rows = rows.withColumn("row_key", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("whole", F.when(F.col("size") > 0, F.floor("ratio")).otherwise(0).cast("double"))
+def _mixed(rows: DataFrame, weights: tuple[int, ...], total_ratio: float, most: float, chunk: int, seed: int) -> DataFrame:
+    """``rows`` (id, source, size, place) with source_size, target and copies for each; place tells rows of one id apart."""
+    spark = rows.sparkSession
+    groups = materialize(rows.groupBy("id", "source", "size", "place").agg(F.count("*").alias("n")), "sizes")
+    # Spark broadcasts the shares if they are few: one row for each source.
+    shares = targets(groups.select("source", (F.col("size") * F.col("n")).alias("size")), weights, total_ratio, most)
+    shares = materialize(shares.withColumn("__source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source"), "shares")
+    rows = groups.withColumn("__source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).join(shares, "__source")
+    # Numbers in two steps, so that no array grows with a group.
+    rows = rows.withColumn("base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1 << 16).cast("long"))))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.col("base"), F.least(F.col("base") + (1 << 16), F.col("n")) - 1))).drop("base")
+    rows = rows.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("place").cast("string"), F.col("number").cast("string")))
+    rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.floor("ratio")).otherwise(0).cast("double"))
     rows = rows.withColumn("part", F.when(F.col("size") > 0, F.col("ratio") - F.col("whole")).otherwise(0.0))
-    count = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    nodes = -(-count // chunk) or 1
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes * len(shares)))
-    rows = rows.withColumn("open", F.lit(True)).withColumn("__node", F.pmod(F.xxhash64("row_key", "size"), F.lit(nodes)))
+    count, sources = groups.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n"), F.count("*")).first()
+    nodes = -(-(count or 0) // chunk) or 1
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes * sources))
+    rows = rows.withColumn("open", F.lit(True)).withColumn("__node", F.pmod(F.xxhash64("row_key"), F.lit(nodes)))
     done = None
     while True:
         order = rows.repartition(parts, "__source", "__node").sortWithinPartitions("__source", "__node", F.desc("size"), F.xxhash64("row_key"), "row_key")
@@ -146,7 +145,26 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     # A source's last residual is rounded alone.
     last = F.when(F.col("open") & (F.col("part") > 0) & (F.col("part") < 1), (F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col("part")).cast("double")).otherwise(F.round("part"))
     copies = (F.col("whole") + last).cast("long")
-    return done.select("id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select("id", "size", "source", "source_size", "target", copies.alias("copies"), "place")
+
+
+def words_in(text_column: str = "text") -> Column:
+    """How many words a text has; none if it is null."""
+    return F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long")
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (3, 1, 2), total_ratio: float = 1.5, most: float = 2.0, chunk: int = CHUNK, seed: int = 20_26) -> DataFrame:
+    """id, size, source, source_size, target, copies and taken for every row.
+
+    size counts words; taken is size times copies.  Documents without words
+    take nothing, null texts have none.  Null sources are one source, null and
+    repeated ids are allowed: each row is rounded by itself, and neither an id
+    nor equal rows end up in one chunk.  The draws depend on the ids, texts and
+    sizes that meet, so reruns agree.  An empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), words_in(text_column).alias("size"), F.xxhash64(text_of(text_column)).alias("place"))
+    found = _mixed(rows, weights, total_ratio, most, chunk, seed)
+    return found.select("id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_mixing(docs: DataFrame) -> DataFrame:
@@ -157,16 +175,17 @@ def op10_mixing(docs: DataFrame) -> DataFrame:
 def take_mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns.
 
-    Rows that share an id and size get the rounded copies of one another in an
-    arbitrary but fixed order.  Texts without words are kept once.
+    Texts without words are kept once.  Rows of one id, source and text are dealt
+    their copies in turn, by a hash of the whole row.  Nulls and repeated ids: see ``mix``.  Texts are
+    shuffled once, to meet their counts.
     """
-    names = list(docs.columns)
-    size = F.regexp_count(text_of("text"), F.lit(WORD)).cast("long")
-    mixed = mix(docs).select("id", F.col("size").alias("__size"), F.coalesce("source", F.lit("")).alias("__src"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("__copies"))
-    w = Window.partitionBy("__id", "__size", "__src")
-    mixed = mixed.withColumnRenamed("id", "__id").withColumn("__n", F.row_number().over(w.orderBy("__copies")))
-    own = docs.select(*[F.col(f"`{c}`") for c in names], F.col("doc_id").alias("__id"), size.alias("__size"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__src"))
-    own = own.withColumn("__n", F.row_number().over(w.orderBy(F.xxhash64("text"))))
-    found = own.alias("o").join(mixed.alias("m"), F.col("o.__id").eqNullSafe(F.col("m.__id")) & (F.col("o.__size") == F.col("m.__size")) & (F.col("o.__src") == F.col("m.__src")) & (F.col("o.__n") == F.col("m.__n")))
-    found = found.where("__copies > 0")
-    return found.select(*[F.col(f"o.`{c}`").alias(c) for c in names], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__k")).drop("__k")
+    rows = packed(docs, id=F.col("doc_id"), source=F.col("source").cast("string"), size=words_in(), place=F.xxhash64(text_of()), other=row_hash(docs))
+    found = _mixed(rows.select("id", "source", "size", "place"), (3, 1, 2), 1.5, 2.0, CHUNK, 20_26)
+    copies = F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).cast("long")
+    per = found.groupBy(F.col("place").alias("of"), F.col("id").alias("of_id"), F.col("source").alias("of_source")).agg(copies.alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    same = (F.col("place") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
+    taken = rows.select("row", "id", "source", "place", "other").join(per, same)
+    turn = F.row_number().over(Window.partitionBy("place", "id", "source").orderBy("other"))
+    times = (F.floor(F.col("copies") / F.col("n")) + F.when(turn <= F.col("copies") % F.col("n"), 1).otherwise(0)).cast("int")
+    taken = taken.select("row", times.alias("times")).where("times > 0")
+    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))), docs.columns)
