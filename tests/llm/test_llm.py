@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import defaultdict
@@ -97,6 +98,19 @@ def test_substring_dedup(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    a, b, c = words(120, 80), words(130, 81), words(140, 82)
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 4), (None, a, 5), (None, a, 6), (3, None, 7), (3, "", 8), (4, c + " " + b, 9), (-(2**62) - 5, c, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int").withColumn("row", F.lit("r")).withColumn("found", F.lit(1)).withColumn("`odd` name", F.lit(2))
+    kept = {r["n_bytes"]: r["text"] for r in chunks.without_repeats(df).collect()}
+    assert chunks.without_repeats(df).columns == df.columns and len(kept) == len(rows)
+    # Only the copies of smaller ids go; texts of one id don't cut one another, and equal rows are alike.
+    assert kept[1] == a and kept[2] == "" and kept[3] == kept[4] == b and kept[5] == kept[6] == a and kept[7] is None and kept[8] == "" and kept[10] == c
+    assert len(kept[9]) < 200
+    made = chunks.remove_repeats(df)
+    assert made.columns == [*df.columns, "n_removed", "n_spans", "kept_sha256"] and {r["n_bytes"] for r in made.where("doc_id = 1").collect()} == {len(a.encode())}
+
+
 # --- suffixes ---------------------------------------------------------------
 
 def _brute(rows):
@@ -117,6 +131,28 @@ def test_suffixes_equal_brute_force(docs, rows):
     assert got == _brute(rows)
 
 
+def test_suffixes_of_ids_far_apart(spark):
+    t = [words(60 + k, 90 + k) for k in range(3)]
+    ids = (-(2**63), -(2**62) - 5, -1, 2**62 + 9, 2**62 + 20, 2**63 - 1)
+    rows = [(i, t[k % 3] + " " + words(20, 300 + k)) for k, i in enumerate(ids)]
+    for parts in (1, 3):
+        got = {r[0]: tuple(r)[1:] for r in suffixes.op2_suffixes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert got == _brute(rows) and sum(x[1] for x in got.values()) > 500
+
+
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_suffixes_split_crowded_anchors(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "SAMPLED", 2)
+    line = "This very line of text stands in every single document of the whole table, word for word."
+    rows = [(k, words(9, 2 * k) + " " + line + " " + words(9, 2 * k + 1)) for k in range(60)] + [(100 + k, words(30, k) + words(40, 7)) for k in range(9)]
+    plain = spark.createDataFrame(rows, "id long, text string")
+    assert 0 < len(suffixes.crowded_anchors(plain, 32, 0, crowd)) < (10_000 if crowd == 1 else 20)
+    got = defaultdict(lambda: [0] * 5000)
+    for r in suffixes.repeated_spans(plain, "id", "text", crowd).collect():
+        got[r["id"]][r["a"] : r["b"]] = [1] * (r["b"] - r["a"])
+    assert {i: sum(got[i]) for i, _ in rows} == {i: x[1] for i, x in _brute(rows).items()}
+
+
 def test_suffixes_of_repeated_ids(spark):
     t = words(60, 1)
     df = spark.createDataFrame([(2, t), (2, "other " + words(60, 2)), (1, t[20:200]), (None, t)], "doc_id long, text string")
@@ -168,16 +204,47 @@ def test_hard_texts():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    count = tokens.Counts(MODEL, {"a": len(sp.encode("a"))})
-    assert [count(t) for t in HARD] == [len(sp.encode(t)) for t in HARD]
-    count.lengths.most = 1
-    assert [count(t) for t in HARD * 2] == [len(sp.encode(t)) for t in HARD * 2]
+    want = [len(sp.encode(t)) for t in HARD]
+    for most in (1, 400_000):
+        count = tokens.Counts(MODEL, tokens.Frequent.of({"a": len(sp.encode("a")), "née": len(sp.encode("née"))}), most)
+        assert count(HARD).tolist() == want and count(HARD * 2).tolist() == want * 2 and count([]).tolist() == []
+    table = tokens.Frequent.of({k: len(k) for k in words(500, 3).split()})
+    assert table.find(["the", "nothing", ""]).tolist() == [3 if "the" in words(500, 3).split() else -1, -1, -1]
     codec = pieces.Codec(MODEL, 2)
     for _ in range(2):
         ids, same = codec.encode(HARD)
         assert [x.tolist() for x in ids] == sp.encode(HARD) and all(same)
         assert [a for a, b in zip(codec.decode(ids), HARD) if a != b] == ["x y  "]
-        assert codec.decode(ids) == [codec.tok.decode(x.tolist(), skip_special_tokens=False) for x in ids]
+        assert os.environ["RAYON_NUM_THREADS"] == str(pieces.THREADS)
+
+
+def test_parity_is_reported_through_generations(monkeypatch):
+    codec = pieces.Codec(MODEL, 3)
+    # A model whose ids differ for one word, at first sight and ever after.
+    other = codec.sp
+
+    class Other:
+        def encode(self, texts, **how):
+            found = other.encode(texts, **how)
+            return [x + [7] if "zorvex" in t else x for t, x in zip(texts, found)] if isinstance(texts, list) else found
+
+    codec.sp = Other()
+    for k in range(6):
+        ids, same = codec.encode(["a zorvex b", f"plain words of turn {k}", "zorvex"])
+        assert same == [False, True, False] and [x.tolist() for x in ids] == other.encode(["a zorvex b", f"plain words of turn {k}", "zorvex"])
+
+
+def test_pieces_are_the_models_on_all_documents():
+    import sentencepiece
+    from pyarrow import parquet
+
+    texts = [t or "" for t in parquet.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Codec(MODEL, 5000)
+    for k in range(0, len(texts), 100):
+        ids, same = codec.encode(texts[k : k + 100])
+        assert all(same) and [x.tolist() for x in ids] == sp.encode(texts[k : k + 100]) and codec.decode(ids) == texts[k : k + 100]
+    # The whole tokenizer, uncut, gives the same.
+    assert [x.ids for x in codec.tok.encode_batch(texts[:50], add_special_tokens=False)] == sp.encode(texts[:50])
 
 
 def test_pieces_round_trip(docs, rows, spark):
@@ -219,8 +286,43 @@ def test_simhash(docs, rows):
     want = _components(prints)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op4_simhash(docs).collect()}
     assert got == {i: (f"{v:016x}", want[i]) for i, v in prints.items()}
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+def _shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_keep_one_of_near_copies(spark):
+    """Copies edited to a known likeness; none less alike than 0.8 goes, of the others nearly all."""
+    r = random.Random(12)
+    base = [words(150 + 20 * k, 500 + k) for k in range(40)]
+    rows, want = [], {}
+    for k, t in enumerate(base):
+        rows.append((10 * k, t))
+        for j, edits in enumerate((1, 2, 30)):
+            w = t.split()
+            for at in r.sample(range(len(w)), edits):
+                w[at] = f"edit{k}{j}{at}"
+            rows.append((10 * k + 1 + j, " ".join(w)))
+            a, b = _shingles(t), _shingles(" ".join(w))
+            want[10 * k + 1 + j] = len(a & b) / len(a | b)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    for pairwise in (simhash.PAIRWISE, 3):
+        kept = simhash.keep_one(df, pairwise=pairwise)
+        assert kept.columns == df.columns
+        left = {x["doc_id"] for x in kept.collect()}
+        assert all(i in left for i, _ in rows if want.get(i, 0) < 0.8)
+        near = [i for i, x in want.items() if x >= 0.8]
+        assert len(near) >= 70 and sum(i not in left for i in near) >= 0.9 * len(near)
+
+
+def test_jaccard_is_of_shingle_sets():
+    for a, b in ((0, 1), (3, 3), (5, 6)):
+        x, y = words(60, a), words(55, b) + " " + words(60, a)
+        s, t = _shingles(x), _shingles(y)
+        assert simhash.jaccard(simhash.shingle_set(x), simhash.shingle_set(y)) == pytest.approx(len(s & t) / len(s | t))
+    assert simhash.jaccard(simhash.shingle_set(""), simhash.shingle_set(" ")) == 1.0 and len(simhash.shingle_set("a b")) == 1
 
 
 def test_one_row_of_each_component_stays(spark):
@@ -277,6 +379,64 @@ def test_forest_learns_and_repeats():
     assert (quality.fit_forest(x[:0], y[:0]).score(x) > 0.99).all()
 
 
+def test_flat_trees_equal_plain_ones():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 4))
+    forest = quality.fit_forest(x, (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float), trees=7, depth=3)
+
+    def walk(t, row, node=0):
+        if node >= 7:
+            return forest.value[t][node - 7]
+        return walk(t, row, 2 * node + (2 if row[forest.feature[t][node]] > forest.threshold[t][node] else 1))
+
+    for row, score in zip(x, forest.score(x)):
+        assert score == pytest.approx(1 / (1 + math.exp(-(forest.base + sum(walk(t, row) for t in range(7))))))
+
+
+def test_statistics_equal_plain_ones():
+    texts = ["Some words, some  WORDS!\nline two\nline two\n42 % \té日 a a", "", None, "x", " \n ", words(200, 3), "aaaa bbbb!! ||"]
+    at = {n: k for k, n in enumerate(quality.STATISTICS)}
+    for t, row in zip(texts, quality.statistics(texts)):
+        if not t:
+            assert not row.any()
+            continue
+        raw, n = t.encode(), len(t.encode())
+        w, lines = raw.split(), raw.split(b"\n")
+        share = [raw.count(bytes([b])) / n for b in set(raw)]
+        want = {"log_bytes": math.log(n + 1), "entropy": -sum(p * math.log2(p) for p in share), "top_byte": max(share), "repeated_lines": 1 - len(set(lines)) / len(lines), "mean_line": math.log(1 + n / len(lines))}
+        for name, members in quality._CLASSES.items():
+            want[name] = sum(b in members for b in raw) / n
+        if w:
+            sizes = [len(x) for x in w]
+            mean = sum(sizes) / len(w)
+            want |= {"log_words": math.log(1 + len(w)), "mean_word": mean, "std_word": math.sqrt(sum((z - mean) ** 2 for z in sizes) / len(w)), "distinct_words": len(set(w)) / len(w), "top_word": max(map(w.count, w)) / len(w), "repeats": sum(a == b for a, b in zip(w, w[1:])) / len(w)}
+            want |= {"short_words": sum(z <= 2 for z in sizes) / len(w), "marked_words": sum(x[-1:] in b"!#$%&*@^~|" for x in w) / len(w)}
+        for name, value in want.items():
+            assert row[at[name]] == pytest.approx(value, abs=1e-9), (name, t)
+
+
+def test_fits_take_one_text_of_an_id(spark):
+    docs, labels, truth = _labelled(spark)
+    more = docs.unionByName(docs.where("doc_id < 250")).unionByName(docs.where("doc_id = 7").withColumn("text", F.lit("other text")))
+    a = [quality.fit_quality(more.repartition(k), labels) for k in (1, 4)]
+    assert (a[0].value == a[1].value).all() and (a[0].threshold == a[1].threshold).all()
+    b = [toxicity.fit_toxicity(more.repartition(k), labels, train_rows=60) for k in (1, 4)]
+    assert (b[0].out == b[1].out).all() and b[0].thresholds == b[1].thresholds
+    few = toxicity.fit_toxicity(docs, labels, train_words=300)
+    assert few.base != b[0].base
+
+
+def test_thresholds_come_from_rows_held_back(spark, monkeypatch):
+    docs, labels, _ = _labelled(spark)
+    seen = {}
+    fit, cal = toxicity.fit_network, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "fit_network", lambda x, y: seen.setdefault("net", fit(x, y)) if seen.update(trained={b.tobytes() for b in x}) is None else None)
+    monkeypatch.setattr(toxicity, "_forward", lambda net, x: seen.setdefault("told", set()).add(x.tobytes()) or 0.5)
+    monkeypatch.setattr(toxicity, "calibrate", lambda s, y, langs: seen.update(rows=len(s)) or cal(s, y, langs))
+    toxicity.fit_toxicity(docs.where("doc_id < 200"), labels)
+    assert 10 < seen["rows"] < 100 and not seen["told"] & seen["trained"]
+
+
 def test_scorer_equals_the_network():
     texts = [toxicity.Buckets().of(words(40, k) + (" badword" if k % 2 else "")) for k in range(60)]
     net = toxicity.fit_network(texts, np.array([k % 2 for k in range(60)], float), rounds=3)
@@ -304,13 +464,71 @@ def test_imatch(docs, rows):
     assert got[3]["fingerprint"] == got[30]["fingerprint"] != got[4]["fingerprint"]
 
 
-def test_imatch_over_buckets(spark, monkeypatch):
+def _xx(data: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(data, seed % 2**64)
+
+
+def _signatures(text, band):
+    """The fingerprint by plain Python: hashes of all terms, of those of the lexicon, and of each chain's halves."""
+    terms = sorted({_xx(w.encode(), 42) - (1 << 64 if _xx(w.encode(), 42) >> 63 else 0) for w in re.split(r"[\W_]+", text.lower()) if w})
+
+    def signed(some):
+        h = 42
+        for t in some:
+            h = _xx(t.to_bytes(8, "little", signed=True), h)
+        return h & 0xFFFFFFFF
+
+    kept = [t for t in terms if t in band]
+    out = [signed(terms), signed(kept) if kept else None]
+    subs = [kept] * imatch.CHAINS
+    for level in range(imatch.HALVINGS):
+        subs = [[t for t in some if not _xx(r.to_bytes(4, "little"), _xx(t.to_bytes(8, "little", signed=True), 42)) >> level & 1] for r, some in enumerate(subs)]
+        out += [signed(some) if some else None for some in subs]
+    return out
+
+
+def test_imatch_equals_brute_force(docs, rows):
+    texts = {i: t or "" for i, t, *_ in rows}
+    seen = defaultdict(int)
+    for t in texts.values():
+        for w in {w for w in re.split(r"[\W_]+", t.lower()) if w}:
+            h = _xx(w.encode(), 42)
+            seen[h - (1 << 64 if h >> 63 else 0)] += 1
+    n = len(texts)
+    band = {t for t, k in seen.items() if max(2.0, imatch.RAREST * n) <= k <= max(2.0, imatch.COMMONEST * n)}
+    # The filter may let through others; here it doesn't.
+    got = {r["doc_id"]: r for r in imatch.op7_imatch(docs).collect()}
+    order = sorted(texts, reverse=True)
+
+    def printed(sig):
+        return "".join("-" if x is None else f"{x:08x}" for x in sig)
+
+    def like(a, b):
+        either = sum(x is not None or y is not None for x, y in zip(a, b))
+        return sum(x is not None and x == y for x, y in zip(a, b)) / either if either else 1.0
+
+    for k, i in enumerate(order):
+        t, after = texts[i], texts[order[(k + 1) % n]]
+        own, edited, other = (_signatures(x, band) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after))
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (printed(own), printed(edited))
+        assert got[i]["near_edited"] == pytest.approx(like(own, edited)) and got[i]["near_next"] == pytest.approx(like(own, other))
+
+
+def test_imatch_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "IDS", 3)
-    ids = [1, 2, 9, 10, 11, 12, 50, 51]
-    df = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(None, "none")], "doc_id long, text string")
-    got = {r["id"]: r["next_text"] for r in imatch.with_next(df).where("not ghost").collect()}
-    want = [f"text {i}" for i in sorted(ids, reverse=True)] + ["none"]
-    assert got == {i: n for i, n in zip([*sorted(ids, reverse=True), None], want[1:] + want[:1])}
+    far = [-(2**63), -(2**62) - 5, 1, 2, 9, 10, 11, 12, 50, 51, 2**62 + 9, 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text {i}") for i in far] + [(None, f"none {k}") for k in range(20)] + [(12, f"more {k}") for k in range(20)], "doc_id long, text string")
+    found = imatch.with_next(df.repartition(3)).where("not ghost").collect()
+    # One ring through all rows, by descending id, null ids last.
+    after = {(r["id"], r["text"]): r["next_text"] for r in found}
+    ids = {r["text"]: r["id"] for r in found}
+    assert len(found) == len(after) == 52 and len({r["bucket"] for r in found}) > 8 and len({r["bucket"] for r in found if r["id"] is None}) > 2 and len({r["bucket"] for r in found if r["id"] == 12}) > 2
+    at, ring = f"text {2**63 - 1}", []
+    for _ in range(52):
+        ring.append(ids[at])
+        at = after[ids[at], at]
+    assert at == f"text {2**63 - 1}" and ring == sorted((i for i in ring if i is not None), reverse=True) + [None] * 20
+    assert imatch.op7_imatch(df).count() == 52
 
 
 # --- vectors ----------------------------------------------------------------
@@ -320,11 +538,11 @@ def test_neighbours(spark):
     v = r.normal(size=(600, 8)) * r.uniform(0.5, 2, (600, 1))
     v[100:140] = v[100]
     rows = [(k, x.astype(np.float32).tolist()) for k, x in enumerate(v)]
-    bad = [(700, None), (720, [0.0] * 8), (740, [float("nan")] * 8), (760, [None] * 8), (780, [1.0, 2.0]), (None, [1.0] * 8), (600, rows[0][1]), (600, rows[0][1])]
+    bad = [(700, None), (720, [0.0] * 8), (740, [float("nan")] * 8), (760, [None] * 8), (780, [1.0, 2.0]), (None, [1.0] * 8), (600, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     plain = {i: np.array(x, np.float32).astype(float) for i, x in rows} | {600: np.array(rows[0][1], np.float32).astype(float)}
     got = defaultdict(list)
-    for q in vectors.nearest(df, part=50, sample=300).orderBy("query_id", "rank").collect():
+    for q in vectors.nearest(df, part=50).orderBy("query_id", "rank").collect():
         got[q["query_id"]].append((q["rank"], q["vec_id"], q["score"]))
     assert set(got) == {i for i in plain if i % 20 == 0}
     hits = []
@@ -338,23 +556,42 @@ def test_neighbours(spark):
     assert sorted((r["query_id"], r["rank"]) for r in vectors.op8_neighbours(few).collect()) == [(0, 1), (0, 2), (0, 3), (20, 1), (20, 2), (20, 3)]
 
 
-def test_neighbours_come_from_lists_alone(spark):
-    r = np.random.default_rng(6)
-    v = r.normal(size=(2000, 16))
+def _recall(spark, v, **how):
+    n, told = len(v), {}
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
     scores = v[::20] @ v.T
-    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    scores[np.arange(len(scores)), np.arange(0, n, 20)] = -np.inf
     want = {20 * k: set(np.argsort(-s)[:20].tolist()) for k, s in enumerate(scores)}
+    got = vectors.nearest(df, told=told, **how).collect()
+    assert len(got) == n
+    share = told["asked"].count() / len(want) / told["lists"]
+    return np.mean([g["vec_id"] in want[g["query_id"]] for g in got]), share, told
+
+
+def test_neighbours_come_from_few_lists(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(60, 16))
+    v = centres[r.integers(0, 60, 20_000)] + 0.4 * r.normal(size=(20_000, 16))
+    # A sample of a twentieth of the table; vectors inside their lists aren't replicated.
+    recall, share, told = _recall(spark, v, sample=7)
+    assert recall >= 0.9 and share <= 0.25 and told["replicas"] <= 2
+    # What isn't in the lists read isn't found.
+    recall, share, _ = _recall(spark, v, sample=7, wanted=0.2)
+    assert recall < 0.9
+
+
+def test_neighbours_of_vectors_without_structure(spark):
+    recall, _, told = _recall(spark, np.random.default_rng(6).normal(size=(3000, 16)))
+    assert recall >= 0.9 and told["replicas"] <= 2.5
 
-    def recall(**how):
-        got = vectors.nearest(df, **how).collect()
-        assert len(got) == 2000
-        return np.mean([g["vec_id"] in want[g["query_id"]] for g in got])
 
-    # A sample of the whole table adds nothing to what the nearest lists hold ...
-    assert recall(sample=2000, wanted=0.0) < 0.9
-    # ... and one of a twentieth takes nothing away.
-    assert recall(sample=100) >= 0.95
+def test_neighbours_of_repeated_ids_and_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1e200, -1e200]), (40, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 1.0]), (60, [5.0])]
+    got = [tuple(r) for r in vectors.op8_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    # Three queries share id 20; each meets the four other rows of its length.
+    assert len(got) == 3 * 4 + 1 and sorted(r[:3] for r in got if r[0] == 40) == [(40, 1, 3)]
+    assert sorted(r[3] for r in got if r[0] == 20 and r[2] == 2) == [-1e200, -1e200, 1e200]
+    assert sorted(r[3] for r in got if r[0] == 20 and r[2] == 20) == [0.0, 0.0, 0.0, 0.0, 1.0, 1.0]
 
 
 def test_graph_walk_finds_near_centroids():
@@ -405,6 +642,20 @@ def test_mixing_tree(spark):
     assert sum(r["n"] for r in got) == 400 and all(abs(r["t"] - r["d"]) <= 9 for r in got)
 
 
+def test_mixing_of_equal_rows_and_null_ids(spark):
+    rows = [(None, "w w w", "a")] * 300 + [(7, "w w w", "a")] * 300 + [(7, f"w w x{k}", "a") for k in range(100)] + [(k, "w", None) for k in range(50)] + [(None, None, "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("place", F.lit(1)).withColumn("copies", F.create_map(F.lit("a"), F.lit(1)))
+    runs = [sorted(map(str, mixing.op10_mixing(df.repartition(k)).collect())) for k in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    sized = df.select(F.col("doc_id").alias("id"), "source", mixing.words_in().alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"))
+    found = mixing._mixed(sized, (3, 1, 2), 1.5, 2.0, 16, 1).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.first("target").alias("d")).collect()
+    assert all(abs(r["t"] - r["d"]) <= 3 for r in found)
+    taken = mixing.take_mixed(df)
+    assert taken.columns == df.columns and taken.where("text is null").count() == 3
+    due = sum(r["taken"] for r in mixing.mix(df.select("doc_id", "text", "source")).where("size > 0").collect())
+    assert taken.agg(F.sum(mixing.words_in())).first()[0] == due
+
+
 def test_settling_keeps_expectations():
     sizes, parts = np.array([5, 3, 2, 2, 1]), np.array([0.3, 0.5, 0.25, 0.75, 0.4])
     total = np.zeros(5)
@@ -415,6 +666,49 @@ def test_settling_keeps_expectations():
     assert np.abs(total / 4000 - parts).max() < 5 * math.sqrt(0.25 / 4000)
 
 
+def test_stages_take_hard_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    t = words(90, 1)
+    rows = [(None, t, "en", None, 1), (None, t, None, "a", 2), (None, None, "en", "a", None), (1, t, "en", "a", 3), (1, t, "en", "a", 3), (1, words(90, 2), "en", "a", 4), (2, "", "en", "b", 0), (2, None, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("row", "cut", "id", "key", "size", "place", "__id", "score", "n_bytes")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.columns == docs.columns and done.schema["text"].dataType == docs.schema["text"].dataType, name
+        assert done.count() >= 3 and stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    coded = corpus_pipeline.tokens(spark, docs, str(tmp_path))
+    assert coded.count() == len(rows) and corpus_pipeline.tokens(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_stages_equal_brute_force(spark, docs, rows):
+    """Near copies, repeats and mix, each over all rows, by plain Python."""
+    import corpus_pipeline
+
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    sets = {i: _shingles(t) for i, t, *_ in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    # Verification lets no other pair pass; of the links the fingerprints may miss one.
+    assert {find(i) for i in sets} <= kept and len(kept - {find(i) for i in sets}) <= 1
+    mixed = defaultdict(int)
+    for r in corpus_pipeline.mixture(spark, docs, "").collect():
+        mixed[r["doc_id"]] += 1
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
+    assert set(size) >= set(mixed) and all(mixed[i] <= 2 for i in size) and all(mixed[i] == 1 for i in size if not size[i])
+    assert abs(sum(mixed[i] * size[i] for i in size) - 1.5 * sum(size.values())) <= 6000
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
