@@ -109,6 +109,24 @@ def test_questions(spark):
     assert {r["qid"]: r["i"] for r in native.collect()} == {k: g[1] for k, g in enumerate(GOLD)}
     routes = {r["qid"]: r["route"] for r in questions.route_questions(rows).collect()}
     assert routes[2] == "safety" and routes[3] == "drug"
+    bare = {r["qid"]: (r["drug_text"], r["condition_text"]) for r in questions.parse_questions(rows).collect()}
+    assert bare[0] == ("Zorvex", "grapefruit") and bare[1] == ("zorvexil extended", None) and bare[6] == (None, None)
+    again = questions.parse_questions(rows.unionByName(rows).unionByName(spark.createDataFrame([(99, None)], rows.schema)), lex)
+    assert again.count() == 2 * len(GOLD) + 1 and again.where("qid = 99").first()["intent"] == "overview"
+
+
+def test_sections_have_keys():
+    keys = labels.heading_keys()
+    assert len(keys) == len(K.LABEL_HEADINGS) + 1 and keys["general"] == "general_precautions" and keys["hepatic impairment"] == "hepatic_impairment"
+    assert keys["animal pharmacology & or toxicology"] == "animal_pharmacology_and_toxicology" and keys["otc - ask doctor/pharmacist"] == "otc_ask_doctor_or_pharmacist"
+    assert labels.slug("A & or B / C") == "a_and_b_c" and labels.slug("x_/_y  z/q") == "x_or_y_z_or_q" and labels.slug(" -- ") == ""
+
+
+def test_doses():
+    guide = "Take care. Recommended starting dose is 5 mg once daily. The maximum dose is 40 mg."
+    assert evidence.dose_text(guide) == "Recommended starting dose is 5 mg once daily."
+    assert evidence.dose_text("Give 5 mg twice daily.  No units here. Or 10 mg q8h! 3 mg bid.") == "Give 5 mg twice daily. Or 10 mg q8h!"
+    assert evidence.dose_text("no dose ") == "no dose " and evidence.dose_text("") == ""
 
 
 @pytest.fixture(scope="module")
@@ -160,6 +178,9 @@ def test_conditions(spark):
 def test_lexicons(spark):
     rows = spark.createDataFrame([("AAAAAAAA-0000-0000-0000-000000000001", {"title": "Zorvex Tablets", "other": "x"}, 1), ("bbbbbbbb-0000-0000-0000-000000000002", {"brand_name": "ZORVEX", "name": "of"}, 2)], "spl_set_id string, fields map<string,string>, ord int")
     got = {r["key"]: r["spl_set_id"] for r in resolve.drug_lexicon(rows).collect()}
+    term = "struct<id:string,term:string,lang:string>"
+    docs = spark.createDataFrame([("7", (("", " Fever 0 (finding)", "en"), None, [("", " hot 1", "en"), ("", "2 two 2", "en")]))], f"conceptId string, terms struct<fsn:{term},pt:map<string,struct<id:string,term:string>>,synonyms:array<{term}>>")
+    assert [r["name"] for r in resolve.concept_names(docs).orderBy("ord").collect()] == ["Fever 0 (finding)", "hot 1", "2 two 2"]
     assert got == {"zorvex": "aaaaaaaa-0000-0000-0000-000000000001"}
     names_, pt = resolve.chunk_text_names("t")
     row = spark.createDataFrame([("X\nFSN: Zorbitis (disorder)\nSynonyms:\n- flu\n- grippe\n",)], "t string").select(names_.alias("n"), pt.alias("p")).first()

@@ -125,5 +125,6 @@ def test_snippets():
     good = "This is a sentence of six words. "
     assert text.snippet_of("Short. " + good * 4) == (good * 3).strip()
     assert text.snippet_of("Too short.") == "Too short."
+    assert text.snippet_of("NDC 12345-678-90 only") == "NDC only" and text.snippet_of(None) == "" and text.snippet_of("x.12345 y. " + good) == good.strip()
     long = text.snippet_of(("word " * 200 + ". ") * 2)
     assert long.endswith("…") and len(long) <= 601
