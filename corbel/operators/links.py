@@ -71,12 +71,22 @@ def crosswalk(mentions: DataFrame, resolved: DataFrame, min_conf: float = 0.0) -
 
 
 def rollup(rows: DataFrame, run_ts: str, labels: int = 50, examples: int = 5) -> DataFrame:
-    """One row per drug, concept and link type, with its sections, labels, support and first examples."""
+    """One row per drug, concept and link type, with its sections, labels, support and first examples.
+
+    An edge may have any number of mentions: only its first labels and examples
+    are listed, and only they are brought together.
+    """
+    edge = ["rxcui", "snomed_id", "link_type"]
+    total = rows.groupBy(*edge).agg(sorted_set(F.col("section")).alias("sections"), F.count("*").alias("chunk_count"), F.round(F.max("confidence"), 3).alias("max_confidence"))
+    per = rows.groupBy(*edge, "spl_set_id").agg(F.lit(1).alias("one"))
+    counts = per.groupBy(*edge).agg(F.count("spl_set_id").alias("spl_count"))
+    listed = top_rows(per.where("spl_set_id is not null"), edge, [F.asc("spl_set_id")], labels).groupBy(*edge).agg(sorted_set(F.col("spl_set_id")).alias("spl_set_ids"))
     example = F.struct("spl_set_id", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"))
-    return rows.groupBy("rxcui", "snomed_id", "link_type").agg(
-        sorted_set(F.col("section")).alias("sections"), F.slice(sorted_set(F.col("spl_set_id")), 1, labels).alias("spl_set_ids"), F.count_distinct("spl_set_id").alias("spl_count"), F.count("*").alias("chunk_count"),
-        F.round(F.max("confidence"), 3).alias("max_confidence"), F.slice(ordered_list(example, F.col("ord"), distinct=False), 1, examples).alias("examples"), F.lit(run_ts).alias("last_updated"),
-    )
+    first = top_rows(rows, edge, [F.asc("ord")], examples).groupBy(*edge).agg(ordered_list(example, F.col("ord"), distinct=False).alias("examples"))
+    keyed = lambda df: df.select(*[F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in edge], *[c for c in df.columns if c not in edge])
+    found = keyed(total).join(keyed(counts), edge).join(keyed(first), edge).join(keyed(listed), edge, "left")
+    plain = [F.nullif(F.col(c), F.lit("\0")).alias(c) for c in edge]
+    return found.select(*plain, "sections", F.coalesce("spl_set_ids", F.array().cast("array<string>")).alias("spl_set_ids"), "spl_count", "chunk_count", "max_confidence", "examples", F.lit(run_ts).alias("last_updated"))
 
 
 def all_negated(examples: Column) -> Column:
