@@ -34,7 +34,7 @@ def concept_names(docs: DataFrame) -> DataFrame:
     """(snomed_id, name, ord): all names of concepts: full name, preferred terms, synonyms."""
     default = F.col("terms.pt")["default"]["term"]
     every = F.array_compact(F.concat(F.array(F.col("terms.fsn.term"), default), F.transform(F.coalesce(F.map_values("terms.pt"), F.array().cast("array<struct<id:string,term:string>>")), lambda p: p["term"]), F.transform(F.coalesce("terms.synonyms", F.array().cast("array<struct<id:string,term:string,lang:string>>")), lambda s: s["term"])))
-    rows = docs.select(F.col("conceptId").alias("snomed_id"), F.posexplode(F.filter(F.transform(every, F.trim), lambda n: n != "")).alias("k", "name"))
+    rows = docs.select(F.col("conceptId").alias("snomed_id"), F.posexplode(F.filter(F.transform(every, lambda n: F.trim(n)), lambda n: n != "")).alias("k", "name"))
     return rows.select("snomed_id", "name", F.struct("snomed_id", "k").alias("ord"))
 
 
