@@ -92,17 +92,23 @@ def _search_block(queries: DataFrame, rows: DataFrame, top: int, metric: str) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
-        best: dict[int, list[tuple[float, object]]] = {k: [] for k in range(len(ids))}
+        scores, held = np.zeros((len(q), 0)), np.zeros((len(q), 0), object)
         for b in batches:
             if not len(b) or not len(q):
                 continue
             v = np.array([np.asarray(x, float) for x in b["vec"]])
-            scores = q @ v.T if metric == "ip" else -((q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T)
-            for k in range(len(ids)):
-                near = np.argsort(-scores[k], kind="stable")[:top]
-                best[k] = sorted([*best[k], *((-scores[k][i], b["row_id"].iloc[i]) for i in near)])[:top]
-        out = [(ids[k], r, -s if metric == "ip" else s) for k, found in best.items() for s, r in found]
-        yield pd.DataFrame(out, columns=["query_id", "row_id", "score"])
+            now = q @ v.T if metric == "ip" else -((q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T)
+            # The best so far and the batch, all queries at once; ties to the smaller row.
+            order = np.argsort(b["row_id"].to_numpy(), kind="stable")
+            scores, held = np.concatenate([scores, now[:, order]], axis=1), np.concatenate([held, np.broadcast_to(b["row_id"].to_numpy(object)[order], now.shape)], axis=1)
+            if scores.shape[1] > top:
+                least = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
+                keep = [sorted(np.flatnonzero(s >= x), key=lambda j: (-s[j], h[j]))[:top] for s, h, x in zip(scores, held, least)]
+                scores, held = np.take_along_axis(scores, np.array(keep), 1), np.take_along_axis(held, np.array(keep), 1)
+        n = scores.shape[1]
+        out = pd.DataFrame({"query_id": [i for i in ids for _ in range(n)], "row_id": held.ravel().tolist(), "score": (scores if metric == "ip" else -scores).ravel()})
+        if len(out):
+            yield out
 
     return rows.select("row_id", "vec").mapInPandas(run, f"query_id {kind[0]}, row_id {kind[1]}, score double")
 
