@@ -1,6 +1,6 @@
 """Streaming forms give what the batch forms give."""
 
-from corbel.streaming.tables import first_seen, keep_newest, windowed_counts
+from corbel.streaming.tables import first_seen, keep_newest, versions, windowed_counts
 
 
 def _stream(spark, path):
@@ -15,6 +15,7 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     last = sorted(p.name for p in (tmp_path / "t").iterdir())[-1]
     assert {r["k"]: r["n"] for r in spark.read.parquet(str(tmp_path / "t" / last)).collect()} == {"a": 4, "b": 2}
+    assert versions(spark, str(tmp_path / "t")) == [0, 1] and versions(spark, str(tmp_path / "none")) == []
     q = windowed_counts(_stream(spark, src)).writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select max(events) from counts where event_type = 'x'").first()[0] == 3
