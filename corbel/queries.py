@@ -7,6 +7,7 @@ Arrays come out as joined text, so that both engines print them alike.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from corbel.operators.cut import materialize
 from corbel.operators.ordered import first_rows, newest_rows, ordered_list, sorted_set, top_rows
 from corbel.plans import answer, evidence, questions
 from corbel.plans.engine import Engine
-from corbel.sources.labels import slug
+from corbel.sources import labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,10 +199,63 @@ def intent_detect(s, d):
     return _t(s, d, "conversations").select("conv_id", "turn", questions.intent_of(F.col("text")).alias("intent"))
 
 
-@_query()
+#: Questions of every form over two words of a part's name (a, b) and its brand.
+_FORMS = [
+    "Can I take {a} with {b}?", "what are the side effects of {a} {b}", "indications for {a} {b}?", "Is {b} contraindicated in {a} failure?", "tell me about {a} {b} for the elderly", "what is the dosage of {b} in Children.",
+    "boxed warning {a}", "give me the info on {b} therapy with {c}", "What treats {a} in {c}", "uses of {a} {b} for {c}!", "use {c} with {d}", "adverse effects {b}", "breast feeding", "treatment of 5 {b} for 7 {a}", "Mechanism of action of {c}",
+]
+
+
+def _questions(s, d) -> DataFrame:
+    """(qid, text): a question for each part."""
+    words = F.split("p_name", " ")
+    told = {"a": words[0], "b": F.get(words, F.lit(1)), "c": F.col("p_brand"), "d": F.initcap("p_type")}
+    forms = [F.concat(*[told[x[1]] if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{.)\}", f) if x]) for f in _FORMS]
+    return _t(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("qid"), F.get(F.array(*forms), (F.col("p_partkey") % len(forms)).cast("int")).alias("text"))
+
+
+def _form_sql(form: str) -> str:
+    told = {"a": "split_part(p_name, ' ', 1)", "b": "split_part(p_name, ' ', 2)", "c": "p_brand", "d": "upper(p_type[1]) || lower(p_type[2:])"}
+    return " || ".join(told[x[1]] if x[:1] == "{" else f"'{_sql_text(x)}'" for x in re.split(r"(\{.)\}", form) if x)
+
+
+_QUESTIONS_CTE = "qq AS (SELECT 'p' || p_partkey AS qid, CASE p_partkey % " + str(len(_FORMS)) + " " + " ".join(f"WHEN {k} THEN {_form_sql(f)}" for k, f in enumerate(_FORMS)) + " END AS text FROM part)"
+_TURNS = " UNION ALL SELECT conv_id || '-' || turn, text FROM conversations)"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _first_sql(text: str, patterns: list[str], group: int = 1) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '{_sql_text(p)}', {group}), '')" for p in patterns) + ")"
+
+
+def _pairs_sql(group: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(q, '(?i){_sql_text(p)}') THEN trim(regexp_extract(q, '(?i){_sql_text(p)}', {group}), {_BLANK})" for p in K.INTERACTION_QUESTIONS) + " END"
+
+
+_OPENING = _sql_text(r"(?i)^\s*" + "".join(f"(?:{p})?" for p in K.QUESTION_OPENINGS))
+_PARSE_SQL = f"""WITH {_QUESTIONS_CTE[:-1] + _TURNS},
+t AS (SELECT qid, coalesce(text, '') AS text, trim(coalesce(text, ''), {_BLANK}) AS q FROM qq),
+i AS (SELECT *, {_INTENT_SQL} AS intent, trim(trim(regexp_replace(q, '{_OPENING}', ''), ' ?!.,;:'), {_BLANK}) AS about FROM t),
+s AS (SELECT *, CASE WHEN intent = 'interaction' THEN {_pairs_sql(1)} END AS l, CASE WHEN intent = 'interaction' THEN {_pairs_sql(2)} END AS r,
+  CASE intent WHEN 'adverse_effect' THEN trim(nullif(regexp_extract(about, '(?i){_sql_text(K.EFFECTS_OF)}', 1), ''), {_BLANK}) WHEN 'indication' THEN nullif(trim(nullif(regexp_extract(text, '(?i){_sql_text(K.INDICATIONS_FOR)}', 1), ''), ' ?!.,;:'), '') END AS span FROM i),
+p AS (SELECT qid, 1 AS k, coalesce(l, span, about) AS x FROM s UNION ALL SELECT qid, 2, r FROM s WHERE r IS NOT NULL),
+w AS (SELECT qid, k, regexp_extract_all(lower(x), '[a-z0-9][a-z0-9''-]*') AS w FROM p),
+g AS (SELECT qid, k, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (SELECT unnest([1,2,3,4,5,6]) AS n) WHERE len(w) >= n),
+lex AS (SELECT DISTINCT lower(p_name) AS key FROM part WHERE p_partkey % 2 = 0 UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey % 3 = 0 UNION SELECT unnest({TERMS})),
+h AS (SELECT qid, k, key, row_number() OVER (PARTITION BY qid, k ORDER BY n DESC, i) AS z FROM g JOIN lex ON array_to_string(w[i:i + n - 1], ' ') = key WHERE len(list_filter(w[i:i + n - 1], lambda v: NOT list_contains([{", ".join("'" + _sql_text(w) + "'" for w in K.STOP_WORDS)}], v))) > 0),
+m AS (SELECT qid, max(key) FILTER (k = 1) AS one, max(key) FILTER (k = 2) AS two FROM h WHERE z = 1 GROUP BY qid)
+SELECT qid, intent, coalesce(one, CASE WHEN l IS NOT NULL THEN two END, l, span) AS drug_text,
+  CASE WHEN l IS NOT NULL THEN CASE WHEN one IS NULL AND two IS NOT NULL THEN l ELSE coalesce(two, r) END WHEN intent = 'adverse_effect' OR span IS NOT NULL THEN NULL
+  ELSE trim(regexp_replace(trim(nullif(regexp_extract(text, '(?i){_sql_text(K.CONDITION_AFTER)}', 1), ''), ' ?!.,;:''"'), '\\s+', ' ', 'g')) END AS condition_text
+FROM s LEFT JOIN m USING (qid)"""
+
+
+@_query(_PARSE_SQL)
 def question_parse(s, d):
-    rows = _t(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
-    return questions.parse_questions(rows, s.createDataFrame([(t,) for t in TERMS], "key string"))
+    part = _t(s, d, "part")
+    lex = part.where("p_partkey % 2 = 0").select(F.lower("p_name").alias("key")).union(part.where("p_partkey % 3 = 0").select(F.lower(F.split("p_name", " ")[0]))).union(s.createDataFrame([(t,) for t in TERMS], "key string"))
+    turns = _t(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
+    return questions.parse_questions(_questions(s, d).unionByName(turns), lex).drop("text")
 
 
 @_query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]*') AS w FROM conversations),
@@ -216,9 +270,16 @@ def lexicon_ngram_match(s, d):
     return questions.names_in_questions(rows, lex)
 
 
-@_query()
+_ROUTES_SQL = f"""WITH {_QUESTIONS_CTE},
+t AS (SELECT qid, text, CASE {" ".join(f"WHEN regexp_matches(lower(text), '{_sql_text(p)}') THEN '{r}'" for r, p in K.ROUTES)} END AS told,
+  nullif(trim({_first_sql("text", K.ROUTE_DRUGS)}, ' ?.,'), '') AS drug, nullif(trim({_first_sql("text", K.ROUTE_CONDITIONS)}, ' ?.,'), '') AS cond, nullif(trim({_first_sql("text", [K.ROUTE_GUESS])}, ' ?.,'), '') AS guess FROM qq)
+SELECT qid, coalesce(told, CASE WHEN drug IS NULL AND cond IS NOT NULL THEN 'condition' ELSE 'drug' END) AS route, CASE WHEN told IS NULL OR told = 'safety' THEN drug END AS drug_mention,
+  CASE WHEN told = 'condition' THEN coalesce(cond, guess) WHEN told = 'safety' OR drug IS NULL THEN cond END AS condition_mention FROM t"""
+
+
+@_query(_ROUTES_SQL)
 def question_routes(s, d):
-    return questions.route_questions(_t(s, d, "conversations").select("conv_id", "turn", "text")).drop("text")
+    return questions.route_questions(_questions(s, d)).drop("text")
 
 
 # --- labels and drugs -------------------------------------------------------
@@ -274,6 +335,17 @@ def label_to_drug(s, d):
     return links.label_to_drug(_resolved(s, d)[1])
 
 
+_FALLBACK = {t: k for k, t in enumerate(K.FALLBACK_TYPES)}
+
+
+@_query(f"""WITH {_RESOLVED_CTE}, f AS (SELECT spl_set_id, rxcui, tty, row_number() OVER (PARTITION BY spl_set_id ORDER BY {_case("tty", _FALLBACK, "99")}, k) AS z FROM rk WHERE k > 1)
+SELECT spl_set_id, rxcui, tty FROM f WHERE z = 1""")
+def label_to_drug_by_type(s, d):
+    """The drugs of labels whose primary one is unknown, by the order of types."""
+    lost = F.struct(F.lit("").alias("rxcui"), F.lit("").alias("tty"), F.lit(False).alias("has_ndc"), F.lit("").alias("via"), F.lit(0).alias("score"))
+    return links.label_to_drug(_resolved(s, d)[1].withColumn("primary", lost), prefer_types=True)
+
+
 _SEGMENT_TYPE = {"BUILDING": "SBD", "AUTOMOBILE": "SCD", "MACHINERY": "BN", "HOUSEHOLD": "IN", "FURNITURE": "DF"}
 
 
@@ -398,13 +470,62 @@ def parents_names_selfjoin(s, d):
     return core.select("conceptId", F.regexp_replace(F.regexp_replace(lines, "\n$", ""), "\n", "|").alias("parent_lines"))
 
 
-@_query("""SELECT p_partkey, regexp_extract(p_name || ' (' || lower(p_type) || ')', '\\(([^()]+)\\)\\s*$', 1) AS tag, p_name AS bare FROM part WHERE lower(split_part(p_type, ' ', 3)) IN ('tin', 'steel')""")
+@_query("""SELECT p_partkey, lower(p_type) AS tag, p_name AS bare FROM part WHERE lower(p_type) IN ('economy', 'promo')""")
 def semantic_tag_filter(s, d):
-    rows = _t(s, d, "part").withColumn("fsn", F.concat("p_name", F.lit(" ("), F.lower("p_type"), F.lit(")")))
-    rows = rows.withColumn("tag", text_.semantic_tag("fsn")).where(F.get(F.split("tag", " "), F.lit(2)).isin("tin", "steel"))
+    rows = _t(s, d, "part").withColumn("fsn", F.concat("p_name", F.lit(" ("), F.col("p_type"), F.lit(")")))
+    rows = rows.withColumn("tag", text_.semantic_tag("fsn")).where(F.col("tag").isin("economy", "promo"))
     return rows.select("p_partkey", "tag", text_.strip_tag("fsn").alias("bare"))
 
 
+_TAGS = {"ECONOMY": "disorder", "STANDARD": "finding", "PROMO": "situation with explicit context", "SMALL": "substance", "MEDIUM": ""}
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, {_case("p_type", _TAGS, "NULL")} AS tag FROM part), i AS (SELECT unnest(['indication', 'Adverse_Effect', 'dosage']) AS intent)
+SELECT p_partkey, intent, CASE lower(intent) WHEN 'indication' THEN coalesce(tag, '') IN ('disorder', 'situation with explicit context') WHEN 'adverse_effect' THEN coalesce(tag, '') IN ('', 'disorder', 'finding') ELSE true END AS allowed FROM t, i""")
+def tag_gate(s, d):
+    rows = _t(s, d, "part").select("p_partkey", text_.literal_map(_TAGS)[F.col("p_type")].alias("tag"), F.explode(F.array(F.lit("indication"), F.lit("Adverse_Effect"), F.lit("dosage"))).alias("intent"))
+    return rows.select("p_partkey", "intent", resolve.tag_allowed(F.col("intent"), F.col("tag")).alias("allowed"))
+
+
+def _concepts(s, d) -> DataFrame:
+    """Parts as concepts: the brand is the concept's id, the name its full name, the container its synonym."""
+    term = lambda c: F.struct(F.lit("").alias("id"), c.alias("term"), F.lit("en").alias("lang"))
+    tag = F.coalesce(text_.literal_map(_TAGS)[F.col("p_type")], F.lit("event"))
+    names = F.struct(term(F.concat("p_name", F.lit(" ("), tag, F.lit(")"))).alias("fsn"), F.lit(None).cast("map<string,struct<id:string,term:string>>").alias("pt"), F.array(term(F.upper("p_name")), term(F.concat(F.lit(" "), "p_brand"))).alias("synonyms"))
+    return _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("conceptId"), names.alias("terms"))
+
+
+_CONCEPT_TAG = _case("p_type", _TAGS, "'event'")
+
+
+@_query(f"""WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS snomed_id, p_name, p_brand, {_CONCEPT_TAG} AS tag FROM part)
+SELECT snomed_id, term, surface FROM (SELECT snomed_id, lower(p_name) AS term, p_name AS surface FROM c WHERE tag IN ('disorder', 'finding', 'event') UNION ALL SELECT snomed_id, lower(p_brand), p_brand FROM c WHERE tag IN ('disorder', 'finding', 'event'))""")
+def concept_lexicon(s, d):
+    return dictionary.lexicon(_concepts(s, d)).select("snomed_id", "term", "surface")
+
+
+@_query(f"""WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, p_brand, {_CONCEPT_TAG} AS tag FROM part),
+n AS (SELECT id, 0 AS k, trim(p_name || ' (' || tag || ')') AS name FROM c UNION ALL SELECT id, 1, upper(p_name) FROM c UNION ALL SELECT id, 2, trim(p_brand) FROM c)
+SELECT lower(name) AS key, arg_min(id, id || '-' || k) AS snomed_id, arg_min(name, id || '-' || k) AS name FROM n GROUP BY 1""")
+def condition_lexicon(s, d):
+    return resolve.condition_lexicon(resolve.concept_names(_concepts(s, d)))
+
+
+@_query(f"""SELECT CAST(p_partkey AS VARCHAR) AS snomed_id, p_name || ' (' || {_CONCEPT_TAG} || ')' AS pt FROM part""")
+def preferred_concept_terms(s, d):
+    return resolve.preferred_terms(_concepts(s, d))
+
+
+@_query("""WITH r AS (SELECT '00000000-0000-0000-0000-' || lpad(CAST(p_size AS VARCHAR), 12, '0') AS sid, p_partkey AS o, 0 AS src, unnest([{'k': 'brand_name', 'v': p_brand || ' Tablets'}, {'k': 'title', 'v': p_name || ' (HCl), 5 mg'}]) AS f FROM part UNION ALL SELECT 'm' || p_size, p_partkey, 1, {'k': 'display_name', 'v': p_type} FROM part),
+k AS (SELECT sid, o, src, f.k AS k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(f.v), '\\b(hcl|tablets)\\b', ' ', 'g'), '\\b(?:mg|mcg|g|ml)\\b', ' ', 'g'), '[()\\[\\],.;:]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM r)
+SELECT key, arg_min(sid, {'a': src, 'b': o, 'c': k}) AS spl_set_id FROM k GROUP BY 1""")
+def drug_lexicon(s, d):
+    part = _t(s, d, "part")
+    rows = part.select(F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("p_size").cast("string"), 12, "0")).alias("spl_set_id"), F.create_map(F.lit("brand_name"), F.concat("p_brand", F.lit(" Tablets")), F.lit("title"), F.concat("p_name", F.lit(" (HCl), 5 mg")), F.lit("other"), F.lit("nothing")).alias("fields"), F.col("p_partkey").alias("ord"))
+    meta = part.select(F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("spl_set_id"), F.create_map(F.lit("display_name"), F.col("p_type")).alias("fields"), F.col("p_partkey").alias("ord"))
+    return resolve.drug_lexicon(rows, meta)
+
+
 # --- crosswalk and graph ----------------------------------------------------
 
 def _crosswalk(s, d):
@@ -458,6 +579,16 @@ def edge_rank_by_condition(s, d):
     return _edges(s, d, "snomed_id", 2)
 
 
+@_query(f"""WITH {_CROSS_CTE}, n AS (SELECT rxcui, snomed_id, link_type, max_confidence, CAST(spl_count AS BIGINT) AS spl_count, 0.6 * max_confidence + 0.4 * ln(1 + spl_count) AS score FROM ru)
+SELECT rxcui, snomed_id, link_type, max_confidence, spl_count, round(score, 6) AS score FROM (SELECT * FROM n UNION ALL SELECT * FROM n WHERE spl_count > 1)""")
+def nested_edges(s, d):
+    """Edges of a table by drug and of one by condition, which has only those of more than one label."""
+    rolled = links.rollup(_crosswalk(s, d), TS)
+    nested = lambda df, by, other, name: df.groupBy(by).agg(F.collect_list(F.struct(other, "link_type", "max_confidence", "spl_count", "examples")).alias(name))
+    found = links.nested_edges(nested(rolled, "rxcui", "snomed_id", "conditions"), nested(rolled.where("spl_count > 1"), "snomed_id", "rxcui", "drugs"))
+    return found.select("rxcui", "snomed_id", "link_type", "max_confidence", "spl_count", F.round("score", 6).alias("score"))
+
+
 _STATS_SQL = f"""WITH {_CROSS_CTE}, g AS (SELECT snomed_id, count(DISTINCT rxcui) AS degree_rx, count(*) AS edge_count, round(avg(max_confidence), 6) AS mean_max_conf, round(avg(spl_count), 6) AS mean_spl_count FROM ru GROUP BY 1),
 t AS (SELECT snomed_id, lower(link_type) AS t, count(*) AS n FROM ru GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY snomed_id ORDER BY n DESC, t) AS k FROM t),
 tt AS (SELECT snomed_id, string_agg(t || ':' || n, ',' ORDER BY k) FILTER (k <= 3) AS top_link_types FROM tk GROUP BY 1)
@@ -639,9 +770,32 @@ def chunk_windows(s, d):
     return chunker.chunk_sections(rows)
 
 
-@_query()
+def _snippet_sql(text: str) -> str:
+    clean = text
+    for p in K.SNIPPET_NOISE:
+        clean = f"regexp_replace({clean}, '{_sql_text(p)}', ' ', 'g')"
+    return clean
+
+
+_SENTENCES_SQL = "string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))"
+_WORDY = "list_filter({x}, lambda v: len(regexp_extract_all(v, '[A-Za-z0-9''-]+')) >= 6)"
+
+
+@_query(f"""WITH p AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS plain FROM documents),
+c AS (SELECT doc_id, plain, trim(regexp_replace({_snippet_sql("plain")}, '\\s+', ' ', 'g')) AS clean FROM p),
+g AS (SELECT *, {_WORDY.format(x=_SENTENCES_SQL.format(x="clean"))} AS good FROM c),
+o AS (SELECT *, CASE WHEN len(good) = 0 THEN clean WHEN length(array_to_string(good[1:2], ' ')) < 200 THEN array_to_string(good[1:3], ' ') ELSE array_to_string(good[1:2], ' ') END AS out FROM g)
+SELECT doc_id, CASE WHEN len(good) = 0 OR length(out) <= 600 THEN out WHEN contains(out[1:600], ' ') THEN regexp_replace(out[1:600], ' [^ ]*$', '') || '…' ELSE out[1:600] || '…' END AS snippet,
+CAST(CASE WHEN plain = '' THEN 0 ELSE len({_SENTENCES_SQL.format(x="plain")}) END AS INTEGER) AS sentences FROM o""")
 def snippets(s, d):
-    return _t(s, d, "documents").select("doc_id", text_.snippet("text").alias("snippet"), F.size(text_.sentences("text")).alias("sentences"), evidence.intent_snippet(F.lit("adverse_effect"), F.col("text")).alias("cued"))
+    facts = _t(s, d, "documents").select("doc_id", evidence.snippet_facts(F.lit("adverse_effect"), F.col("text")).alias("f"))
+    return facts.select("doc_id", "f.snippet", "f.sentences")
+
+
+@_query()
+def cued_snippets(s, d):
+    docs = _t(s, d, "documents").withColumn("text", F.concat_ws(" ", "text", F.lit("Most common were nausea in 5 % of all treated patients. It is given at 10 mg once daily.")))
+    return docs.select("doc_id", *[evidence.intent_snippet(F.lit(i), F.col("text")).alias(i) for i in ("adverse_effect", "dosage", "indication")])
 
 
 @_query()
@@ -659,23 +813,76 @@ def synonym_packs(s, d):
     return concepts.concept_chunks(docs, TS, 60)
 
 
-@_query()
-def xml_walk(s, d):
-    """Headings and texts of web pages as sections."""
-    import re
-
-    import pandas as pd
+_XML = ["<document xmlns='urn:hl7-org:v3'><setId root='s", "'/><title>T</title><component><structuredBody><component><section><code code='1' codeSystemName='LOINC' displayName='CONTRAINDICATIONS SECTION'/><text><paragraph>", "</paragraph><title>Warnings &amp; Risks/Use</title><paragraph>", "</paragraph><paragraph>Pregnancy: ", "</paragraph></text><component><section><code code='9' codeSystemName='X'/><title>Part ", "</title><text><list><item>a</item><item>", "</item></list></text></section></component></section></component></structuredBody></component></document>"]
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, page in zip(b["page_id"], b["html"]):
-                for head, body in re.findall(r"(?is)<(?:h\d|title|p|li)[^>]*>(.*?)</(h\d|title|p|li)>", page or ""):
-                    text = " ".join(re.sub(r"<[^>]+>", " ", head).split())
-                    rows.append((i, slug(body), text))
-            yield pd.DataFrame(rows, columns=["page_id", "tag", "text"])
 
-    return _t(s, d, "pages").mapInPandas(run, "page_id long, tag string, text string")
+@_query("""WITH d AS (SELECT doc_id, lang, source, trim(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10)) AS body FROM documents)
+SELECT doc_id, 'section' AS kind, 'contraindications' AS key, body FROM d UNION ALL SELECT doc_id, 'section', 'warnings_and_risks_or_use', lang FROM d UNION ALL SELECT doc_id, 'section', 'pregnancy', source FROM d UNION ALL SELECT doc_id, 'loose', 'Part ' || lang, 'a' || chr(10) || chr(10) || source FROM d""")
+def xml_walk(s, d):
+    """Label documents made of texts, parsed and walked; each section is a row."""
+    esc = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    told = [F.col("doc_id").cast("string"), esc, F.col("lang"), F.col("source"), F.col("lang"), F.col("source")]
+    xml = F.concat(F.lit(_XML[0]), *[x for c, part in zip(told, _XML[1:]) for x in (c, F.lit(part))])
+    files = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), xml.cast("binary").alias("content"))
+    found = labels.parse_labels(files).withColumn("doc_id", F.substring("set_id", 2, 30).cast("long"))
+    rows = lambda kind, c: found.select("doc_id", F.lit(kind).alias("kind"), F.explode(c).alias("key", "body"))
+    return rows("section", "sections").unionByName(rows("loose", "unclassified"))
+
+
+#: Sentences that are added to texts, so that every stage of evidence has rows; by the row's number.
+_TOLD = [
+    "", "It is contraindicated in severe renal impairment. Do not use.", "Serious risks: seizure and neutropenia were seen.", "The most common adverse reactions were nausea and headache in 12 % of all.", "Concomitant use with src1 may raise the risk of bleeding.",
+    "It is indicated for the treatment of pain.", "Table 5 of findings", "Drug interactions with warfarin are known.", "Use in pregnancy is not advised.",
+]
+_HEADS = ["contraindications", "warnings and precautions", "", "adverse reactions", "Oral Tablets", "description", "drug interactions"]
+_ASKED = [("contraindication", "renal"), ("warning", ""), ("adverse_effect", "nausea"), ("interaction", "interaction"), ("indication", "pain relief"), ("mechanism", ""), ("pregnancy", "zorvex")]
+
+
+def _any_sql(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{_sql_text(w)}')" for w in words) + ")"
+
+
+def _cue_sql(text: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '(?i){_sql_text(p)}')" for p in patterns) + ")"
+
+
+def _fits_sql(names: list[str]) -> str:
+    plain = [re.sub("[^a-z]", "", n) for n in names]
+    return "(section <> '' AND (" + " OR ".join(f"contains(sl, '{n}') OR contains('{n}', sl)" for n in plain) + "))"
+
+
+_CASCADE_SQL = f"""WITH r AS (SELECT source AS spl, doc_id AS ord, lower({_HEADS}[doc_id % {len(_HEADS)} + 1]) AS sec, trim(regexp_replace(CASE WHEN doc_id % {len(_TOLD)} = 6 THEN 'Table 5 ' || coalesce(text, '') ELSE coalesce(text, '') || ' ' || [{", ".join(f"'{x}'" for x in _TOLD)}][doc_id % {len(_TOLD)} + 1] END, '\\s+', ' ', 'g')) AS text FROM documents),
+l AS (SELECT *, lower(text) AS low FROM r WHERE text <> ''),
+x AS (SELECT spl, ord, text, low, CASE WHEN sec = '' OR regexp_matches(sec, '(?i){_sql_text(K.GENERIC_HEADING)}') THEN CASE {" ".join(f"WHEN {_any_sql('low', v)} THEN '{n}'" for n, v in K.INFERRED_HEADINGS)} ELSE sec END ELSE sec END AS section FROM l),
+q AS (SELECT s.source || '-' || i.intent AS qid, s.source AS label, i.intent, i.phrase FROM (SELECT DISTINCT source FROM documents) s, (SELECT unnest([{", ".join(f"{{'intent': '{i}', 'phrase': '{p}'}}" for i, p in _ASKED)}], recursive := true)) i),
+p AS (SELECT q.*, x.*, spl = label AS same, regexp_replace(section, '[^a-z]', '', 'g') AS sl FROM q JOIN x ON spl = label OR (intent = 'interaction' AND contains(low, lower(label)))),
+f AS (SELECT *, CASE intent {" ".join(f"WHEN '{i}' THEN {_fits_sql(v)}" for i, v in K.INTENT_SECTIONS.items())} ELSE true END AS sec_ok, CASE intent {" ".join(f"WHEN '{i}' THEN {_cue_sql('text', v)}" for i, v in K.INTENT_CUES.items())} ELSE true END AS cue,
+  phrase = '' OR (phrase = 'interaction' AND {_any_sql('low', K.PHRASE_SYNONYMS['interaction'])}) OR len(list_filter(string_split(phrase, ' '), lambda w: length(w) > 2 AND contains(low, w))) > 0 AS phit, starts_with(low, 'table ') AS tabular FROM p),
+g AS (SELECT *, (NOT tabular OR (intent IN ('warning', 'adverse_effect') AND sec_ok)) AS plain, (NOT tabular OR (intent IN ('warning', 'adverse_effect') AND sec_ok)) AND sec_ok AND section <> '' AND NOT regexp_matches(section, '(?i){_sql_text(K.GENERIC_HEADING)}') AND (intent NOT IN ({", ".join(f"'{i}'" for i in K.INTENT_CUES)}) OR cue) AS strict FROM f),
+s AS (SELECT *, unnest(list_filter([CASE WHEN same AND strict AND phit THEN 1 END, CASE WHEN same AND strict THEN 2 END, CASE WHEN same AND intent = 'warning' AND regexp_matches(text, '(?i){_sql_text(K.HARD_WARNING)}') THEN 24 END,
+  CASE WHEN same AND intent = 'adverse_effect' AND regexp_matches(text, '(?i){_sql_text(K.ADVERSE_HINT)}') THEN 23 END, CASE WHEN same AND intent = 'interaction' AND cue THEN 22 END,
+  CASE WHEN intent = 'interaction' AND contains(low, lower(label)) AND {_cue_sql('low', K.INTENT_CUES['interaction'])} THEN 21 END, CASE WHEN same AND plain THEN 3 END], lambda v: v IS NOT NULL)) AS stage FROM g),
+o AS (SELECT *, CASE WHEN stage > 20 THEN 2 ELSE [0, 1, 3][stage] END AS prio, CASE stage WHEN 24 THEN 0.45 WHEN 23 THEN 0.5 WHEN 22 THEN 0.35 + CASE WHEN starts_with(sl, 'druginteractions') THEN 0.25 ELSE 0 END WHEN 21 THEN 0.33
+  ELSE CASE WHEN sec_ok THEN 0.38 ELSE 0 END + CASE WHEN phit THEN 0.12 ELSE 0 END + 0.07 + CASE WHEN cue AND intent IN ({", ".join(f"'{i}'" for i in K.INTENT_CUES)}) THEN 0.3 ELSE 0 END END AS score FROM s),
+w AS (SELECT *, min(prio) OVER (PARTITION BY qid) AS first FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord, stage DESC) AS rank FROM w WHERE prio = first)
+SELECT qid, spl AS spl_set_id, CAST(stage AS INTEGER) AS stage, round(CAST(score AS DOUBLE), 6) AS score, CAST(rank AS INTEGER) AS rank,
+  CASE WHEN stage > 20 THEN coalesce(nullif(section, ''), [ 'drug interactions', 'drug interactions', 'adverse reactions', 'warnings and precautions'][stage - 20]) ELSE section END AS section FROM k WHERE rank <= 6"""
+
+
+@_query(_CASCADE_SQL)
+def evidence_stage_cascade(s, d):
+    """Evidence for questions of seven intents about every source, from all texts, without similarities."""
+    number = lambda n: (F.col("doc_id") % n).cast("int")
+    told = F.get(F.array(*[F.lit(x) for x in _TOLD]), number(len(_TOLD)))
+    text = F.when(number(len(_TOLD)) == 6, F.concat(F.lit("Table 5 "), F.coalesce("text", F.lit("")))).otherwise(F.concat_ws(" ", F.coalesce("text", F.lit("")), told))
+    docs = _t(s, d, "documents")
+    rows = evidence.label_rows(docs.select(F.col("source").alias("spl_set_id"), F.get(F.array(*[F.lit(x) for x in _HEADS]), number(len(_HEADS))).alias("section"), text.alias("text"), F.col("doc_id").alias("ord")))
+    rows = materialize(rows, "label-rows")
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("intent"), F.lit(p).alias("phrase")) for i, p in _ASKED]))
+    asked = docs.select("source").distinct().select("source", kinds.alias("k")).select(F.concat_ws("-", "source", "k.intent").alias("qid"), F.lit("").alias("text"), "k.intent", "k.phrase", F.col("source").alias("drug_name"), F.col("source").alias("question_label"))
+    found = evidence.collect_evidence(asked, rows)
+    return found.select("qid", "spl_set_id", "stage", F.round("score", 6).alias("score"), "rank", "section")
 
 
 def engine(s: SparkSession, d: str) -> Engine:
