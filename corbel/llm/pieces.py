@@ -82,7 +82,9 @@ class Codec:
 
     Ids of pre-tokens are kept as packed int32 in two generations: when the
     young one is full it becomes the old one, whose entries move back on use.
-    So do the marks of pre-tokens for which SentencePiece gives other ids.
+    So do the marks of pre-tokens for which SentencePiece gives other ids, and
+    of those that the decoder doesn't give back.  No run of byte pieces crosses
+    the start of a pre-token, so a text decodes to what its pre-tokens do.
     """
 
     def __init__(self, path: str, most: int = CACHE_SIZE, threads: int = THREADS):
@@ -97,64 +99,76 @@ class Codec:
         self.old: dict[str, bytes] = {}
         self.off: set[str] = set()
         self.old_off: set[str] = set()
+        self.lost: set[str] = set()
+        self.old_lost: set[str] = set()
         # The mark that ends a text which ends in a space: what two spaces have beyond one.
         one, two = (self._ids([x])[0] for x in ("a", "a "))
-        self.lone, self.lone_off = np.array(two[len(one) :], np.int32).tobytes(), self.sp.encode("a ") != two
+        self.lone, self.lone_off, self.lone_lost = np.array(two[len(one) :], np.int32).tobytes(), self.sp.encode("a ") != two, self._texts([two]) != ["a "]
         self.opens = np.array([(self.tok.id_to_token(k) or "").startswith(_SPACE) for k in range(self.tok.get_vocab_size())])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _texts(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
     def _learn(self, words: set[str]) -> None:
         """Put the ids of all of ``words`` into the young generation."""
         if len(self.young) > self.most:
-            self.old, self.young, self.old_off, self.off = self.young, {}, self.off, set()
+            self.old, self.young, self.old_off, self.off, self.old_lost, self.lost = self.young, {}, self.off, set(), self.lost, set()
         for k in words & self.old.keys():
             self.young[k] = self.old[k]
-            if k in self.old_off:
-                self.off.add(k)
+        self.off |= words & self.old_off
+        self.lost |= words & self.old_lost
         new = words - self.young.keys() - {""}
         # Words without further marks are coded many in a line and told apart by their marks.
         plain = [k for k in new if " " not in k and _SPACE not in k]
         rest = list(new.difference(plain))
         lines = [plain[k : k + 128] for k in range(0, len(plain), 128)]
         joined = [" ".join(x) for x in lines]
-        for line, mine, theirs in zip(lines, self._ids(joined), self.sp.encode(joined, num_threads=self.threads)):
+        coded = self._ids(joined)
+        for line, text, mine, theirs, back in zip(lines, joined, coded, self.sp.encode(joined, num_threads=self.threads), self._texts(coded)):
             flat = np.array(mine, np.int32)
             at = np.flatnonzero(self.opens[flat])
-            if len(at) != len(line) or mine != theirs:
+            if len(at) != len(line) or mine != theirs or back != text:
                 rest += line
                 continue
             raw, ends = flat.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(flat)]
             self.young.update(zip(line, (raw[i:j] for i, j in zip((4 * at).tolist(), ends))))
-        for k, mine, theirs in zip(rest, self._ids(rest), self.sp.encode(rest, num_threads=self.threads)):
+        coded = self._ids(rest)
+        for k, mine, theirs, back in zip(rest, coded, self.sp.encode(rest, num_threads=self.threads), self._texts(coded)):
             if mine != theirs:
                 self.off.add(k)
+            if back != k.replace(_SPACE, " "):
+                self.lost.add(k)
             self.young[k] = np.array(mine, np.int32).tobytes()
         self.young[""] = self.lone
-        if self.lone_off:
-            self.off.add("")
+        self.off |= {""} if self.lone_off else set()
+        self.lost |= {""} if self.lone_lost else set()
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """The rebuilt tokenizer's ids of each text, and whether SentencePiece gives the same."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """The rebuilt tokenizer's ids of each text, whether SentencePiece gives the same, and whether they decode to the text."""
         cut = [pretokens(x) if self.split and "\0" not in x else None for x in texts]
         words = set().union(*(x for x in cut if x))
         if missing := words - self.young.keys():
             self._learn(words if len(self.young) > self.most else missing)
-        out, same = [], []
+        out, same, back = [], [], []
         for text, some in zip(texts, cut):
             if some is None:
                 mine = self._ids([text])[0]
                 out.append(np.array(mine, np.int32))
                 same.append(mine == self.sp.encode(text))
+                back.append(self._texts([mine]) == [text])
             else:
                 out.append(np.frombuffer(b"".join(map(self.young.__getitem__, some)), np.int32))
                 same.append(not self.off or self.off.isdisjoint(some))
-        return out, same
+                # A mark that the text itself holds comes back as a space.
+                back.append(_SPACE not in text and (not self.lost or self.lost.isdisjoint(some)))
+        return out, same, back
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The texts again, by the rebuilt tokenizer's decoder."""
-        return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return self._texts([x.tolist() for x in ids])
 
 
 @cache
@@ -184,12 +198,11 @@ def encode_pieces(docs: DataFrame, model_path: str, text_column: str = "text") -
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids, same = codec.encode(texts)
+                ids, same, back = codec.encode(texts)
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                equal = pa.array([x == y for x, y in zip(texts, codec.decode(ids))], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(sizes), pa.array(same, pa.bool_()), equal], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(sizes), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], names=schema.names)
 
     return plain.mapInArrow(coded, schema)
 

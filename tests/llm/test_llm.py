@@ -212,9 +212,9 @@ def test_hard_texts():
     assert table.find(["the", "nothing", ""]).tolist() == [3 if "the" in words(500, 3).split() else -1, -1, -1]
     codec = pieces.Codec(MODEL, 2)
     for _ in range(2):
-        ids, same = codec.encode(HARD)
+        ids, same, back = codec.encode(HARD)
         assert [x.tolist() for x in ids] == sp.encode(HARD) and all(same)
-        assert [a for a, b in zip(codec.decode(ids), HARD) if a != b] == ["x y  "]
+        assert [a for a, b in zip(codec.decode(ids), HARD) if a != b] == ["x y  "] and back == [a == b for a, b in zip(codec.decode(ids), HARD)]
         assert os.environ["RAYON_NUM_THREADS"] == str(pieces.THREADS)
 
 
@@ -230,8 +230,8 @@ def test_parity_is_reported_through_generations(monkeypatch):
 
     codec.sp = Other()
     for k in range(6):
-        ids, same = codec.encode(["a zorvex b", f"plain words of turn {k}", "zorvex"])
-        assert same == [False, True, False] and [x.tolist() for x in ids] == other.encode(["a zorvex b", f"plain words of turn {k}", "zorvex"])
+        ids, same, back = codec.encode(["a zorvex b", f"plain words of turn {k}", "zorvex"])
+        assert all(back) and same == [False, True, False] and [x.tolist() for x in ids] == other.encode(["a zorvex b", f"plain words of turn {k}", "zorvex"])
 
 
 def test_pieces_are_the_models_on_all_documents():
@@ -241,8 +241,8 @@ def test_pieces_are_the_models_on_all_documents():
     texts = [t or "" for t in parquet.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
     sp, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Codec(MODEL, 5000)
     for k in range(0, len(texts), 100):
-        ids, same = codec.encode(texts[k : k + 100])
-        assert all(same) and [x.tolist() for x in ids] == sp.encode(texts[k : k + 100]) and codec.decode(ids) == texts[k : k + 100]
+        ids, same, back = codec.encode(texts[k : k + 100])
+        assert all(same) and all(back) and [x.tolist() for x in ids] == sp.encode(texts[k : k + 100]) and codec.decode(ids) == texts[k : k + 100]
     # The whole tokenizer, uncut, gives the same.
     assert [x.ids for x in codec.tok.encode_batch(texts[:50], add_special_tokens=False)] == sp.encode(texts[:50])
 
