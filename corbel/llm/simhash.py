@@ -9,7 +9,7 @@ compared pairwise: their fingerprints meet at the values halfway between them,
 which is exact as well and linear in their number.
 
 ``near_duplicates`` links by Hamming distance alone.  ``keep_one``, the stage
-of a pipeline, takes such links between two fingerprints of a text's words as
+of a pipeline, takes such links between four fingerprints of a text's words as
 candidates and keeps those whose shingles of five words are alike by 0.8.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -32,6 +33,8 @@ from corbel.llm.graph import components
 BITS = 64
 #: Fingerprints of one key that are compared pairwise, in one task, at most.
 PAIRWISE = 4096
+#: Independent fingerprints of a text's words, an even number; a near copy is missed if all of its differ in too many bits.
+PRINTS = 4
 
 _SMALL = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -200,21 +203,21 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def word_fingerprints(text: str) -> tuple[int, int]:
-    """Two independent SimHashes, signed, of a text's words, each with the root of its count; 0 without words.
+def word_fingerprints(text: str, prints: int = PRINTS) -> list[int]:
+    """Independent SimHashes, signed, of a text's words, each with the root of its count; 0 without words.
 
     Words move less of a fingerprint than shingles when a text is edited, so
     that few bits tell near copies from other texts.
     """
     seen = Counter(text.encode("utf-8", "replace").translate(_SMALL).split())
     if not seen:
-        return 0, 0
-    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, seen)), np.uint8).reshape(-1, 16)
-    weights, total = np.sqrt(np.fromiter(seen.values(), float, len(seen))), np.zeros(128)
+        return [0] * prints
+    h, seeds = xxhash.xxh3_128_digest, range(prints // 2)
+    digests = np.frombuffer(b"".join([h(w, s) for w in seen for s in seeds]), np.uint8).reshape(len(seen), -1)
+    weights, total = np.sqrt(np.fromiter(seen.values(), float, len(seen))), np.zeros(BITS * prints)
     for k in range(0, len(weights), 8192):
         total += weights[k : k + 8192] @ np.unpackbits(digests[k : k + 8192], axis=1)
-    a, b = np.packbits(2 * total > weights.sum()).view("<i8")
-    return int(a), int(b)
+    return np.packbits(2 * total > weights.sum()).view("<i8").tolist()
 
 
 def shingle_set(text: str, width: int = 5) -> np.ndarray:
@@ -235,28 +238,31 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (both - shared)
 
 
+_FPS = [f"fp{k}" for k in range(PRINTS)]
+
+
 def _candidates(texts: DataFrame, distance: int, pairwise: int) -> DataFrame:
-    """(u, v): digests of texts with a fingerprint in common or linked ones, as spanning links; ``texts`` has digest, fp0 and fp1."""
+    """(u, v): digests of texts with a fingerprint in common or linked ones, as spanning links; ``texts`` has digest and the fingerprints."""
     found = []
-    for fp in ("fp0", "fp1"):
+    for fp in _FPS:
         first = materialize(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("digest").alias("first")), "first")
         near = links(first.select("fp"), distance, pairwise=pairwise)
         near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("du")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("dv")), "v")
         same = texts.select(F.col(fp).alias("fp"), "digest").join(first, "fp").where("digest <> first")
         found += [near.select("du", "dv"), same.select(F.col("first").alias("du"), F.col("digest").alias("dv"))]
-    every = found[0].union(found[1]).union(found[2]).union(found[3])
+    every = reduce(DataFrame.union, found)
     return materialize(every.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct(), "candidates")
 
 
 def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
-    """Texts (digest, least, fp0, fp1), least the first of their rows, and the candidate links (u, v) between them that are verified.
+    """Texts (digest, least, fp0, fp1, ...), least the first of their rows, and the candidate links (u, v) between them that are verified.
 
     ``docs`` has id, text, digest and key, which stands for a row.
     """
 
-    @F.pandas_udf("fp0 long, fp1 long")
+    @F.pandas_udf(", ".join(f"{fp} long" for fp in _FPS))
     def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([word_fingerprints(t) for t in texts], columns=["fp0", "fp1"])
+        return pd.DataFrame([word_fingerprints(t) for t in texts], columns=_FPS)
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -267,7 +273,7 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: in
         return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(a, b)])
 
     made = materialize(docs.select("id", "digest", "key", prints("text").alias("p")).select("id", "digest", "key", "p.*"), "fingerprints")
-    texts = made.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
+    texts = made.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least"), *[F.min(fp).alias(fp) for fp in _FPS])
     texts = materialize(texts, "texts")
     links_ = _candidates(texts, distance, pairwise)
     # Only one row of each text in a link gives its shingles.

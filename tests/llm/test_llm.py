@@ -317,6 +317,23 @@ def test_keep_one_of_near_copies(spark):
         assert len(near) >= 70 and sum(i not in left for i in near) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("length", [60, 300])
+def test_word_fingerprints_find_near_copies(length):
+    """Of pairs edited to a likeness of 0.8 to 0.85, at least 0.93 have a fingerprint that differs in four bits or fewer."""
+    r, near, pairs = random.Random(length), 0, 0
+    while pairs < 200:
+        w = words(length, r.random()).split()
+        e = list(w)
+        for at in r.sample(range(length), max(1, length // 52)):
+            e[at] = words(1, r.random())
+        if not 0.8 <= simhash.jaccard(simhash.shingle_set(" ".join(w)), simhash.shingle_set(" ".join(e))) <= 0.85:
+            continue
+        pairs += 1
+        a, b = (np.array(simhash.word_fingerprints(" ".join(x)), np.int64).view(np.uint64) for x in (w, e))
+        near += bool((np.bitwise_count(a ^ b) <= 4).any())
+    assert len(a) == simhash.PRINTS and near >= 0.93 * pairs
+
+
 def test_jaccard_is_of_shingle_sets():
     for a, b in ((0, 1), (3, 3), (5, 6)):
         x, y = words(60, a), words(55, b) + " " + words(60, a)
