@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -160,11 +159,14 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, pairwise: int
 
     ``distinct`` has a column fp without repeats.  Every emitted pair differs in
     at most ``distance`` bits, and any two fingerprints that do are connected.
+    With a column f beside it, only fingerprints of the same f need to be
+    connected, and all are found in one pass.
     """
     masks = block_masks(distance, blocks)
     assert len(masks) == comb(blocks, distance)
     keys = F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)]))
-    keyed = distinct.select("fp", keys.alias("x")).select("x.k", "x.key", "fp")
+    f = F.col("f") if "f" in distinct.columns else F.lit(0)
+    keyed = distinct.select("fp", f.alias("f"), keys.alias("x")).select((F.col("f") * len(masks) + F.col("x.k")).cast("int").alias("k"), "x.key", "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = keyed.repartition(parts, "k", "key").sortWithinPartitions("k", "key").mapInPandas(lambda b: _link_runs(b, distance, pairwise), "u long, v long")
     found = materialize(found, "links")
@@ -243,14 +245,13 @@ _FPS = [f"fp{k}" for k in range(PRINTS)]
 
 def _candidates(texts: DataFrame, distance: int, pairwise: int) -> DataFrame:
     """(u, v): digests of texts with a fingerprint in common or linked ones, as spanning links; ``texts`` has digest and the fingerprints."""
-    found = []
-    for fp in _FPS:
-        first = materialize(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("digest").alias("first")), "first")
-        near = links(first.select("fp"), distance, pairwise=pairwise)
-        near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("du")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("dv")), "v")
-        same = texts.select(F.col(fp).alias("fp"), "digest").join(first, "fp").where("digest <> first")
-        found += [near.select("du", "dv"), same.select(F.col("first").alias("du"), F.col("digest").alias("dv"))]
-    every = reduce(DataFrame.union, found)
+    stacked = texts.select("digest", F.posexplode(F.array(*_FPS)).alias("f", "fp"))
+    first = materialize(stacked.groupBy("f", "fp").agg(F.min("digest").alias("first")), "first")
+    # Candidates are verified, so it does no harm if fingerprints of two kinds are equal by chance.
+    near = links(first.select("f", "fp"), distance, pairwise=pairwise)
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("du")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("dv")), "v")
+    same = stacked.join(first, ["f", "fp"]).where("digest <> first")
+    every = near.where("du <> dv").select("du", "dv").union(same.select(F.col("first").alias("du"), F.col("digest").alias("dv")))
     return materialize(every.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct(), "candidates")
 
 
