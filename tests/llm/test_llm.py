@@ -57,7 +57,7 @@ def test_every_query_takes_empty_tables(spark, empty, labels):
     assert chunks.op1_chunks(empty).count() == suffixes.op2_suffixes(empty).count() == tokens.op3_tokens(empty, MODEL).count() == 0
     assert simhash.op4_simhash(empty).count() == pieces.op6_pieces(empty, MODEL).count() == imatch.op7_imatch(empty).count() == mixing.op10_mixing(empty).count() == 0
     assert vectors.op8_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 10
+    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 13
 
 
 # --- chunks -----------------------------------------------------------------
