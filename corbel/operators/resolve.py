@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from corbel import constants as K
 from corbel.functions.keys import set_id
-from corbel.functions.ranking import neighbour_confidence, token_set_ratio_udf
+from corbel.functions.ranking import neighbour_confidence
 from corbel.functions.text import drug_key, first_true, lexicon_key_ok, norm_lower, semantic_tag, strip_tag
+from corbel.operators.likeness import similar
 from corbel.operators.ordered import first_rows, top_rows
 
-#: Lexicon names that fuzzy matching holds against a mention at most.
-FUZZY_NAMES = 500_000
-
 
 def drug_lexicon(master: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """(key, spl_set_id): drug names by canonical key, the first label wins, the master before the metadata.
@@ -82,29 +80,21 @@ def resolve_drugs(mentions: DataFrame, lexicon: DataFrame, drugs: DataFrame) ->
     return rows.withColumn("drug", found).drop("k1", "s1", "k2", "s2", "k3", "sid", "rxcui")
 
 
-def fuzzy(mentions: DataFrame, lexicon: DataFrame, cutoff: float = 88.0, block: bool = False) -> DataFrame:
+def fuzzy(mentions: DataFrame, lexicon: DataFrame, cutoff: float = 88.0) -> DataFrame:
     """(qid, snomed_id, name, score): the likeliest lexicon name of each mention, the first of equals.
 
-    Without ``block`` every name is held against every mention, for lexicons of
-    up to FUZZY_NAMES names, which go to every task; mentions may be any number.
-    With it only names that share a word are, which leaves out likenesses of
-    spelling alone.
+    Equal to holding every name against every mention, of any number of either;
+    see ``likeness.similar`` for how pairs are found.  Mentions without words
+    have none.
     """
-    # A number of parts of its own: few mentions shall not end up in one task.
-    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = mentions.select("qid", norm_lower("text").alias("q")).where("q <> ''").repartition(parts, "qid", "q").distinct()
-    if block:
-        left, right = asked.select("*", F.explode(F.split("q", " ")).alias("w")), lexicon.select("*", F.explode(F.split("key", " ")).alias("w"))
-        pairs = left.join(right, "w").drop("w").distinct()
-    else:
-        if lexicon.limit(FUZZY_NAMES + 1).count() > FUZZY_NAMES:
-            raise ValueError("the lexicon is too large; set block=True")
-        pairs = asked.join(F.broadcast(lexicon), F.lit(True))
-    scored = pairs.withColumn("score", token_set_ratio_udf("q", "key")).where(F.col("score") >= cutoff)
-    return top_rows(scored, ["qid"], [F.desc("score"), F.asc("key")]).select("qid", "snomed_id", "name", "score")
-
-
-def resolve_conditions(mentions: DataFrame, lexicon: DataFrame, terms: DataFrame, hits: DataFrame | None = None, cutoff: float = 88.0, metric: str = "l2", block: bool = False) -> DataFrame:
+    asked = mentions.select("qid", norm_lower("text").alias("q")).where("q <> ''")
+    pairs = similar(asked.select(F.col("q").alias("text")), lexicon.select(F.col("key").alias("text")), cutoff)
+    best = pairs.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("less"), "key")).alias("best")).select("q", "best.key", (-F.col("best.less")).alias("score"))
+    first = lexicon.groupBy("key").agg(F.min(F.struct("snomed_id", "name")).alias("c")).select("key", "c.snomed_id", "c.name")
+    return asked.distinct().join(best.join(first, "key"), "q").select("qid", "q", "snomed_id", "name", "score", "key").transform(lambda df: top_rows(df, ["qid"], [F.desc("score"), F.asc("key")])).select("qid", "snomed_id", "name", "score")
+
+
+def resolve_conditions(mentions: DataFrame, lexicon: DataFrame, terms: DataFrame, hits: DataFrame | None = None, cutoff: float = 88.0, metric: str = "l2") -> DataFrame:
     """``mentions`` (qid, text, intent) with the struct ``condition``: exact name, else fuzzy, else nearest vectors.
 
     ``hits`` has qid, rank, distance, snomed_id, name and tag of each mention's
@@ -116,7 +106,7 @@ def resolve_conditions(mentions: DataFrame, lexicon: DataFrame, terms: DataFrame
     asked = mentions.select("qid", "text", F.lower(F.trim(F.coalesce("intent", F.lit("")))).alias("intent"), norm_lower("text").alias("q")).where("q <> ''")
     exact = found(asked.join(lexicon, asked.q == lexicon.key), F.lit(0.92), F.lit("Lexicon-exact"))
     rest = asked.join(exact, "qid", "left_anti")
-    near = found(fuzzy(rest, lexicon, cutoff, block), F.greatest(F.lit(0.85), F.col("score") / 100), F.lit("Lexicon-fuzzy"))
+    near = found(fuzzy(rest, lexicon, cutoff), F.greatest(F.lit(0.85), F.col("score") / 100), F.lit("Lexicon-fuzzy"))
     every = exact.unionByName(near)
     if hits is not None:
         open_ = hits.join(rest.join(near, "qid", "left_anti").select("qid", "intent"), "qid").where(tag_allowed(F.col("intent"), F.col("tag")))

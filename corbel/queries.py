@@ -798,13 +798,51 @@ def cued_snippets(s, d):
     return docs.select("doc_id", *[evidence.intent_snippet(F.lit(i), F.col("text")).alias(i) for i in ("adverse_effect", "dosage", "indication")])
 
 
-@_query()
+#: Likeness of two lists of distinct words as the resolver takes it: ``lcs`` steps through one text and keeps, for each
+#: beginning of the other, the length of the longest common subsequence.
+_LIKENESS = """
+x AS (SELECT q, key, string_split(q, ' ') AS qw, string_split(key, ' ') AS kw FROM pairs),
+y AS (SELECT q, key, list_sort(list_distinct(list_filter(qw, lambda w: list_contains(kw, w)))) AS same, list_sort(list_distinct(list_filter(qw, lambda w: NOT list_contains(kw, w)))) AS mine, list_sort(list_distinct(list_filter(kw, lambda w: NOT list_contains(qw, w)))) AS yours FROM x),
+z AS (SELECT *, array_to_string(same, ' ') AS base, array_to_string(list_concat(same, mine), ' ') AS one, array_to_string(list_concat(same, yours), ' ') AS two FROM y),
+l AS (SELECT *, list_last(list_reduce(list_prepend(list_transform(range(length(one) + 1), lambda i: 0), list_transform(range(length(two)), lambda j: [unicode(two[j + 1])])),
+  lambda r, c: list_transform(range(length(one) + 1), lambda i: greatest(r[i + 1], coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda k: unicode(one[k]) = c[1]), lambda k: r[k] + 1)), 0))))) AS common FROM z),
+scored AS (SELECT q, key, CASE WHEN len(same) > 0 AND (len(mine) = 0 OR len(yours) = 0) THEN 100.0 ELSE greatest(200.0 * common / (length(one) + length(two)), CASE WHEN len(same) > 0 THEN 200.0 * length(base) / (length(base) + least(length(one), length(two))) ELSE 0 END) END AS score FROM l)
+"""
+
+
+@_query(f"""
+WITH lex AS (SELECT lower(n_name) AS key, CAST(n_nationkey AS VARCHAR) AS snomed_id, n_name AS name FROM nation),
+asked AS (SELECT s_suppkey AS qid, lower(n_name) || ' old' AS q FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+pairs AS (SELECT DISTINCT q, key FROM asked, lex), {_LIKENESS}
+SELECT qid, snomed_id, name, CAST(score AS DOUBLE) AS score FROM asked JOIN scored USING (q) JOIN lex USING (key) WHERE score >= 88 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) = 1
+""")
 def fuzzy_names(s, d):
     lex = _t(s, d, "nation").select(F.lower("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("snomed_id"), F.col("n_name").alias("name"))
     asked = _t(s, d, "supplier").join(_t(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("qid"), F.concat("n_name", F.lit(" old")).alias("text"))
     return resolve.fuzzy(asked, lex)
 
 
+#: Openings of four words, and for every 50th document its own with the words turned round and the third letter left out.
+_OPENINGS = "SELECT doc_id, array_to_string(w[1:4], ' ') AS opening, w[1:4] AS w FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL) WHERE w[1] <> ''"
+
+
+@_query(f"""
+WITH o AS ({_OPENINGS}),
+lex AS (SELECT opening AS key, min(CAST(doc_id AS VARCHAR)) AS first_id FROM o GROUP BY 1),
+turned AS (SELECT doc_id AS qid, array_to_string(list_reverse(w), ' ') AS t FROM o WHERE doc_id % 50 = 0),
+asked AS (SELECT qid, trim(regexp_replace(left(t, 2) || substring(t, 4), ' +', ' ', 'g')) AS q FROM turned),
+pairs AS (SELECT DISTINCT q, key FROM asked, lex WHERE q <> '' AND least(length(q), length(key)) > 0), {_LIKENESS}
+SELECT qid, first_id, key, CAST(score AS DOUBLE) AS score FROM asked JOIN scored USING (q) JOIN lex USING (key) WHERE score >= 88 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) = 1
+""")
+def fuzzy_openings(s, d):
+    words = F.slice(F.split(text_.norm_lower("text"), " "), 1, 4)
+    docs = _t(s, d, "documents").where("text is not null").select("doc_id", words.alias("w")).where("w[0] <> ''")
+    lex = docs.groupBy(F.array_join("w", " ").alias("key")).agg(F.min(F.col("doc_id").cast("string")).alias("snomed_id")).select("key", "snomed_id", F.col("key").alias("name"))
+    turned = F.array_join(F.reverse("w"), " ")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.concat(F.left(turned, F.lit(2)), F.expr("substring(array_join(reverse(w), ' '), 4)")).alias("text"))
+    return resolve.fuzzy(asked, lex).select("qid", F.col("snomed_id").alias("first_id"), F.col("name").alias("key"), "score")
+
+
 @_query()
 def synonym_packs(s, d):
     rows = _t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("conceptId"), F.split("text", " ").alias("w"))
