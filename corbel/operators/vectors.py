@@ -54,7 +54,7 @@ def encode(df: DataFrame, text: str, encoder: Encoder, batch: int = 256, normali
     return out.withColumn(column, unit(column)) if normalize else out
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
     """The queries (query_id, qvec) in blocks of about QUERIES at most."""
     asked = queries.select("query_id", "qvec")
     if asked.limit(QUERIES + 1).count() <= QUERIES:
@@ -63,7 +63,7 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [asked.where(F.pmod(F.xxhash64("query_id", "qvec"), F.lit(n)) == k) for k in range(n)]
 
 
-def _every(blocks: list[DataFrame]) -> DataFrame:
+def every_block(blocks: list[DataFrame]) -> DataFrame:
     out = blocks[0]
     for more in blocks[1:]:
         out = out.unionByName(more)
@@ -79,7 +79,7 @@ def search(queries: DataFrame, rows: DataFrame, top: int = 5, metric: str = "ip"
     only those meet.  Scores are inner products, or squared distances with
     ``metric='l2'``, in double precision.
     """
-    found = _every([_search_block(block, rows, top, metric) for block in _blocks(queries)])
+    found = every_block([_search_block(block, rows, top, metric) for block in query_blocks(queries)])
     return top_rows(found, ["query_id"], [F.desc("score") if metric == "ip" else F.asc("score"), F.asc("row_id")], top, "rank")
 
 
@@ -116,7 +116,7 @@ def _search_block(queries: DataFrame, rows: DataFrame, top: int, metric: str) ->
 def search_by_expression(queries: DataFrame, rows: DataFrame, top: int = 5, metric: str = "ip") -> DataFrame:
     """The same in expressions only, for a few queries: a join with a broadcast side for each block, then the best per query."""
     score = dot("qvec", "vec") if metric == "ip" else squared_distance("qvec", "vec")
-    pairs = _every([rows.select("row_id", "vec").join(F.broadcast(block), F.size("vec") == F.size("qvec")) for block in _blocks(queries)])
+    pairs = every_block([rows.select("row_id", "vec").join(F.broadcast(block), F.size("vec") == F.size("qvec")) for block in query_blocks(queries)])
     return top_rows(pairs.select("query_id", "row_id", score.alias("score")), ["query_id"], [F.desc("score") if metric == "ip" else F.asc("score"), F.asc("row_id")], top, "rank")
 
 

@@ -8,6 +8,7 @@ Arrays come out as joined text, so that both engines print them alike.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,12 @@ from corbel.functions import keys as keys_
 from corbel.functions import ranking
 from corbel.functions import text as text_
 from corbel.operators import chunker, concepts, dictionary, drugs, links, names, resolve, vectors
-from corbel.operators.cut import materialize
+from corbel.operators.cut import materialize, shared_dir
 from corbel.operators.ordered import first_rows, newest_rows, ordered_list, sorted_set, top_rows
 from corbel.plans import answer, evidence, questions
 from corbel.plans.engine import Engine
 from corbel.sources import labels
+from corbel.sources.vector_index import VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +160,18 @@ def vector_meta_join(s, d):
     return vectors.with_meta(vector_topk(s, d), meta).select("query_id", "row_id", "label", "rank", "score")
 
 
+@_query(_VECTORS_SQL.format(score="list_inner_product(a, e.embedding::DOUBLE[])", way="DESC").replace("SELECT query_id, row_id,", "SELECT query_id, row_id, (SELECT label FROM embeddings x WHERE x.vec_id = row_id) AS label,"))
+def vector_index(s, d):
+    """An index of the even ids, the odd ones appended, opened again and searched; labels by ordinal."""
+    rows = _t(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), "label")
+    path = f"{shared_dir(s)}/corbel/{s.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    VectorIndex.create(rows.where("row_id % 2 = 0"), path).append(rows.where("row_id % 2 <> 0"))
+    index = VectorIndex.load(s, path)
+    hits = index.search(rows.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("vec").alias("qvec")), 5)
+    named = index.rows_at(hits).select("ordinal", "row.label")
+    return hits.join(named, "ordinal").select("query_id", "row_id", "label", "rank", F.round("score", 6).alias("score"))
+
+
 @_query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT query_id, e.vec_id AS row_id, label, list_inner_product(a, e.embedding::DOUBLE[]) AS score FROM q, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS k FROM p),
