@@ -16,7 +16,7 @@ candidates and keeps those whose shingles of five words are alike by 0.8.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -255,9 +255,35 @@ def _candidates(texts: DataFrame, distance: int, pairwise: int) -> DataFrame:
     return materialize(every.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct(), "candidates")
 
 
+def _lost(sets: DataFrame, parted: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v): verified links between texts that candidates connect and verified candidates don't.
+
+    ``parted`` has (digest, reach, root): what candidates and verified ones
+    reach from a text, only where the first has several of the second.  Two
+    texts alike by ``similarity`` share one of their rarest shingles, of each
+    as many as it can lack and one more; so texts of one reach and different
+    roots meet by these alone, and what meets is verified.
+    """
+    # Chains whose names hash alike by chance would only be searched together.
+    own = parted.join(sets, "digest").select(F.unhex("digest").alias("digest"), F.xxhash64("reach").alias("reach"), F.unhex("root").alias("root"), F.explode("grams").alias("gram"), F.size("grams").alias("size"))
+    own = materialize(own, "grams")
+    counts = own.groupBy("reach", "gram").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other"))
+    counts = materialize(counts, "counts")
+    room = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
+    ranked = own.join(counts, ["reach", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("n", "gram")))
+    # Shingles of one root alone bring no new texts together.
+    rare = materialize(ranked.where((F.col("place") <= room) & (F.col("one") != F.col("other"))).select("reach", "gram", "digest", "root", "size"), "prefixes")
+    other = rare.select("reach", "gram", F.col("digest").alias("v"), F.col("root").alias("v_root"), F.col("size").alias("v_size"))
+    may = (F.col("root") < F.col("v_root")) & (F.least("size", "v_size") >= F.greatest("size", "v_size") * similarity - 1e-9)
+    met = rare.join(other, ["reach", "gram"]).where(may).select(F.lower(F.hex("digest")).alias("u"), F.lower(F.hex("v")).alias("v")).distinct()
+    return verified(met)
+
+
 def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
-    """Texts (digest, least, fp0, fp1, ...), least the first of their rows, and the candidate links (u, v) between them that are verified.
+    """Texts (digest, least, fp0, fp1, ...), least the first of their rows, and verified links (u, v) between them.
 
+    Links connect all texts that any chain of texts alike by ``similarity``
+    connects, as long as candidates, in a chain of their own, do.
     ``docs`` has id, text, digest and key, which stands for a row.
     """
 
@@ -265,13 +291,13 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: in
     def prints(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([word_fingerprints(t) for t in texts], columns=_FPS)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
+        return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(a, b)])
+        return pd.Series([jaccard(x, y) >= similarity for x, y in zip(a, b)])
 
     made = materialize(docs.select("id", "digest", "key", prints("text").alias("p")).select("id", "digest", "key", "p.*"), "fingerprints")
     texts = made.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("least"), *[F.min(fp).alias(fp) for fp in _FPS])
@@ -281,8 +307,18 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: in
     wanted = links_.select(F.col("u").alias("digest")).union(links_.select("v")).distinct().join(texts, "digest").select(F.col("least.key").alias("key"))
     sets = docs.join(wanted.hint("shuffle_hash"), "key", "left_semi").select("digest", shingles("text").alias("grams")).dropDuplicates(["digest"])
     sets = materialize(sets, "shingles")
-    pairs = links_.join(sets.select(F.col("digest").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("grams").alias("b")), "v")
-    return texts, pairs.where(close("a", "b")).select("u", "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("digest").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("grams").alias("b")), "v")
+        return both.where(close("a", "b")).select("u", "v")
+
+    found = materialize(verified(links_), "alike")
+    # A link whose middle failed leaves its ends apart: they are held against each other.
+    reach = components(links_).select(F.col("node").alias("digest"), F.col("root").alias("reach"))
+    parted = materialize(reach.join(components(found), F.col("digest") == F.col("node"), "left").select("digest", "reach", F.coalesce("root", "digest").alias("root")), "parted")
+    several = parted.groupBy("reach").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("reach")
+    parted = materialize(parted.join(several, "reach", "left_semi"), "parted")
+    return texts, found.unionByName(_lost(sets, parted, similarity, verified))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> DataFrame:

@@ -317,6 +317,65 @@ def test_keep_one_of_near_copies(spark):
         assert len(near) >= 70 and sum(i not in left for i in near) >= 0.9 * len(near)
 
 
+def _turned(text, r):
+    w = text.split()
+    at = r.randrange(len(w) // 3, len(w) // 2)
+    w[at], w[at + 1] = w[at + 1], w[at]
+    return " ".join(w)
+
+
+def test_links_through_texts_that_are_no_copies_stay(spark):
+    """A text, a copy with two words swapped, and two shuffles, whose word fingerprints are all equal: only the copy goes."""
+    r, rows = random.Random(21), []
+    for k in range(60):
+        text = words(60, 2000 + k)
+        shuffled = [" ".join(r.sample(text.split(), 60)) for _ in range(2)]
+        for j, t in enumerate(r.sample([text, _turned(text, r), *shuffled], 4)):
+            rows.append((4 * k + j, t))
+    for shuffle in (1, 2):
+        random.Random(shuffle).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        kept = [x["doc_id"] for x in simhash.keep_one(df).collect()]
+        assert sorted(kept) == _best_of_chains(rows)
+
+
+def _best_of_chains(rows):
+    """The least id of each chain of texts alike by 0.8, of any two texts."""
+    sets, root = [(i, _shingles(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(i) for i, _ in rows})
+
+
+def test_chains_of_edited_and_reordered_texts_equal_brute_force(spark):
+    """Whatever is alike by 0.8 within what candidates connect is one group, in any order of the rows."""
+    r, rows = random.Random(22), []
+    for k in range(20):
+        text = words(90, 3000 + k)
+        for j in range(16):
+            w = text.split()
+            if j % 3 == 2:
+                cut = r.randrange(20, 70)
+                w = w[cut:] + w[:cut] if j % 2 else r.sample(w, len(w))
+            for at in r.sample(range(len(w) - 1), r.choice((0, 1, 1, 2))):
+                w[at], w[at + 1] = w[at + 1], w[at]
+            rows.append((16 * k + j, " ".join(w)))
+    want, found = _best_of_chains(rows), []
+    for shuffle in (3, 4):
+        random.Random(shuffle).shuffle(rows)
+        found.append(sorted(x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), pairwise=9).collect()))
+    assert found[0] == found[1] == want
+
+
 @pytest.mark.parametrize("length", [60, 300])
 def test_word_fingerprints_find_near_copies(length):
     """Of pairs edited to a likeness of 0.8 to 0.85, at least 0.93 have a fingerprint that differs in four bits or fewer."""
@@ -741,3 +800,14 @@ def test_pipeline(spark, tmp_path, rows):
     assert out.where("not round_trip and text is not null").count() == 0
     ids = {r[0] for r in out.select("doc_id").distinct().collect()}
     assert 30 not in ids and 31 not in ids and len(corpus_pipeline.STAGES) == 5
+
+
+def test_ids_are_decoded_as_the_tokenizer_does():
+    """Whole texts' ids, ids in any order and bytes that are no text, against the rebuilt tokenizer's decoder."""
+    codec = pieces.Codec(MODEL)
+    texts = ["", " ", "a", " a b  c ", "日本語 𝄞é\u0301", "▁x", "line\nand\ttab", words(500, 31), "<0x41> <s> </s>", "\0\x01"]
+    r = random.Random(6)
+    ids = [np.array(x, np.int32) for x in codec._ids(texts)] + [np.array([r.randrange(len(codec.stands)) for _ in range(30)], np.int32) for _ in range(300)] + [np.array([r.randrange(3, 259) for _ in range(6)], np.int32) for _ in range(300)]
+    assert codec.decode(ids) == codec._texts([x.tolist() for x in ids])
+    coded = codec.encode(texts)
+    assert coded[2] == [a == b for a, b in zip(codec._texts([x.tolist() for x in coded[0]]), texts)]
