@@ -2,15 +2,17 @@
 
 The model's protobuf is parsed and rebuilt: its normaliser, the space mark,
 the scores (a unigram lattice, or merges ranked by score for a BPE model) and
-byte fallback.  Ids and decoded texts are the rebuilt tokenizer's own.  Batches
-of new pre-tokens are encoded on some threads, whose ids a worker keeps; each
-new pre-token, and each text that can't be cut, is also given to SentencePiece,
-and a text of which any part differs is marked.
+byte fallback.  Ids are the rebuilt tokenizer's own.  Batches of new pre-tokens
+are encoded on some threads, whose ids a worker keeps; each new pre-token, and
+each text that can't be cut, is also given to SentencePiece, and a text of which
+any part differs is marked.  Every text's own ids are then decoded as a whole,
+piece by piece, and the result is held against the text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,6 +27,7 @@ from corbel.llm.common import own, text_of
 from corbel.llm.tokens import pretokens, splits_at_spaces
 
 _SPACE = "▁"
+_BYTE = re.compile("<0x[0-9A-Fa-f]{2}>")
 #: Pre-tokens whose ids either generation of a worker's cache keeps.
 CACHE_SIZE = 100_000
 #: Threads of either library in one worker.  Workers are as many as the executor's tasks, so a few are enough.
@@ -82,9 +85,7 @@ class Codec:
 
     Ids of pre-tokens are kept as packed int32 in two generations: when the
     young one is full it becomes the old one, whose entries move back on use.
-    So do the marks of pre-tokens for which SentencePiece gives other ids, and
-    of those that the decoder doesn't give back.  No run of byte pieces crosses
-    the start of a pre-token, so a text decodes to what its pre-tokens do.
+    So do the marks of pre-tokens for which SentencePiece gives other ids.
     """
 
     def __init__(self, path: str, most: int = CACHE_SIZE, threads: int = THREADS):
@@ -99,12 +100,14 @@ class Codec:
         self.old: dict[str, bytes] = {}
         self.off: set[str] = set()
         self.old_off: set[str] = set()
-        self.lost: set[str] = set()
-        self.old_lost: set[str] = set()
         # The mark that ends a text which ends in a space: what two spaces have beyond one.
         one, two = (self._ids([x])[0] for x in ("a", "a "))
-        self.lone, self.lone_off, self.lone_lost = np.array(two[len(one) :], np.int32).tobytes(), self.sp.encode("a ") != two, self._texts([two]) != ["a "]
-        self.opens = np.array([(self.tok.id_to_token(k) or "").startswith(_SPACE) for k in range(self.tok.get_vocab_size())])
+        self.lone, self.lone_off = np.array(two[len(one) :], np.int32).tobytes(), self.sp.encode("a ") != two
+        pieces = [self.tok.id_to_token(k) or "" for k in range(self.tok.get_vocab_size())]
+        self.opens = np.array([p.startswith(_SPACE) for p in pieces])
+        # What each piece stands for: a byte, or its text with blanks for the marks.
+        self.stands = [bytes([int(p[3:5], 16)]) if _BYTE.fullmatch(p) else p.replace(_SPACE, " ").encode() for p in pieces]
+        self.prefixed = self._texts([one]) == ["a"] and pieces[one[0]].startswith(_SPACE)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -115,11 +118,10 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         """Put the ids of all of ``words`` into the young generation."""
         if len(self.young) > self.most:
-            self.old, self.young, self.old_off, self.off, self.old_lost, self.lost = self.young, {}, self.off, set(), self.lost, set()
+            self.old, self.young, self.old_off, self.off = self.young, {}, self.off, set()
         for k in words & self.old.keys():
             self.young[k] = self.old[k]
         self.off |= words & self.old_off
-        self.lost |= words & self.old_lost
         new = words - self.young.keys() - {""}
         # Words without further marks are coded many in a line and told apart by their marks.
         plain = [k for k in new if " " not in k and _SPACE not in k]
@@ -127,24 +129,21 @@ class Codec:
         lines = [plain[k : k + 128] for k in range(0, len(plain), 128)]
         joined = [" ".join(x) for x in lines]
         coded = self._ids(joined)
-        for line, text, mine, theirs, back in zip(lines, joined, coded, self.sp.encode(joined, num_threads=self.threads), self._texts(coded)):
+        for line, mine, theirs in zip(lines, coded, self.sp.encode(joined, num_threads=self.threads)):
             flat = np.array(mine, np.int32)
             at = np.flatnonzero(self.opens[flat])
-            if len(at) != len(line) or mine != theirs or back != text:
+            if len(at) != len(line) or mine != theirs:
                 rest += line
                 continue
             raw, ends = flat.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(flat)]
             self.young.update(zip(line, (raw[i:j] for i, j in zip((4 * at).tolist(), ends))))
         coded = self._ids(rest)
-        for k, mine, theirs, back in zip(rest, coded, self.sp.encode(rest, num_threads=self.threads), self._texts(coded)):
+        for k, mine, theirs in zip(rest, coded, self.sp.encode(rest, num_threads=self.threads)):
             if mine != theirs:
                 self.off.add(k)
-            if back != k.replace(_SPACE, " "):
-                self.lost.add(k)
             self.young[k] = np.array(mine, np.int32).tobytes()
         self.young[""] = self.lone
         self.off |= {""} if self.lone_off else set()
-        self.lost |= {""} if self.lone_lost else set()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """The rebuilt tokenizer's ids of each text, whether SentencePiece gives the same, and whether they decode to the text."""
@@ -152,23 +151,31 @@ class Codec:
         words = set().union(*(x for x in cut if x))
         if missing := words - self.young.keys():
             self._learn(words if len(self.young) > self.most else missing)
-        out, same, back = [], [], []
+        out, same = [], []
         for text, some in zip(texts, cut):
             if some is None:
                 mine = self._ids([text])[0]
                 out.append(np.array(mine, np.int32))
                 same.append(mine == self.sp.encode(text))
-                back.append(self._texts([mine]) == [text])
             else:
                 out.append(np.frombuffer(b"".join(map(self.young.__getitem__, some)), np.int32))
                 same.append(not self.off or self.off.isdisjoint(some))
-                # A mark that the text itself holds comes back as a space.
-                back.append(_SPACE not in text and (not self.lost or self.lost.isdisjoint(some)))
-        return out, same, back
+        return out, same, [x == y for x, y in zip(self.decode(out), texts)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts again, by the rebuilt tokenizer's decoder."""
-        return self._texts([x.tolist() for x in ids])
+        """The texts of whole lists of ids, as the rebuilt tokenizer's decoder gives them.
+
+        What the pieces stand for is joined; where bytes among it are no text,
+        the decoder itself says what they become.
+        """
+        out: list[str] = []
+        for some in ids:
+            try:
+                whole = b"".join(map(self.stands.__getitem__, some.tolist())).decode()
+                out.append(whole[1:] if self.prefixed and whole[:1] == " " else whole)
+            except UnicodeDecodeError:
+                out += self._texts([some.tolist()])
+        return out
 
 
 @cache
