@@ -16,7 +16,7 @@ candidates and keeps those whose shingles of five words are alike by 0.8.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -34,6 +34,8 @@ BITS = 64
 PAIRWISE = 4096
 #: Independent fingerprints of a text's words, an even number; a near copy is missed if all of its differ in too many bits.
 PRINTS = 4
+#: Texts and shingles of a part of a candidate chain, on the average at most; a task holds two parts.
+MEMBERS, GRAMS = 2000, 1 << 20
 
 _SMALL = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -255,28 +257,47 @@ def _candidates(texts: DataFrame, distance: int, pairwise: int) -> DataFrame:
     return materialize(every.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct(), "candidates")
 
 
-def _lost(sets: DataFrame, parted: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _missed(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links (u, v) that join the roots of some texts (digest, root, grams), all texts held against each other."""
+    rows = rows.sort_values("digest", ignore_index=True)
+    labels, n = pd.factorize(rows["root"])[0], len(rows)
+    sizes = np.array([len(x) for x in rows["grams"]], np.int64)
+    ends = sizes.cumsum()
+    # Of each shingle the texts that have it, one after the other.
+    grams = np.unique(np.concatenate([np.asarray(x, np.int64) for x in rows["grams"]]), return_inverse=True)[1] if ends[-1] else np.zeros(0, np.int64)
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(grams, kind="stable")]
+    starts = np.concatenate([[0], np.bincount(grams).cumsum()]).astype(np.int64)
+    found = []
+    for k in range(n - 1):
+        mine = grams[ends[k] - sizes[k] : ends[k]]
+        if not len(mine):
+            continue
+        shared = np.bincount(np.concatenate([owners[i:j] for i, j in zip(starts[mine].tolist(), starts[mine + 1].tolist())]), minlength=n)
+        near = np.flatnonzero((shared >= similarity * (sizes + sizes[k] - shared)) & (labels != labels[k]))
+        for j in near[near > k].tolist():
+            if labels[j] != labels[k]:
+                found.append((k, j))
+                labels[labels == labels[j]] = labels[k]
+    names = rows["digest"].to_numpy(object)
+    return pd.DataFrame({"u": [names[i] for i, _ in found], "v": [names[j] for _, j in found]}, dtype=object)
+
+
+def _lost(sets: DataFrame, parted: DataFrame, similarity: float) -> DataFrame:
     """(u, v): verified links between texts that candidates connect and verified candidates don't.
 
     ``parted`` has (digest, reach, root): what candidates and verified ones
-    reach from a text, only where the first has several of the second.  Two
-    texts alike by ``similarity`` share one of their rarest shingles, of each
-    as many as it can lack and one more; so texts of one reach and different
-    roots meet by these alone, and what meets is verified.
+    reach from a text, only where the first has several of the second.  All
+    texts of one reach are held against each other within a task, which emits
+    links that span what it finds.  A reach of many texts or shingles is dealt
+    into parts of bounded size on the average, and each two parts are a task.
     """
-    # Chains whose names hash alike by chance would only be searched together.
-    own = parted.join(sets, "digest").select(F.unhex("digest").alias("digest"), F.xxhash64("reach").alias("reach"), F.unhex("root").alias("root"), F.explode("grams").alias("gram"), F.size("grams").alias("size"))
-    own = materialize(own, "grams")
-    counts = own.groupBy("reach", "gram").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other"))
-    counts = materialize(counts, "counts")
-    room = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
-    ranked = own.join(counts, ["reach", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("n", "gram")))
-    # Shingles of one root alone bring no new texts together.
-    rare = materialize(ranked.where((F.col("place") <= room) & (F.col("one") != F.col("other"))).select("reach", "gram", "digest", "root", "size"), "prefixes")
-    other = rare.select("reach", "gram", F.col("digest").alias("v"), F.col("root").alias("v_root"), F.col("size").alias("v_size"))
-    may = (F.col("root") < F.col("v_root")) & (F.least("size", "v_size") >= F.greatest("size", "v_size") * similarity - 1e-9)
-    met = rare.join(other, ["reach", "gram"]).where(may).select(F.lower(F.hex("digest")).alias("u"), F.lower(F.hex("v")).alias("v")).distinct()
-    return verified(met)
+    held = parted.join(sets, "digest").select("digest", "reach", "root", "grams")
+    load = held.groupBy("reach").agg(F.count("*").alias("n"), F.sum(F.size("grams")).alias("total"))
+    parts = load.select(F.col("reach").alias("of"), F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("total") / GRAMS), F.lit(1)).cast("int").alias("parts"))
+    own = held.join(parts, held["reach"] == parts["of"]).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+    dealt = own.select("digest", "reach", "root", "grams", F.explode(pairs).alias("p")).select("digest", "reach", "root", "grams", "p.i", "p.j")
+    return dealt.groupBy("reach", "i", "j").applyInPandas(lambda rows: _missed(rows, similarity), "u string, v string")
 
 
 def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
@@ -308,17 +329,15 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: in
     sets = docs.join(wanted.hint("shuffle_hash"), "key", "left_semi").select("digest", shingles("text").alias("grams")).dropDuplicates(["digest"])
     sets = materialize(sets, "shingles")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("digest").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("grams").alias("b")), "v")
-        return both.where(close("a", "b")).select("u", "v")
-
-    found = materialize(verified(links_), "alike")
+    pairs = links_.join(sets.select(F.col("digest").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("grams").alias("b")), "v")
+    found = materialize(pairs.where(close("a", "b")).select("u", "v"), "alike")
     # A link whose middle failed leaves its ends apart: they are held against each other.
     reach = components(links_).select(F.col("node").alias("digest"), F.col("root").alias("reach"))
     parted = materialize(reach.join(components(found), F.col("digest") == F.col("node"), "left").select("digest", "reach", F.coalesce("root", "digest").alias("root")), "parted")
-    several = parted.groupBy("reach").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("reach")
+    # Of two texts alone the one link was a candidate.
+    several = parted.groupBy("reach").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("n")).where("n > 2 and one <> other").select("reach")
     parted = materialize(parted.join(several, "reach", "left_semi"), "parted")
-    return texts, found.unionByName(_lost(sets, parted, similarity, verified))
+    return texts, found.unionByName(_lost(sets, parted, similarity))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> DataFrame:

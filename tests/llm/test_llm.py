@@ -356,8 +356,10 @@ def _best_of_chains(rows):
     return sorted({find(i) for i, _ in rows})
 
 
-def test_chains_of_edited_and_reordered_texts_equal_brute_force(spark):
-    """Whatever is alike by 0.8 within what candidates connect is one group, in any order of the rows."""
+@pytest.mark.parametrize("members", [simhash.MEMBERS, 5])
+def test_chains_of_edited_and_reordered_texts_equal_brute_force(spark, monkeypatch, members):
+    """Whatever is alike by 0.8 within what candidates connect is one group, in any order of the rows and parts of any size."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     r, rows = random.Random(22), []
     for k in range(20):
         text = words(90, 3000 + k)
