@@ -297,7 +297,9 @@ def _lost(sets: DataFrame, parted: DataFrame, similarity: float) -> DataFrame:
     own = held.join(parts, held["reach"] == parts["of"]).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
     dealt = own.select("digest", "reach", "root", "grams", F.explode(pairs).alias("p")).select("digest", "reach", "root", "grams", "p.i", "p.j")
-    return dealt.groupBy("reach", "i", "j").applyInPandas(lambda rows: _missed(rows, similarity), "u string, v string")
+    # Dealt anew, as what the join by reach leaves together would be one task.
+    count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(count, "reach", "i", "j").groupBy("reach", "i", "j").applyInPandas(lambda rows: _missed(rows, similarity), "u string, v string")
 
 
 def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, pairwise: int = PAIRWISE) -> tuple[DataFrame, DataFrame]:
