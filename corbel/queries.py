@@ -89,11 +89,11 @@ def dict_match_spans(s, d):
 
 
 @_query(f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)
 SELECT doc_id, term, CAST(count(*) AS BIGINT) AS hits FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN ({', '.join(f"'{t}'" for t in TERMS)}) GROUP BY ALL
 """)
 def dict_match_words(s, d):
-    docs = _t(s, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    docs = _t(s, d, "documents")
     lex = s.createDataFrame([(t,) for t in TERMS], "term string")
     return dictionary.spans(docs, lex, "doc_id", words=True).groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
 
