@@ -32,6 +32,8 @@ from corbel.operators.vectors import every_block, query_blocks
 LISTS, LIST, SAMPLE = 1024, 1000, 64
 #: Rows by ordinal that are asked of the files one by one; more are joined.
 LOOKUPS = 200
+#: Scores that a search holds at once in a task.
+SCORES = 1 << 18
 _FILE = 1 << 33
 
 
@@ -245,12 +247,18 @@ class VectorIndex:
             for b in batches:
                 new = [best]
                 for k, part in b.groupby("list", sort=False):
-                    of, v = wanted[int(k)], _matrix(part["vec"])
-                    near = q[of] @ v.T if metric == "ip" else 2 * q[of] @ v.T - (q[of] ** 2).sum(1)[:, None] - (v**2).sum(1)
-                    i, j = np.nonzero(near >= least[of][:, None] - 1e-9 * (1 + np.abs(near)))
-                    exact = (q[of[i]] * v[j]).sum(1) if metric == "ip" else -((q[of[i]] - v[j]) ** 2).sum(1)
-                    hit = part.iloc[j]
-                    new.append(pd.DataFrame({"k": of[i], "row_id": hit["row_id"].to_numpy(), "shard": hit["shard"].to_numpy(), "at": hit["at"].to_numpy(), "s": exact}))
+                    of = wanted[int(k)]
+                    # A bounded number of scores at a time, of which only each query's best go on.
+                    step = max(1, SCORES // len(of))
+                    for at in range(0, len(part), step):
+                        some = part.iloc[at : at + step]
+                        v = _matrix(some["vec"])
+                        near = q[of] @ v.T if metric == "ip" else 2 * q[of] @ v.T - (q[of] ** 2).sum(1)[:, None] - (v**2).sum(1)
+                        floor = least[of] if len(v) <= top else np.maximum(least[of], np.partition(near, -top, axis=1)[:, -top])
+                        i, j = np.nonzero(near >= (floor - 1e-9 * (1 + np.abs(near).max()))[:, None])
+                        exact = (q[of[i]] * v[j]).sum(1) if metric == "ip" else -((q[of[i]] - v[j]) ** 2).sum(1)
+                        hit = some.iloc[j]
+                        new.append(pd.DataFrame({"k": of[i], "row_id": hit["row_id"].to_numpy(), "shard": hit["shard"].to_numpy(), "at": hit["at"].to_numpy(), "s": exact}))
                 best = pd.concat([x for x in new if len(x)] or [best]).sort_values(["k", "s", "row_id", "shard", "at"], ascending=[True, False, True, True, True]).groupby("k").head(top)
                 full = best.groupby("k")["s"].agg(["min", "size"])
                 full = full[full["size"] >= top]
