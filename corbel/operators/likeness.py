@@ -22,6 +22,8 @@ from corbel.operators.cut import materialize
 _BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Room for rounding in bounds on lengths.
 _LITTLE = 1e-6
+#: Grams of the prefixes that a pair shares at least, if it must share as many at all.
+SHARED = 4
 
 
 def _named(texts: DataFrame) -> DataFrame:
@@ -59,15 +61,20 @@ def _kinds(names: DataFrame, cutoff: float) -> DataFrame:
 
 
 def _gram_rows(names: DataFrame, q: int, cutoff: float) -> DataFrame:
-    """(text, size, gram, room): every gram of every text, repeats numbered; room is how many of them are a prefix."""
+    """(text, size, gram, must, room): every gram of every text, repeats numbered; room is how many of them are a prefix.
+
+    ``must`` grams are shared at least with what is alike, so up to SHARED of
+    them stand in the prefixes of both.
+    """
     every = F.flatten(F.transform("words", lambda w: _grams(w, q)))
     if q == 1:
         every = F.concat(every, F.array_repeat(F.lit(" "), F.size("words") - 1))
-    room = F.size("grams") - F.greatest(F.lit(1), F.ceil(_needed(q, cutoff) - _LITTLE)) + 1
-    rows = names.select("text", "size", "words", every.alias("grams")).withColumn("room", room.cast("int"))
+    must = F.greatest(F.lit(1), F.ceil(_needed(q, cutoff) - _LITTLE)).cast("int")
+    rows = names.select("text", "size", "words", every.alias("grams")).withColumn("must", must)
+    rows = rows.withColumn("room", F.least(F.size("grams"), F.size("grams") - F.col("must") + SHARED))
     # Sorted grams are numbered by how many equal ones stand before them.
-    rows = rows.select("text", "size", "room", F.array_sort("grams").alias("grams"))
-    return rows.select("text", "size", "room", F.posexplode("grams").alias("at", "g"), "grams").select("text", "size", "room", F.concat("g", (F.col("at") - F.array_position("grams", F.col("g"))).cast("string")).alias("gram"))
+    rows = rows.select("text", "size", "room", "must", F.array_sort("grams").alias("grams"))
+    return rows.select("text", "size", "room", "must", F.posexplode("grams").alias("at", "g"), "grams").select("text", "size", "room", "must", F.concat("g", (F.col("at") - F.array_position("grams", F.col("g"))).cast("string")).alias("gram"))
 
 
 def _rarest(rows: DataFrame, item: str, counts: DataFrame, last: Column) -> DataFrame:
@@ -109,9 +116,10 @@ def _by_grams(asked: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     for q in sorted(r["q"] for r in asked.select("q").distinct().collect()):
         mine, yours = _gram_rows(asked.where(F.col("q") == q), q, cutoff), materialize(_gram_rows(names, q, cutoff), "grams")
         counts = materialize(yours.groupBy("gram").agg(F.count("*").alias("n")), "counts")
-        left = _rarest(mine, "gram", counts, F.col("room"))
+        left = _rarest(mine, "gram", counts, F.col("room")).join(mine.select("text", "must").distinct(), "text")
         right = _rarest(yours, "gram", counts, F.col("room")).select(F.col("text").alias("key"), F.col("size").alias("other_size"), "gram")
-        pairs = left.join(right, "gram").where(_close(cutoff)).select(F.col("text").alias("q"), "key")
+        met = left.join(right, (left["gram"] == right["gram"]) & _close(cutoff)).groupBy(F.col("text").alias("q"), "key", "must").agg(F.count("*").alias("n"))
+        pairs = met.where(F.col("n") >= F.least("must", F.lit(SHARED))).select("q", "key")
         found = pairs if found is None else found.unionByName(pairs)
     return found
 
