@@ -9,6 +9,7 @@ from corbel import constants as K
 from corbel.functions.keys import ndc11
 from corbel.functions.ranking import edge_score, link_score
 from corbel.functions.text import literal_map
+from corbel.operators.cut import materialize
 from corbel.operators.ordered import fallback, first_rows, ordered_list, sorted_set, top_rows
 
 
@@ -70,23 +71,49 @@ def crosswalk(mentions: DataFrame, resolved: DataFrame, min_conf: float = 0.0) -
     return first_rows(rows, ["chunk_id", "rxcui", "snomed_id", "link_type"])
 
 
+EDGE = ["rxcui", "snomed_id", "link_type"]
+
+
+def label_support(rows: DataFrame) -> DataFrame:
+    """What each label says for each edge: its sections, mentions and greatest confidence; ``merged_support`` adds such rows up."""
+    return rows.groupBy(*EDGE, "spl_set_id").agg(sorted_set(F.col("section")).alias("sections"), F.count("*").alias("mentions"), F.max("confidence").alias("confidence"))
+
+
+def merged_support(parts: DataFrame) -> DataFrame:
+    """The support of several batches of mentions as if they had come in one."""
+    return parts.groupBy(*EDGE, "spl_set_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"))
+
+
+def first_examples(rows: DataFrame, examples: int = 5) -> DataFrame:
+    """The first mentions of each edge in their order, with ``ord``."""
+    shown = F.struct("spl_set_id", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"))
+    return top_rows(rows, EDGE, [F.asc("ord")], examples).select(*EDGE, "ord", shown.alias("example"))
+
+
+def composed(support: DataFrame, shown: DataFrame, run_ts: str, labels: int = 50) -> DataFrame:
+    """One row per edge from its labels' support and its first examples.
+
+    An edge may have any number of labels: only its first ones are brought
+    together.
+    """
+    total = support.groupBy(*EDGE).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.count("spl_set_id").alias("spl_count"), F.sum("mentions").alias("chunk_count"), F.round(F.max("confidence"), 3).alias("max_confidence")
+    )
+    listed = top_rows(support.where("spl_set_id is not null"), EDGE, [F.asc("spl_set_id")], labels).groupBy(*EDGE).agg(sorted_set(F.col("spl_set_id")).alias("spl_set_ids"))
+    first = shown.groupBy(*EDGE).agg(ordered_list(F.col("example"), F.col("ord"), distinct=False).alias("examples"))
+    keyed = lambda df: df.select(*[F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in EDGE], *[c for c in df.columns if c not in EDGE])
+    found = keyed(total).join(keyed(first), EDGE).join(keyed(listed), EDGE, "left")
+    plain = [F.nullif(F.col(c), F.lit("\0")).alias(c) for c in EDGE]
+    return found.select(*plain, "sections", F.coalesce("spl_set_ids", F.array().cast("array<string>")).alias("spl_set_ids"), "spl_count", "chunk_count", "max_confidence", "examples", F.lit(run_ts).alias("last_updated"))
+
+
 def rollup(rows: DataFrame, run_ts: str, labels: int = 50, examples: int = 5) -> DataFrame:
     """One row per drug, concept and link type, with its sections, labels, support and first examples.
 
-    An edge may have any number of mentions: only its first labels and examples
-    are listed, and only they are brought together.
+    The mentions are written once, so that what made them is planned once.
     """
-    edge = ["rxcui", "snomed_id", "link_type"]
-    total = rows.groupBy(*edge).agg(sorted_set(F.col("section")).alias("sections"), F.count("*").alias("chunk_count"), F.round(F.max("confidence"), 3).alias("max_confidence"))
-    per = rows.groupBy(*edge, "spl_set_id").agg(F.lit(1).alias("one"))
-    counts = per.groupBy(*edge).agg(F.count("spl_set_id").alias("spl_count"))
-    listed = top_rows(per.where("spl_set_id is not null"), edge, [F.asc("spl_set_id")], labels).groupBy(*edge).agg(sorted_set(F.col("spl_set_id")).alias("spl_set_ids"))
-    example = F.struct("spl_set_id", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"))
-    first = top_rows(rows, edge, [F.asc("ord")], examples).groupBy(*edge).agg(ordered_list(example, F.col("ord"), distinct=False).alias("examples"))
-    keyed = lambda df: df.select(*[F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in edge], *[c for c in df.columns if c not in edge])
-    found = keyed(total).join(keyed(counts), edge).join(keyed(first), edge).join(keyed(listed), edge, "left")
-    plain = [F.nullif(F.col(c), F.lit("\0")).alias(c) for c in edge]
-    return found.select(*plain, "sections", F.coalesce("spl_set_ids", F.array().cast("array<string>")).alias("spl_set_ids"), "spl_count", "chunk_count", "max_confidence", "examples", F.lit(run_ts).alias("last_updated"))
+    rows = materialize(rows.select(*EDGE, "spl_set_id", "section", "confidence", "match_text", "qualifiers", "ord"), "crosswalk")
+    return composed(label_support(rows), first_examples(rows, examples), run_ts, labels)
 
 
 def all_negated(examples: Column) -> Column:
@@ -123,6 +150,7 @@ def strongest(graph: DataFrame, by: str, link_types: list[str] | None = None, mi
 def generic_statistics(rolled: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Per concept: how many drugs and edges it has, of which types, and whether its name is generic."""
     told = F.filter("examples", lambda e: e["negated"].isNotNull())
+    rolled = materialize(rolled.select(*EDGE, "max_confidence", "spl_count", "examples"), "edges")
     per = rolled.where("rxcui <> '' and snomed_id <> ''").groupBy("snomed_id").agg(
         F.count_distinct("rxcui").alias("degree_rx"), F.count("*").alias("edge_count"), F.avg(F.coalesce("max_confidence", F.lit(0.0))).alias("mean_max_conf"), F.avg(F.coalesce("spl_count", F.lit(0))).alias("mean_spl_count"),
         F.sum(F.size(told)).alias("examples_with_negation_info"), ~F.coalesce(F.max(F.exists(told, lambda e: ~e["negated"])), F.lit(False)).alias("all_examples_negated"),

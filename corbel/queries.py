@@ -18,13 +18,14 @@ from corbel import constants as K
 from corbel.functions import keys as keys_
 from corbel.functions import ranking
 from corbel.functions import text as text_
-from corbel.operators import chunker, concepts, dictionary, drugs, links, names, resolve, vectors
+from corbel.operators import chunker, concepts, dictionary, drugs, links, names, resolve, semantic, vectors
 from corbel.operators.cut import materialize, shared_dir
 from corbel.operators.ordered import first_rows, newest_rows, ordered_list, sorted_set, top_rows
 from corbel.plans import answer, evidence, questions
 from corbel.plans.engine import Engine
 from corbel.sources import labels
 from corbel.sources.vector_index import VectorIndex
+from corbel.streaming.crosswalk import CrosswalkStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,6 +186,14 @@ def nearest_drug(s, d):
     return resolve.nearest_drugs(hits, known).select("query_id", "rxcui", "spl_set_id", "confidence")
 
 
+@_query()
+def semantic_vectors(s, d):
+    """Documents by the encoder that is fitted on all of them."""
+    docs = _t(s, d, "documents").select("doc_id", "text")
+    coded = vectors.encode(docs, "text", semantic.fit_semantic(docs), column="vec")
+    return coded.select("doc_id", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
+
+
 # --- first, last, newest ----------------------------------------------------
 
 @_query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY strftime(ts, '%Y%m%d%H%M%S') DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
@@ -542,7 +551,7 @@ def drug_lexicon(s, d):
 
 # --- crosswalk and graph ----------------------------------------------------
 
-def _crosswalk(s, d):
+def _mentions(s, d):
     line = _t(s, d, "lineitem")
     mentions = line.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("chunk_id"), F.col("l_orderkey").cast("string").alias("spl_set_id"), F.col("l_suppkey").cast("string").alias("snomed_id"), F.col("l_returnflag").alias("link_type"), F.col("l_linestatus").alias("section"),
@@ -550,7 +559,11 @@ def _crosswalk(s, d):
     )
     one = lambda c: F.struct(c.cast("string").alias("rxcui"), F.lit("SCD").alias("tty"), F.lit(True).alias("has_ndc"), F.lit("spl_set_id").alias("via"), F.lit(165).alias("score"))
     resolved = _t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("spl_set_id"), one(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("primary"), F.array(one(F.substring("o_orderpriority", 1, 1))).alias("secondary"))
-    return links.crosswalk(mentions, resolved, 0.92)
+    return mentions, resolved
+
+
+def _crosswalk(s, d):
+    return links.crosswalk(*_mentions(s, d), 0.92)
 
 
 _CROSS_CTE = """m AS (SELECT l_orderkey || '-' || l_partkey AS chunk_id, l_orderkey, l_linenumber, CAST(l_orderkey AS VARCHAR) AS spl_set_id, CAST(l_suppkey AS VARCHAR) AS snomed_id, l_returnflag AS link_type, l_linestatus AS section, round(1 - l_discount, 2) AS confidence, l_quantity > 25 AS negated FROM lineitem WHERE round(1 - l_discount, 2) >= 0.92),
@@ -565,12 +578,31 @@ def crosswalk_join(s, d):
     return _crosswalk(s, d).select("chunk_id", "rxcui", "snomed_id", "link_type", "confidence", "match_text")
 
 
-@_query(f"WITH {_CROSS_CTE} SELECT rxcui, snomed_id, link_type, sections, CAST(spl_count AS BIGINT) AS spl_count, CAST(chunk_count AS BIGINT) AS chunk_count, max_confidence, spl_set_ids, examples FROM ru")
-def crosswalk_rollup(s, d):
-    found = links.rollup(_crosswalk(s, d), TS)
+_ROLLUP_SQL = f"WITH {_CROSS_CTE} SELECT rxcui, snomed_id, link_type, sections, CAST(spl_count AS BIGINT) AS spl_count, CAST(chunk_count AS BIGINT) AS chunk_count, max_confidence, spl_set_ids, examples FROM ru"
+
+
+def _shown(found):
     return found.select("rxcui", "snomed_id", "link_type", F.array_join("sections", ",").alias("sections"), "spl_count", "chunk_count", "max_confidence", F.array_join("spl_set_ids", ",").alias("spl_set_ids"), F.array_join(F.transform("examples", lambda e: e["spl_set_id"]), ",").alias("examples"))
 
 
+@_query(_ROLLUP_SQL)
+def crosswalk_rollup(s, d):
+    return _shown(links.rollup(_crosswalk(s, d), TS))
+
+
+@_query(_ROLLUP_SQL)
+def crosswalk_batches(s, d):
+    """The roll-up of a store that took the mentions in three batches, the first two compacted, the second one twice."""
+    mentions, resolved = _mentions(s, d)
+    store = CrosswalkStore(s, f"{shared_dir(s)}/corbel/{s.sparkContext.applicationId}/crosswalk-{uuid.uuid4().hex}")
+    part = lambda k: mentions.where(F.pmod(F.crc32("chunk_id"), F.lit(3)) == k)
+    store.append(part(0), resolved, min_conf=0.92)
+    store.append(part(1), resolved, min_conf=0.92)
+    store.compact()
+    store.append(part(1).unionByName(part(2)), resolved, min_conf=0.92)
+    return _shown(store.edges(TS))
+
+
 _EDGE_SQL = f"""WITH {_CROSS_CTE}, ex AS (SELECT rxcui, snomed_id, link_type, list(negated ORDER BY l_orderkey, l_linenumber, pos)[1:5] AS n FROM c GROUP BY ALL),
 e AS (SELECT ru.*, 0.6 * max_confidence + 0.4 * ln(1 + spl_count) AS score FROM ru JOIN ex USING (rxcui, snomed_id, link_type) WHERE NOT list_aggregate(n, 'bool_and') AND max_confidence >= 0.8 AND spl_count >= {{least}} AND snomed_id NOT IN ('1', '2')),
 r AS (SELECT *, row_number() OVER (PARTITION BY {{by}} ORDER BY score DESC, {{other}}, link_type) AS k FROM e)
