@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,10 +13,15 @@ from corbel import constants as K
 from corbel.functions.keys import short_sha1
 from corbel.functions.ranking import surface_confidence
 from corbel.functions.text import any_of, literal_map, semantic_tag, strip_tag
+from corbel.operators.cut import materialize
 from corbel.operators.ordered import first_rows
 
 #: Lexicon terms that are shipped to every task at most; a larger lexicon is joined instead.
 BROADCAST_TERMS = 200_000
+#: Candidate terms of one text that ``whole_words`` looks for at a time.
+TERMS_AT_ONCE = 20_000
+#: A word: letters, digits and underscores of any script.
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def lexicon(docs: DataFrame, least: int = 3) -> DataFrame:
@@ -34,6 +39,21 @@ def negated(around: Column | str) -> Column:
     return any_of([x.contains(w) for w in K.NEGATIONS])
 
 
+def _edge(low: str, p: int) -> bool:
+    """Whether no word goes on across a place of a text."""
+    return not (0 < p < len(low) and (low[p - 1].isalnum() or low[p - 1] == "_") and (low[p].isalnum() or low[p] == "_"))
+
+
+def _apart(found: Iterable, place: Callable) -> list:
+    """What a reader from left to right keeps of spans: the longest at each place, none that overlaps one kept before."""
+    kept, last = [], 0
+    for start, less, f in sorted(((s, -e, f) for f in found for s, e in [place(f)]), key=lambda x: x[:2]):
+        if start >= last:
+            kept.append(f)
+            last = -less
+    return kept
+
+
 def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str = "text", words: bool = False, window: int = 80) -> DataFrame:
     """id, term, start, end, match_text and around of all occurrences of a lexicon's terms in lower-cased texts, overlapping ones too.
 
@@ -43,13 +63,13 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
     The lexicon goes to every task as an automaton, BROADCAST_TERMS terms at a
     time; a larger one takes a pass over the texts for each such part.  With
     ``words`` only whole words count, longest first, and spans don't overlap;
-    the lexicon must then fit one part.
+    a larger lexicon is then joined, see ``whole_words``.
     """
     distinct = terms.select("term").where("term <> ''").distinct()
     parts = -(-distinct.count() // BROADCAST_TERMS)
     if parts > 1:
         if words:
-            raise ValueError(f"whole words take a lexicon of {BROADCAST_TERMS} terms at most")
+            return whole_words(texts, distinct, id_column, text_column, window)
         parts += 1  # hashed parts are uneven
         found = [spans(texts, distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k), id_column, text_column, window=window) for k in range(parts)]
         out = found[0]
@@ -72,20 +92,71 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
                 low = (text or "").lower()
                 found = [(e - len(t) + 1, e + 1, t) for e, t in machine.iter(low)] if len(machine) else []
                 if words:
-                    edge = lambda p: not (0 < p < len(low) and (low[p - 1].isalnum() or low[p - 1] == "_") and (low[p].isalnum() or low[p] == "_"))
-                    found = sorted((f for f in found if edge(f[0]) and edge(f[1])), key=lambda f: (f[0], -f[1]))
-                    kept, last = [], 0
-                    for f in found:
-                        if f[0] >= last:
-                            kept.append(f)
-                            last = f[1]
-                    found = kept
+                    found = _apart((f for f in found if _edge(low, f[0]) and _edge(low, f[1])), lambda f: (f[0], f[1]))
                 rows += [(i, t, s, e, text[s:e], low[max(0, s - window) : e + window]) for s, e, t in found]
             yield pd.DataFrame(rows, columns=[id_column, "term", "start", "end", "match_text", "around"])
 
     return texts.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
 
 
+def whole_words(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str = "text", window: int = 80) -> DataFrame:
+    """What ``spans`` gives for whole words, for a lexicon of any size: nothing of it is sent to every task.
+
+    Each term is indexed by that of its words which the fewest texts have, and
+    meets a text by that word; the terms a text so meets are then looked for in
+    it, TERMS_AT_ONCE at a time.  Terms without any word are looked for as in
+    ``spans``.  Equal texts are read once.  Null texts have no spans; empty
+    terms none either; rows that repeat have theirs each.
+    """
+    shape = "h binary, term string, start int, end int"
+    rows = texts.select(F.col(id_column), F.col(text_column).alias("text")).where(F.col(text_column).isNotNull()).withColumn("h", F.unhex(F.sha2("text", 256)))
+    once = materialize(rows.groupBy("h").agg(F.first("text").alias("text")), "texts")
+    distinct = terms.select("term").where("term <> ''").distinct()
+    worded = distinct.select("term", F.explode(F.array_distinct(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)))).alias("w"))
+    bare = distinct.where(~F.col("term").rlike(WORD))
+    held = once.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w")).join(worded.select("w").distinct(), "w", "left_semi")
+    held = materialize(held, "words")
+    spread = held.groupBy("w").agg(F.count("*").alias("n"))
+    # A term with a word that no text has is in no text.
+    index = worded.join(spread, "w", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("m")).where("m.n > 0").select("term", F.col("m.w").alias("w"))
+    met = materialize(held.join(index, "w").select("h", "term"), "candidates")
+    shares = met.groupBy("h").agg(F.ceil(F.count("*") / TERMS_AT_ONCE).alias("parts"))
+    asked = met.join(shares, "h").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts"))).groupBy("h", "part").agg(F.collect_list("term").alias("terms"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        for b in batches:
+            out = []
+            for h, text, wanted in zip(b["h"], b["text"], b["terms"]):
+                machine = ahocorasick.Automaton()
+                for t in wanted:
+                    machine.add_word(t, t)
+                machine.make_automaton()
+                low = text.lower()
+                found = ((e - len(t) + 1, e + 1, t) for e, t in machine.iter(low))
+                out += [(h, t, s, e) for s, e, t in found if _edge(low, s) and _edge(low, e)]
+            yield pd.DataFrame(out, columns=["h", "term", "start", "end"])
+
+    found = once.join(asked, "h").select("h", "text", "terms").mapInPandas(run, shape)
+    if not bare.isEmpty():
+        found = found.unionByName(spans(once, bare, "h").select("h", "term", "start", "end"))
+    # As many as a text's own places times the terms that begin there.
+    places = found.groupBy("h").agg(F.collect_list(F.struct("start", "end", "term")).alias("found"))
+    kind = texts.schema[id_column].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text, spans_ in zip(b[id_column], b["text"], b["found"]):
+                low = text.lower()
+                out += [(i, x["term"], x["start"], x["end"], text[x["start"] : x["end"]], low[max(0, x["start"] - window) : x["end"] + window]) for x in _apart(spans_, lambda x: (x["start"], x["end"]))]
+            yield pd.DataFrame(out, columns=[id_column, "term", "start", "end", "match_text", "around"])
+
+    # Only the rows' side is skewed by equal texts, and a skewed join splits it.
+    return rows.join(places, "h").select(id_column, "text", "found").mapInPandas(cut, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
+
+
 def holding(texts: DataFrame, terms: DataFrame, text_column: str = "text") -> DataFrame:
     """``texts`` with the column term: each row once for every term that its text holds as it stands.
 

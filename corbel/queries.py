@@ -99,6 +99,22 @@ def dict_match_words(s, d):
     return dictionary.spans(docs, lex, "doc_id", words=True).groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
 
 
+@_query(r"""WITH l AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark))),
+p AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS x FROM documents),
+k AS (SELECT doc_id, x, unnest(range(1, len(x) - 1)) AS i FROM p),
+m AS (SELECT doc_id, i, x[i] || ' ' || x[i + 2] AS term FROM k WHERE x[i + 1] = ' '),
+h AS (SELECT m.doc_id, m.i, m.term FROM m JOIN l USING (term)),
+r AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY i) AS nth FROM r)
+SELECT doc_id, term, CAST(count(*) AS BIGINT) AS hits FROM o WHERE nth % 2 = 1 GROUP BY ALL""")
+def dict_match_index(s, d):
+    """Two-word terms, all that the benchmark's passages have, as whole words of the documents; the lexicon is joined."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(dictionary.WORD), F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    terms = _t(s, d, "benchmark").select(F.explode(pairs).alias("term"))
+    return dictionary.whole_words(_t(s, d, "documents"), terms, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
+
+
 @_query(_SPANS_SQL.replace("SELECT doc_id, term, CAST(s", "SELECT doc_id, CAST(bool_and(negated) AS BOOLEAN) AS all_negated, CAST(count(*) AS BIGINT) AS hits FROM (SELECT doc_id, term, CAST(s") + ") GROUP BY doc_id")
 def all_negated_flag(s, d):
     found = dict_match_spans(s, d).groupBy("doc_id").agg(F.collect_list(F.struct("negated")).alias("examples"))
@@ -119,7 +135,7 @@ def label_election(s, d):
     rows = _t(s, d, "documents").select(F.col("source").alias("spl_set_id"), F.col("doc_id").alias("ord"), "text")
     asked = s.createDataFrame([(t, t, "") for t in TERMS], "qid string, drug_name string, question_label string")
     won = evidence.elect_labels(asked, rows)
-    counts = rows.join(F.broadcast(asked), F.expr("contains(lower(text), drug_name)")).groupBy(F.col("drug_name").alias("term"), "spl_set_id").agg(F.count("*").alias("n"))
+    counts = dictionary.holding(rows.select("spl_set_id", F.lower("text").alias("text")), asked.select(F.col("drug_name").alias("term"))).groupBy("term", "spl_set_id").agg(F.count("*").alias("n"))
     return won.join(counts, (won.qid == counts.term) & (won.elected == counts.spl_set_id)).select("term", F.col("elected").alias("source"), "n")
 
 
@@ -146,7 +162,7 @@ def vector_topk(s, d):
 
 @_query(_VECTORS_SQL.format(score="list_distance(a, e.embedding::DOUBLE[]) * list_distance(a, e.embedding::DOUBLE[])", way="ASC"))
 def vector_topk_l2(s, d):
-    return _vectors(s, d, vectors.search_by_expression, "l2")
+    return _vectors(s, d, vectors.search, "l2")
 
 
 @_query("""SELECT vec_id, label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm,
@@ -810,7 +826,22 @@ def topk_per_group(s, d):
 
 # --- texts and retrieval, without SQL ---------------------------------------
 
-@_query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@_query(rf"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS row_id, trim(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), {_BLANK}) AS t FROM documents),
+n AS (SELECT row_id, 0 AS start, 0 AS stop, '' AS body, 0 AS next, true AS more FROM d WHERE t <> ''
+  UNION ALL SELECT row_id, next, stop, body, least(greatest(CASE WHEN stop - 160 > next THEN stop - 160 ELSE stop END, next + 1), size), body <> '' AND least(greatest(CASE WHEN stop - 160 > next THEN stop - 160 ELSE stop END, next + 1), size) < size FROM (
+    SELECT row_id, next, stop, size, trim(substring(t, next + 1, stop - next), {_BLANK}) AS body FROM (
+      SELECT row_id, next, t, size, CASE WHEN contains(marked, chr(57344)) THEN low + length(replace(regexp_replace(marked, chr(57344) || '[^' || chr(57344) || ']*$', ''), chr(57344), '')) ELSE until END AS stop FROM (
+        SELECT row_id, next, t, size, low, until, CASE WHEN until < size THEN regexp_replace(substring(t, low + 1, until - low), '([.!?][)\]"'']?\s|\n\n)', '\1' || chr(57344), 'g') ELSE '' END AS marked FROM (
+          SELECT n.row_id, n.next, t, length(t) AS size, least(n.next + 1100, length(t)) AS until, greatest(n.next, least(n.next + 1100, length(t)) - 240) AS low FROM n JOIN d USING (row_id) WHERE n.more))))),
+w AS (SELECT row_id, start, stop, body, regexp_replace(body, '\s+', ' ', 'g') AS plain FROM n WHERE body <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY row_id, lower(plain) ORDER BY start) AS seen FROM w),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY start) - 1 AS INTEGER) AS chunk_index FROM f WHERE seen = 1),
+h AS (SELECT k.*, id, sha1(unhex('{chunker.NAMESPACE.hex}') || encode(id || '|body|' || start || '|' || stop || '|' || left(sha1(plain), 8))) AS h FROM k JOIN d USING (row_id))
+SELECT id AS spl_set_id, 'body' AS section, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || ['8','9','a','b'][CAST(('0x' || substring(h, 17, 1)) AS INTEGER) % 4 + 1] || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS chunk_id,
+CAST(start AS INTEGER) AS char_start, CAST(stop AS INTEGER) AS char_end, chunk_index, CAST(CASE WHEN chunk_index > 0 THEN 160 ELSE 0 END AS INTEGER) AS overlap_chars, CAST(greatest(1, round_even(length(body) / 4, 0)) AS INTEGER) AS token_count, body AS chunk_text FROM h""")
 def chunk_windows(s, d):
     rows = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("spl_set_id"), F.lit("body").alias("section"), "text")
     return chunker.chunk_sections(rows)
@@ -889,7 +920,13 @@ def fuzzy_openings(s, d):
     return resolve.fuzzy(asked, lex).select("qid", F.col("snomed_id").alias("first_id"), F.col("name").alias("key"), "score")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE b AS (SELECT CAST(item_id AS VARCHAR) AS c, string_split(text, ' ') AS w FROM benchmark),
+s AS (SELECT c, list_transform(list_sort(list_transform(list_distinct(list_filter(w, lambda x: x <> '')), lambda x: {{'l': lower(x), 'v': x}})), lambda x: '- ' || x.v || chr(10)) AS t FROM b),
+p AS (SELECT c, 1 AS i, 1 AS k, 10 + length(t[1]) AS n FROM s WHERE len(t) > 0
+  UNION ALL SELECT c, i + 1, CASE WHEN n + length(t[i + 1]) > 240 THEN k + 1 ELSE k END, CASE WHEN n + length(t[i + 1]) > 240 THEN 10 ELSE n END + length(t[i + 1]) FROM p JOIN s USING (c) WHERE i < len(t)),
+o AS (SELECT c, 'core' AS section, 'core' AS key, CAST(0 AS INTEGER) AS "order", trim(w[1] || chr(10) || 'SNOMED CT conceptId: ' || c || chr(10) || 'Definition status: fully_defined' || chr(10) || 'FSN: ' || w[1] || ' (disorder)') || chr(10) AS text FROM b
+  UNION ALL SELECT c, 'synonyms', 'syn|' || k, CAST(k AS INTEGER), 'Synonyms:' || chr(10) || string_agg(t[i], '' ORDER BY i) FROM p JOIN s USING (c) GROUP BY c, k)
+SELECT 'snomed:chunk:' || c || ':' || left(sha1(c || '|' || key), 16) AS chunk_id, 'snomed:concept:' || c AS doc_id, c AS "conceptId", section, text, CAST(greatest(1, ceil(length(text) / 4)) AS INTEGER) AS token_estimate, "order", 'snomed_ct' AS source, '{TS}' AS last_updated FROM o""")
 def synonym_packs(s, d):
     rows = _t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("conceptId"), F.split("text", " ").alias("w"))
     term = F.transform("w", lambda x: F.struct(F.lit("").alias("id"), x.alias("term"), F.lit("en").alias("lang")))

@@ -50,3 +50,34 @@ def test_every_passage_is_looked_for(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(5, "x " + " ".join(f"passage {k}!" for k in range(99))), (6, "PASSAGE 7!")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(x) for x in queries.queries()["passage_contains"](spark, str(tmp_path)).collect())
     assert got == [(k, 2 if k == 7 else 1, 5) for k in range(99)]
+
+
+def _matches(df, key):
+    return sorted(tuple(x) for x in df.select(key, "term", "start", "end", "match_text", "around").collect())
+
+
+def test_whole_words_of_any_lexicon(spark, monkeypatch):
+    r = random.Random(10)
+    words = ["ab", "b", "abc", "é1", "x_y", "Ab", "ß", "中", "a-b"]
+    texts = [(k, "".join(r.choice(words) + r.choice([" ", " ", "-", ", ", " + ", ""]) for _ in range(r.choice([3, 60])))) for k in range(60)]
+    texts += [(7, texts[3][1]), (None, texts[3][1]), (61, None), (62, ""), (63, "ab b")]
+    rows = spark.createDataFrame(texts, "k int, text string")
+    terms = ["", "+", " + ", "ab", "b", "ab b", "b ab", "ab-b", "é1 ab", "ß", "x_y", "中", "ab b ab", "zz", "ab zz", "ab ", "(b"] + [f"none {k}" for k in range(50)]
+    lex = spark.createDataFrame([(t,) for t in terms + terms[:5]], "term string")
+    want = _matches(dictionary.spans(rows, lex, "k", words=True).where("k is not null"), "k")
+    assert len(want) > 300
+    nameless = dictionary.spans(rows, lex, "k", words=True).where("k is null").count()
+    monkeypatch.setattr(dictionary, "BROADCAST_TERMS", 4)
+    monkeypatch.setattr(dictionary, "TERMS_AT_ONCE", 3)
+    got = dictionary.spans(rows, lex, "k", words=True)
+    assert _matches(got.where("k is not null"), "k") == want
+    assert got.where("k is null").count() == nameless > 0
+    assert dictionary.whole_words(rows, lex.where("false"), "k").count() == 0
+    assert dictionary.whole_words(rows.where("false"), lex, "k").count() == 0
+
+
+def test_whole_words_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lex = spark.createDataFrame([(t,) for t in ["that", "with", "this", "from", "of the", "the", "in", "not there at all"]], "term string")
+    want = _matches(dictionary.spans(docs, lex, "doc_id", words=True), "doc_id")
+    assert want and _matches(dictionary.whole_words(docs, lex, "doc_id"), "doc_id") == want
