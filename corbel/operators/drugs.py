@@ -148,13 +148,21 @@ def form_in(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) != "", F.coalesce(plain, F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1000)))))
 
 
+#: Relations that are gathered of a drug, and what they are called.
+RELATED = {"has_ingredient": "ingredients", "has_dose_form": "dose_forms", "has_tradename": "brand_names"}
+
+
 def enrich(master: DataFrame, relations: DataFrame, arrays: DataFrame) -> DataFrame:
     """Drugs with their ingredients, forms and brands, attribute arrays, and routes and forms told by the name."""
     names = last_rows(master.withColumn("ord", F.lit(0)), ["rxcui"]).select(F.col("rxcui").alias("dst_rxcui"), F.col("preferred_term").alias("name"), "tty")
-    wanted = {"has_ingredient": "ingredients", "has_dose_form": "dose_forms", "has_tradename": "brand_names"}
-    rows = relations.where((F.upper("sab") == "RXNORM") & F.col("rela").isin(list(wanted))).join(names, "dst_rxcui", "left")
-    related = rows.groupBy(F.col("src_rxcui").alias("rxcui")).pivot("rela", list(wanted)).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct(F.col("dst_rxcui").alias("rxcui"), "name", "tty")))))
-    for old, new in wanted.items():
+    rows = relations.where((F.upper("sab") == "RXNORM") & F.col("rela").isin(list(RELATED))).join(names, "dst_rxcui", "left")
+    return enriched(master, rows, arrays)
+
+
+def enriched(master: DataFrame, rows: DataFrame, arrays: DataFrame) -> DataFrame:
+    """``enrich`` for relations that have the names of what they lead to."""
+    related = rows.groupBy(F.col("src_rxcui").alias("rxcui")).pivot("rela", list(RELATED)).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct(F.col("dst_rxcui").alias("rxcui"), "name", "tty")))))
+    for old, new in RELATED.items():
         related = related.withColumnRenamed(old, new)
     out = master.join(related, "rxcui", "left").join(arrays, "rxcui", "left")
     told = routes_in(F.col("preferred_term"))

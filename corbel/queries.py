@@ -24,6 +24,7 @@ from corbel.operators.ordered import first_rows, newest_rows, ordered_list, sort
 from corbel.plans import answer, evidence, questions
 from corbel.plans.engine import Engine
 from corbel.sources import labels
+from corbel.sources.relation_index import RelationIndex
 from corbel.sources.vector_index import VectorIndex
 from corbel.streaming.crosswalk import CrosswalkStore
 
@@ -482,6 +483,23 @@ def one_hop_names(s, d):
     return out.select("rxcui", F.array_join(F.transform("ingredients", lambda x: x["name"]), ",").alias("ingredients"), "preferred_term")
 
 
+@_query("""WITH e AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS rxcui, 's' || l_suppkey AS dst FROM lineitem),
+i AS (SELECT rxcui, string_agg(dst || '=' || coalesce(s_name, ''), ',' ORDER BY dst) AS ingredients, CAST(count(*) AS INTEGER) AS n FROM e LEFT JOIN supplier ON dst = 's' || s_suppkey GROUP BY rxcui)
+SELECT CAST(p_partkey AS VARCHAR) AS rxcui, p_name AS preferred_term, ingredients, coalesce(n, 0) AS n, p_brand AS brand FROM part LEFT JOIN i ON CAST(p_partkey AS VARCHAR) = rxcui""")
+def one_hop_indexed(s, d):
+    """All parts as drugs, their suppliers as ingredients and brands as codes, looked up in an index that is written and opened again."""
+    key = lambda c, p="": F.concat(F.lit(p), F.col(c).cast("string"))
+    part, supplier = _t(s, d, "part"), _t(s, d, "supplier")
+    rel = _t(s, d, "lineitem").select(key("l_partkey").alias("src_rxcui"), F.lit("has_ingredient").alias("rela"), key("l_suppkey", "s").alias("dst_rxcui"), F.lit("RXNORM").alias("sab"))
+    names = supplier.select(key("s_suppkey", "s").alias("rxcui"), F.col("s_name").alias("preferred_term"), F.lit("IN").alias("tty"))
+    codes = part.select(key("p_partkey").alias("rxcui"), F.lit("UNII").alias("atn"), F.col("p_brand").alias("atv"))
+    path = f"{shared_dir(s)}/corbel/{s.sparkContext.applicationId}/relations-{uuid.uuid4().hex}"
+    RelationIndex.build(path, rel, names, codes).forget()
+    out = RelationIndex.load(s, path).enrich(part.select(key("p_partkey").alias("rxcui"), F.col("p_name").alias("preferred_term")))
+    shown = F.array_join(F.transform("ingredients", lambda x: F.concat(x["rxcui"], F.lit("="), F.coalesce(x["name"], F.lit("")))), ",")
+    return out.select("rxcui", "preferred_term", F.when(F.size("ingredients") > 0, shown).alias("ingredients"), F.greatest(F.coalesce(F.size("ingredients"), F.lit(0)), F.lit(0)).alias("n"), F.get("unii", F.lit(0)).alias("brand"))
+
+
 @_query("""SELECT CAST(count(*) AS BIGINT) AS rows_, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS active, CAST(count(*) FILTER (o_orderpriority = '1-URGENT') AS BIGINT) AS defined FROM orders""")
 def concept_counters(s, d):
     rf2 = _t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyyMMdd").alias("effectiveTime"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("active"), F.lit("m").alias("moduleId"), F.when(F.col("o_orderpriority") == "1-URGENT", K.DEFINED).otherwise(K.PRIMITIVE).alias("definitionStatusId"), F.col("o_orderkey").alias("ord"))
