@@ -26,6 +26,7 @@ from corbel.plans.engine import Engine
 from corbel.sources import labels
 from corbel.sources.relation_index import RelationIndex
 from corbel.sources.vector_index import VectorIndex
+from corbel.streaming import newest
 from corbel.streaming.crosswalk import CrosswalkStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +220,18 @@ def newest_wins(s, d):
     return newest_rows(rows, ["user_id", "event_type"], "date", "event_id").select("user_id", "event_type", "event_id", "value")
 
 
+@_query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY strftime(ts, '%Y%m%d%H%M%S') DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def newest_by_state(s, d):
+    """The same as a stream that keeps one row of each key as state; changes are logged batch by batch."""
+    path = f"{shared_dir(s)}/corbel/{s.sparkContext.applicationId}/newest-{uuid.uuid4().hex}"
+    whole = _t(s, d, "events")
+    # As a pattern, for a stream's path may not be one file.
+    rows = s.readStream.schema(whole.schema).parquet(f"{d}/events.parque[t]").withColumn("day", F.date_format("ts", "yyyyMMddHHmmss"))
+    query = newest.log_newest(rows, f"{path}/log", ["user_id", "event_type"], "day", "event_id", f"{path}/checkpoint")
+    query.awaitTermination()
+    return newest.newest_table(s, f"{path}/log", rows.schema, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
+
+
 @_query("SELECT l_partkey, l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL")
 def first_wins(s, d):
     rows = _t(s, d, "lineitem").withColumn("ord", F.struct("l_orderkey", "l_linenumber"))
