@@ -99,27 +99,40 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
     return texts.select(id_column, text_column).mapInPandas(run, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
 
 
+def _keys(text: Column) -> Column:
+    """Hashes of a lower-cased text's words and of its neighbouring words with what stands between them, each once."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    gaps = F.regexp_extract_all(text, F.lit(f"({WORD})({WORD.replace('[', '[^').replace('+', '*')})"), F.lit(2))
+    # The arrays go in as arguments, which are read once; in a function's body they would be made anew for each element.
+    ended = F.zip_with(words, gaps, lambda w, g: F.concat(w, g))
+    pairs = F.array_compact(F.zip_with(ended, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, b)))
+    return F.array_distinct(F.transform(F.concat(words, pairs), lambda w: F.xxhash64(w)))
+
+
 def whole_words(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str = "text", window: int = 80) -> DataFrame:
     """What ``spans`` gives for whole words, for a lexicon of any size: nothing of it is sent to every task.
 
-    Each term is indexed by that of its words which the fewest texts have, and
-    meets a text by that word; the terms a text so meets are then looked for in
-    it, TERMS_AT_ONCE at a time.  Terms without any word are looked for as in
-    ``spans``.  Equal texts are read once.  Null texts have no spans; empty
-    terms none either; rows that repeat have theirs each.
+    Each term is indexed by that of its pairs of neighbouring words which the
+    fewest texts have, or by its only word, and meets a text by it; the terms
+    that a text so meets are then looked for in it, TERMS_AT_ONCE at a time.
+    Terms without any word are looked for as in ``spans``.  Equal texts are
+    read once.  Null texts have no spans; empty terms none either; rows that
+    repeat have theirs each.
     """
-    shape = "h binary, term string, start int, end int"
-    rows = texts.select(F.col(id_column), F.col(text_column).alias("text")).where(F.col(text_column).isNotNull()).withColumn("h", F.unhex(F.sha2("text", 256)))
+    rows = texts.select(F.col(id_column), F.col(text_column).alias("text")).where(F.col(text_column).isNotNull()).withColumn("h", F.unhex(F.left(F.sha2("text", 256), F.lit(32))))
     once = materialize(rows.groupBy("h").agg(F.first("text").alias("text")), "texts")
     distinct = terms.select("term").where("term <> ''").distinct()
-    worded = distinct.select("term", F.explode(F.array_distinct(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)))).alias("w"))
     bare = distinct.where(~F.col("term").rlike(WORD))
-    held = once.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w")).join(worded.select("w").distinct(), "w", "left_semi")
-    held = materialize(held, "words")
-    spread = held.groupBy("w").agg(F.count("*").alias("n"))
-    # A term with a word that no text has is in no text.
-    index = worded.join(spread, "w", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("m")).where("m.n > 0").select("term", F.col("m.w").alias("w"))
-    met = materialize(held.join(index, "w").select("h", "term"), "candidates")
+    # A term of several words has its pairs after its words; only those count.
+    n = F.size(F.array_distinct(F.transform(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))))
+    several = F.size(F.regexp_extract_all("term", F.lit(WORD), F.lit(0))) > 1
+    keyed = distinct.select("term", F.explode(F.when(several, F.slice(_keys(F.col("term")), n + 1, F.size(_keys(F.col("term"))))).otherwise(_keys(F.col("term")))).alias("k"))
+    held = once.select("h", F.explode(_keys(F.lower("text"))).alias("k")).join(keyed.select("k").distinct(), "k", "left_semi")
+    held = materialize(held, "keys")
+    spread = held.groupBy("k").agg(F.count("*").alias("n"))
+    # A term with a key that no text has is in no text.
+    index = keyed.join(spread, "k", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("m")).where("m.n > 0").select("term", F.col("m.k").alias("k"))
+    met = materialize(held.join(index, "k").select("h", "term"), "candidates")
     shares = met.groupBy("h").agg(F.ceil(F.count("*") / TERMS_AT_ONCE).alias("parts"))
     asked = met.join(shares, "h").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts"))).groupBy("h", "part").agg(F.collect_list("term").alias("terms"))
 
@@ -131,30 +144,34 @@ def whole_words(texts: DataFrame, terms: DataFrame, id_column: str, text_column:
             for h, text, wanted in zip(b["h"], b["text"], b["terms"]):
                 machine = ahocorasick.Automaton()
                 for t in wanted:
-                    machine.add_word(t, t)
+                    machine.add_word(t, len(t))
                 machine.make_automaton()
                 low = text.lower()
-                found = ((e - len(t) + 1, e + 1, t) for e, t in machine.iter(low))
-                out += [(h, t, s, e) for s, e, t in found if _edge(low, s) and _edge(low, e)]
-            yield pd.DataFrame(out, columns=["h", "term", "start", "end"])
+                found = [(e + 1 - n, e + 1) for e, n in machine.iter(low)]
+                found = [(s, e) for s, e in found if _edge(low, s) and _edge(low, e)]
+                if found:
+                    out.append((h, [s for s, _ in found], [e for _, e in found]))
+            yield pd.DataFrame(out, columns=["h", "starts", "ends"])
 
-    found = once.join(asked, "h").select("h", "text", "terms").mapInPandas(run, shape)
+    found = once.join(asked, "h").select("h", "text", "terms").mapInPandas(run, "h binary, starts array<int>, ends array<int>")
     if not bare.isEmpty():
-        found = found.unionByName(spans(once, bare, "h").select("h", "term", "start", "end"))
+        more = spans(once, bare, "h").groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("x"))
+        found = found.unionByName(more.select("h", F.col("x.start").alias("starts"), F.col("x.end").alias("ends")))
     # As many as a text's own places times the terms that begin there.
-    places = found.groupBy("h").agg(F.collect_list(F.struct("start", "end", "term")).alias("found"))
+    found = found.groupBy("h").agg(F.collect_list(F.struct("starts", "ends")).alias("x"))
+    found = found.select("h", F.flatten("x.starts").alias("starts"), F.flatten("x.ends").alias("ends"))
     kind = texts.schema[id_column].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, text, spans_ in zip(b[id_column], b["text"], b["found"]):
+            for i, text, starts, ends in zip(b[id_column], b["text"], b["starts"], b["ends"]):
                 low = text.lower()
-                out += [(i, x["term"], x["start"], x["end"], text[x["start"] : x["end"]], low[max(0, x["start"] - window) : x["end"] + window]) for x in _apart(spans_, lambda x: (x["start"], x["end"]))]
+                out += [(i, low[s:e], s, e, text[s:e], low[max(0, s - window) : e + window]) for s, e in _apart(zip(starts, ends), lambda x: x)]
             yield pd.DataFrame(out, columns=[id_column, "term", "start", "end", "match_text", "around"])
 
     # Only the rows' side is skewed by equal texts, and a skewed join splits it.
-    return rows.join(places, "h").select(id_column, "text", "found").mapInPandas(cut, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
+    return rows.join(found, "h").select(id_column, "text", "starts", "ends").mapInPandas(cut, f"`{id_column}` {kind}, term string, start int, end int, match_text string, around string")
 
 
 def holding(texts: DataFrame, terms: DataFrame, text_column: str = "text") -> DataFrame:
