@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corbel import constants as K
 from corbel.functions.text import any_of, first_true, norm_space, strip
+from corbel.operators.cut import materialize
 
 #: Words of a drug name at most.
 NAME_WORDS = 6
@@ -51,15 +52,23 @@ def spans_of(questions: DataFrame) -> DataFrame:
 def names_in(texts: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
     """(keys, name): the longest lexicon name in each text, the leftmost of equals, by a join on runs of words.
 
-    Runs of stop words alone are no names.  Lexicons may be of any size; nothing
-    is broadcast by force.
+    Only places whose word begins a name are followed by longer runs, and only
+    of lengths that such names have.  Runs of stop words alone are no names.
+    Lexicons may be of any size: they are written once, so that their size
+    is known, and nothing is broadcast by force.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9][a-z0-9\-']*)"), F.lit(1))
-    rows = texts.select(*keys, words.alias("w")).select(*keys, "w", F.explode(F.sequence(F.lit(1), F.lit(NAME_WORDS))).alias("n")).where(F.size("w") >= F.col("n"))
-    rows = rows.select(*keys, "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i")).select(*keys, "n", "i", F.slice("w", F.col("i"), F.col("n")).alias("run"))
     stop = F.array(*[F.lit(w) for w in K.STOP_WORDS])
-    rows = rows.where(F.size(F.array_except("run", stop)) > 0).select(*keys, "n", "i", F.array_join("run", " ").alias("key"))
-    return rows.join(lexicon.select("key").distinct(), "key").groupBy(*keys).agg(F.min_by("key", F.struct(-F.col("n"), F.col("i"))).alias("name"))
+    named = lexicon.select("key").distinct().withColumn("run", F.split("key", " ", -1)).where(F.size("run").between(1, NAME_WORDS) & (F.size(F.array_except("run", stop)) > 0))
+    named = materialize(named.select("key", F.col("run")[0].alias("head"), F.size("run").alias("n")), "names")
+    heads = materialize(named.groupBy("head").agg(F.collect_set("n").alias("lengths")), "heads")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9][a-z0-9\-']*)"), F.lit(1))
+    # The generator keeps the words from being found anew; shifted arrays are read once, a slice for each place would copy the whole text each time.
+    rows = texts.select(*keys, F.explode(F.array(words)).alias("w"))
+    shifted = F.arrays_zip(*[F.slice("w", k + 1, 1 << 30).alias(f"w{k}") for k in range(NAME_WORDS)])
+    rows = rows.select(*keys, F.posexplode(shifted).alias("i", "at")).select(*keys, "i", F.col("at")["w0"].alias("head"), F.array_compact(F.array(*[F.col("at")[f"w{k}"] for k in range(NAME_WORDS)])).alias("run"))
+    rows = rows.join(heads, "head").select(*keys, "i", "run", F.explode("lengths").alias("n")).where(F.size("run") >= F.col("n"))
+    rows = rows.select(*keys, "n", "i", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("key"))
+    return rows.join(named.select("key"), "key").groupBy(*keys).agg(F.min_by("key", F.struct(-F.col("n"), F.col("i"))).alias("name"))
 
 
 def names_in_questions(questions: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Inputs beyond the sizes that operators ship to every task at once."""
 
 import random
+import time
 
 from corbel import queries
 from corbel.operators import dictionary, resolve, vectors
-from corbel.plans import evidence
+from corbel.plans import evidence, questions
 
 
 def test_every_mention_is_scored(spark):
@@ -81,3 +82,13 @@ def test_whole_words_of_documents(spark):
     lex = spark.createDataFrame([(t,) for t in ["that", "with", "this", "from", "of the", "the", "in", "not there at all"]], "term string")
     want = _matches(dictionary.spans(docs, lex, "doc_id", words=True), "doc_id")
     assert want and _matches(dictionary.whole_words(docs, lex, "doc_id"), "doc_id") == want
+
+
+def test_names_in_long_texts(spark):
+    """A place of a text costs no copy of the text: 60,000 words took minutes when it did."""
+    text = " ".join(f"w{k % 997}" for k in range(60_000)) + " Red Kite is the red kite of may"
+    rows = spark.createDataFrame([("a", text), ("b", "the is of"), ("c", None), ("d", "of the red, red kite"), ("e", "")], "qid string, text string")
+    lex = spark.createDataFrame([(k,) for k in ("red kite", "red", "kite of may", "the is", "of the", "no such name here", "w1 w2 w3 w4 w5 w6 w7", "kite  of", None, "")], "key string")
+    start = time.monotonic()
+    assert {r["qid"]: r["name"] for r in questions.names_in_questions(rows, lex).collect()} == {"a": "kite of may", "d": "red kite"}
+    assert time.monotonic() - start < 45
