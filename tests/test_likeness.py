@@ -70,3 +70,20 @@ def test_best_names_equal_brute_force(spark):
     assert resolve.fuzzy(spark.createDataFrame(asked, "qid int, text string"), table.limit(0)).count() == 0
     with pytest.raises(ValueError):
         likeness.similar(table.selectExpr("key as text"), table.selectExpr("key as text"), 0)
+
+
+def test_asked_texts_in_blocks(spark, monkeypatch):
+    """Grams are looked up a block of asked texts at a time, and their pairs come out in parts."""
+    lex, asked = [t for t in names(120, 11)], spoilt(names(60, 11), 12)
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    want = {tuple(r) for r in likeness.similar(frame(asked), frame(lex)).collect()}
+    monkeypatch.setattr(likeness, "ASKED", 20)
+    monkeypatch.setattr(likeness, "PAIRS", 3)
+    assert want and {tuple(r) for r in likeness.similar(frame(asked), frame(lex)).collect()} == want
+
+
+def test_grams_are_not_shuffled(spark):
+    """Texts meet by their grams without a join: rows for every gram of every text were what didn't finish."""
+    rows = likeness._kinds(likeness._named(spark.createDataFrame([(t,) for t in names(30, 1)], "text string")), 88.0)
+    plan = likeness._by_grams(rows, rows, 88.0)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "MapInPandas" in plan
