@@ -17,6 +17,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 #: Queries that an exact search takes at once: this bounds what is broadcast.
 QUERIES = 10_000
+#: Rows and queries whose scores a task holds at once: this bounds its memory whatever the batches are.
+ROWS_AT_ONCE, QUERIES_AT_ONCE = 1_024, 512
 
 
 def hashing_encoder(dims: int = 64) -> Encoder:
@@ -90,25 +92,30 @@ def _search_block(queries: DataFrame, rows: DataFrame, top: int, metric: str) ->
     kind = queries.schema["query_id"].dataType.simpleString(), rows.schema["row_id"].dataType.simpleString()
     shared = queries.sparkSession.sparkContext.broadcast(np.array([r["qvec"] for r in asked], float).reshape(len(asked), -1))
 
+    def best(scores: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``top`` best of each query's rows, ties to the smaller row."""
+        if scores.shape[1] <= top:
+            return scores, held
+        least = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
+        keep = np.array([sorted(np.flatnonzero(s >= x), key=lambda j: (-s[j], h[j]))[:top] for s, h, x in zip(scores, held, least)])
+        return np.take_along_axis(scores, keep, 1), np.take_along_axis(held, keep, 1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        scores, held = np.zeros((len(q), 0)), np.zeros((len(q), 0), object)
+        q, found = shared.value, {}
         for b in batches:
-            if not len(b) or not len(q):
-                continue
-            v = np.array([np.asarray(x, float) for x in b["vec"]])
-            now = q @ v.T if metric == "ip" else -((q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T)
-            # The best so far and the batch, all queries at once; ties to the smaller row.
-            order = np.argsort(b["row_id"].to_numpy(), kind="stable")
-            scores, held = np.concatenate([scores, now[:, order]], axis=1), np.concatenate([held, np.broadcast_to(b["row_id"].to_numpy(object)[order], now.shape)], axis=1)
-            if scores.shape[1] > top:
-                least = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-                keep = [sorted(np.flatnonzero(s >= x), key=lambda j: (-s[j], h[j]))[:top] for s, h, x in zip(scores, held, least)]
-                scores, held = np.take_along_axis(scores, np.array(keep), 1), np.take_along_axis(held, np.array(keep), 1)
-        n = scores.shape[1]
-        out = pd.DataFrame({"query_id": [i for i in ids for _ in range(n)], "row_id": held.ravel().tolist(), "score": (scores if metric == "ip" else -scores).ravel()})
-        if len(out):
-            yield out
+            for at in range(0, len(b), ROWS_AT_ONCE):
+                part = b.iloc[at : at + ROWS_AT_ONCE]
+                v, order = np.array([np.asarray(x, float) for x in part["vec"]]), part["row_id"].to_numpy()
+                for of in range(0, len(q), QUERIES_AT_ONCE):
+                    some = q[of : of + QUERIES_AT_ONCE]
+                    now = some @ v.T if metric == "ip" else -((some**2).sum(1)[:, None] + (v**2).sum(1) - 2 * some @ v.T)
+                    now, rows_now = best(now, np.broadcast_to(order, now.shape))
+                    if of in found:
+                        now, rows_now = best(np.concatenate([found[of][0], now], axis=1), np.concatenate([found[of][1], rows_now], axis=1))
+                    found[of] = now, rows_now
+        for of, (scores, held) in found.items():
+            n = scores.shape[1]
+            yield pd.DataFrame({"query_id": [i for i in ids[of : of + QUERIES_AT_ONCE] for _ in range(n)], "row_id": held.ravel().tolist(), "score": (scores if metric == "ip" else -scores).ravel()})
 
     return rows.select("row_id", "vec").mapInPandas(run, f"query_id {kind[0]}, row_id {kind[1]}, score double")
 

@@ -3,6 +3,9 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
+
 from corbel import queries
 from corbel.operators import dictionary, resolve, vectors
 from corbel.plans import evidence, questions
@@ -92,3 +95,20 @@ def test_names_in_long_texts(spark):
     start = time.monotonic()
     assert {r["qid"]: r["name"] for r in questions.names_in_questions(rows, lex).collect()} == {"a": "kite of may", "d": "red kite"}
     assert time.monotonic() - start < 45
+
+
+def test_search_holds_few_scores(spark):
+    """Scores are held for some rows and queries at a time: 2,000 queries against 10,000 rows took over 1 GB at once."""
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame(pd.DataFrame({"row_id": range(10_000), "vec": r.integers(-3, 4, (10_000, 4)).astype(float).tolist()})).coalesce(1)
+    asked = rows.where("row_id % 5 = 0").selectExpr("row_id as query_id", "vec as qvec")
+    def run(q, v, of):
+        return sorted((x["query_id"], x["rank"], x["row_id"], x["score"]) for x in vectors.search(q, v, 3, of).collect())
+
+    assert vectors.ROWS_AT_ONCE * vectors.QUERIES_AT_ONCE * 8 < 8e6
+    for metric in ("ip", "l2"):
+        v = np.array([x["vec"] for x in rows.orderBy("row_id").collect()], float)
+        scores = v[::5] @ v.T if metric == "ip" else -((v[::5, None] - v[None]) ** 2).sum(2)
+        first = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+        want = [(5 * k, n + 1, int(j), float(abs(scores[k, j]) if metric == "l2" else scores[k, j])) for k in range(2_000) for n, j in enumerate(first[k])]
+        assert run(asked, rows, metric) == want
