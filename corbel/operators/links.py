@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel import constants as K
@@ -65,55 +65,56 @@ def label_to_drug(resolved: DataFrame, prefer_types: bool = False) -> DataFrame:
 
 
 def crosswalk(mentions: DataFrame, resolved: DataFrame, min_conf: float = 0.0) -> DataFrame:
-    """Mentions of conditions with the drugs of their label; of one chunk, drug, concept and link type the first."""
-    drugs = resolved.select("spl_set_id", F.posexplode(F.concat(F.array("primary"), "secondary")).alias("pos", "d")).where("d.rxcui is not null").select("spl_set_id", "pos", "d.rxcui", "d.tty", "d.has_ndc", "d.via")
-    rows = mentions.where(F.col("confidence") >= min_conf).join(drugs, "spl_set_id").withColumn("ord", F.struct("ord", "pos")).drop("pos")
-    return first_rows(rows, ["chunk_id", "rxcui", "snomed_id", "link_type"])
+    """Mentions of conditions with the drugs of their label; of one chunk, drug, concept and link type the first.
+
+    Rows lie by label after the join; as long as no chunk is of several labels
+    they are told apart where they lie, and later steps by label find them so.
+    """
+    every = F.transform(F.concat(F.array("primary"), "secondary"), lambda d, pos: F.struct(pos.alias("pos"), d["rxcui"].alias("rxcui"), d["tty"].alias("tty"), d["has_ndc"].alias("has_ndc"), d["via"].alias("via")))
+    drugs = resolved.select("spl_set_id", F.filter(every, lambda d: d["rxcui"].isNotNull()).alias("drugs"))
+    rows = mentions.where(F.col("confidence") >= min_conf)
+    own = rows.groupBy(F.xxhash64("chunk_id")).agg(F.min("spl_set_id").alias("least"), F.max("spl_set_id").alias("most")).where("least <> most").isEmpty()
+    rows = rows.join(drugs, "spl_set_id").withColumn("d", F.explode("drugs")).select("*", "d.rxcui", "d.tty", "d.has_ndc", "d.via").withColumn("ord", F.struct("ord", "d.pos")).drop("drugs", "d")
+    return first_rows(rows, ["spl_set_id"] * own + ["chunk_id", "rxcui", "snomed_id", "link_type"])
 
 
 EDGE = ["rxcui", "snomed_id", "link_type"]
 
 
-def label_support(rows: DataFrame) -> DataFrame:
-    """What each label says for each edge: its sections, mentions and greatest confidence; ``merged_support`` adds such rows up."""
-    return rows.groupBy(*EDGE, "spl_set_id").agg(sorted_set(F.col("section")).alias("sections"), F.count("*").alias("mentions"), F.max("confidence").alias("confidence"))
+def label_support(rows: DataFrame, examples: int = 5) -> DataFrame:
+    """What each label says for each edge: its sections, mentions, greatest confidence and first mentions; ``merged_support`` adds such rows up."""
+    shown = F.struct("ord", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"))
+    return rows.groupBy(*EDGE, "spl_set_id").agg(sorted_set(F.col("section")).alias("sections"), F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.slice(F.sort_array(F.collect_list(shown)), 1, examples).alias("shown"))
 
 
-def merged_support(parts: DataFrame) -> DataFrame:
+def merged_support(parts: DataFrame, examples: int = 5) -> DataFrame:
     """The support of several batches of mentions as if they had come in one."""
-    return parts.groupBy(*EDGE, "spl_set_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"))
-
-
-def first_examples(rows: DataFrame, examples: int = 5) -> DataFrame:
-    """The first mentions of each edge in their order, with ``ord``."""
-    shown = F.struct("spl_set_id", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"))
-    return top_rows(rows, EDGE, [F.asc("ord")], examples).select(*EDGE, "ord", shown.alias("example"))
+    return parts.groupBy(*EDGE, "spl_set_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), F.slice(F.sort_array(F.flatten(F.collect_list("shown"))), 1, examples).alias("shown")
+    )
 
 
-def composed(support: DataFrame, shown: DataFrame, run_ts: str, labels: int = 50) -> DataFrame:
-    """One row per edge from its labels' support and its first examples.
+def composed(support: DataFrame, run_ts: str, labels: int = 50, examples: int = 5) -> DataFrame:
+    """One row per edge from its labels' support, with its first labels and its first examples.
 
     An edge may have any number of labels: only its first ones are brought
-    together.
+    together.  Labels are numbered by their names and by their first mentions
+    after one shuffle by edge, and an edge's first examples are among those of
+    as many labels with the first mentions.
     """
-    total = support.groupBy(*EDGE).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.count("spl_set_id").alias("spl_count"), F.sum("mentions").alias("chunk_count"), F.round(F.max("confidence"), 3).alias("max_confidence")
-    )
-    listed = top_rows(support.where("spl_set_id is not null"), EDGE, [F.asc("spl_set_id")], labels).groupBy(*EDGE).agg(sorted_set(F.col("spl_set_id")).alias("spl_set_ids"))
-    first = shown.groupBy(*EDGE).agg(ordered_list(F.col("example"), F.col("ord"), distinct=False).alias("examples"))
-    keyed = lambda df: df.select(*[F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in EDGE], *[c for c in df.columns if c not in EDGE])
-    found = keyed(total).join(keyed(first), EDGE).join(keyed(listed), EDGE, "left")
-    plain = [F.nullif(F.col(c), F.lit("\0")).alias(c) for c in EDGE]
-    return found.select(*plain, "sections", F.coalesce("spl_set_ids", F.array().cast("array<string>")).alias("spl_set_ids"), "spl_count", "chunk_count", "max_confidence", "examples", F.lit(run_ts).alias("last_updated"))
+    edge = Window.partitionBy(*EDGE)
+    rows = support.withColumn("name_at", F.row_number().over(edge.orderBy(F.asc_nulls_last("spl_set_id")))).withColumn("first_at", F.row_number().over(edge.orderBy(F.col("shown")[0]["ord"])))
+    shown = F.transform("shown", lambda x: F.struct(x["ord"].alias("ord"), F.struct(F.col("spl_set_id"), x["section"].alias("section"), x["text"].alias("text"), x["negated"].alias("negated")).alias("example")))
+    found = rows.groupBy(*EDGE).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), sorted_set(F.when(F.col("name_at") <= labels, F.col("spl_set_id"))).alias("spl_set_ids"), F.count("spl_set_id").alias("spl_count"),
+        F.sum("mentions").alias("chunk_count"), F.round(F.max("confidence"), 3).alias("max_confidence"), F.slice(F.sort_array(F.flatten(F.collect_list(F.when(F.col("first_at") <= examples, shown)))), 1, examples).alias("examples"),
+    )
+    return found.withColumn("examples", F.transform("examples", lambda x: x["example"])).withColumn("last_updated", F.lit(run_ts))
 
 
 def rollup(rows: DataFrame, run_ts: str, labels: int = 50, examples: int = 5) -> DataFrame:
-    """One row per drug, concept and link type, with its sections, labels, support and first examples.
-
-    The mentions are written once, so that what made them is planned once.
-    """
-    rows = materialize(rows.select(*EDGE, "spl_set_id", "section", "confidence", "match_text", "qualifiers", "ord"), "crosswalk")
-    return composed(label_support(rows), first_examples(rows, examples), run_ts, labels)
+    """One row per drug, concept and link type, with its sections, labels, support and first examples."""
+    return composed(label_support(rows, examples), run_ts, labels, examples)
 
 
 def all_negated(examples: Column) -> Column:
@@ -128,9 +129,11 @@ def edges(rolled: DataFrame) -> DataFrame:
 
 
 def nested_edges(by_drug: DataFrame, by_condition: DataFrame) -> DataFrame:
-    """Edges of the two nested tables, an edge of both twice."""
-    one = by_drug.select("rxcui", F.explode("conditions").alias("e")).select("rxcui", "e.snomed_id", "e.link_type", "e.max_confidence", "e.spl_count", "e.examples")
-    two = by_condition.select("snomed_id", F.explode("drugs").alias("e")).select("e.rxcui", "snomed_id", "e.link_type", "e.max_confidence", "e.spl_count", "e.examples")
+    """Edges of the two nested tables, an edge of both twice, with examples if both have them."""
+    held = [set(df.schema[name].dataType.elementType.names) for df, name in ((by_drug, "conditions"), (by_condition, "drugs"))]
+    told = [f"e.{c}" for c in ("link_type", "max_confidence", "spl_count", "examples") if c != "examples" or all(c in h for h in held)]
+    one = by_drug.select("rxcui", F.explode("conditions").alias("e")).select("rxcui", "e.snomed_id", *told)
+    two = by_condition.select("snomed_id", F.explode("drugs").alias("e")).select("e.rxcui", "snomed_id", *told)
     return edges(one.unionByName(two))
 
 
@@ -149,11 +152,12 @@ def strongest(graph: DataFrame, by: str, link_types: list[str] | None = None, mi
 
 def generic_statistics(rolled: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Per concept: how many drugs and edges it has, of which types, and whether its name is generic."""
+    # What examples tell is counted before the edges are written.
     told = F.filter("examples", lambda e: e["negated"].isNotNull())
-    rolled = materialize(rolled.select(*EDGE, "max_confidence", "spl_count", "examples"), "edges")
+    rolled = materialize(rolled.select(*EDGE, "max_confidence", "spl_count", F.size(told).alias("told"), F.exists(told, lambda e: ~e["negated"]).alias("affirmed")), "edges")
     per = rolled.where("rxcui <> '' and snomed_id <> ''").groupBy("snomed_id").agg(
         F.count_distinct("rxcui").alias("degree_rx"), F.count("*").alias("edge_count"), F.avg(F.coalesce("max_confidence", F.lit(0.0))).alias("mean_max_conf"), F.avg(F.coalesce("spl_count", F.lit(0))).alias("mean_spl_count"),
-        F.sum(F.size(told)).alias("examples_with_negation_info"), ~F.coalesce(F.max(F.exists(told, lambda e: ~e["negated"])), F.lit(False)).alias("all_examples_negated"),
+        F.sum("told").alias("examples_with_negation_info"), ~F.coalesce(F.max("affirmed"), F.lit(False)).alias("all_examples_negated"),
     )
     types = rolled.groupBy("snomed_id", F.lower("link_type").alias("t")).count()
     types = top_rows(types, ["snomed_id"], [F.desc("count"), F.asc("t")], 3, "k").groupBy("snomed_id").agg(F.array_join(ordered_list(F.concat_ws(":", "t", F.col("count").cast("string")), F.col("k")), ",").alias("top_link_types"))

@@ -1,9 +1,9 @@
 """The crosswalk kept up batch by batch: each append writes what it adds, and reading adds it up.
 
 Below the folder, ``v<n>`` is what batch n added and ``c<n>`` what all batches
-up to n added together.  Each has the labels' ``support`` of edges, the first
-``examples`` of edges and the ``chunks`` it knows; chunks are written last, so
-a version without them isn't there, and a batch that failed may run again.
+up to n added together.  Each has the labels' ``support`` of edges with their
+first mentions, and the ``chunks`` it knows; chunks are written last, so a
+version without them isn't there, and a batch that failed may run again.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corbel.operators.links import EDGE, composed, crosswalk, first_examples, label_support, merged_support
-from corbel.operators.ordered import top_rows
+from corbel.operators.links import composed, crosswalk, label_support, merged_support
 from corbel.streaming.tables import _folder
 
 
@@ -60,12 +59,7 @@ class CrosswalkStore:
             # Few chunks of a batch are known; the many known ones are scanned, not shuffled, if the batch is small.
             known = self._each(parts, "chunks").join(chunks, "chunk_id", "left_semi")
             mentions = mentions.join(known, "chunk_id", "left_anti")
-        crosswalk(mentions, resolved, min_conf).write.mode("overwrite").parquet(f"{own}/rows")
-        rows = self.spark.read.parquet(f"{own}/rows")
-        label_support(rows).write.mode("overwrite").parquet(f"{own}/support")
-        first_examples(rows, self.examples).write.mode("overwrite").parquet(f"{own}/examples")
-        place, fs = _folder(self.spark, f"{own}/rows")
-        fs.delete(place, True)
+        label_support(crosswalk(mentions, resolved, min_conf), self.examples).write.mode("overwrite").parquet(f"{own}/support")
         chunks.write.mode("overwrite").parquet(f"{own}/chunks")
 
     def compact(self) -> None:
@@ -75,24 +69,20 @@ class CrosswalkStore:
             return
         own = f"{self.path}/c{versions[-1]}"
         self._support(parts).write.mode("overwrite").parquet(f"{own}/support")
-        self._examples(parts).write.mode("overwrite").parquet(f"{own}/examples")
         self._each(parts, "chunks").distinct().write.mode("overwrite").parquet(f"{own}/chunks")
         for p in parts:
             place, fs = _folder(self.spark, f"{self.path}/{p}")
             fs.delete(place, True)
 
     def _support(self, parts: list[str]) -> DataFrame:
-        return merged_support(self._each(parts, "support"))
-
-    def _examples(self, parts: list[str]) -> DataFrame:
-        return top_rows(self._each(parts, "examples"), EDGE, [F.asc("ord")], self.examples)
+        return merged_support(self._each(parts, "support"), self.examples)
 
     def edges(self, run_ts: str) -> DataFrame:
         """What ``rollup`` gives for the mentions of all batches.  A store without a batch is an error."""
         parts = self._parts()
         if not parts:
             raise ValueError(f"no batch has been added to {self.path}")
-        return composed(self._support(parts), self._examples(parts), run_ts, self.labels)
+        return composed(self._support(parts), run_ts, self.labels, self.examples)
 
 
 def keep_crosswalk(mentions: DataFrame, resolved: DataFrame, store: CrosswalkStore, checkpoint: str, min_conf: float = 0.0, **trigger) -> StreamingQuery:

@@ -72,3 +72,13 @@ def test_stream(spark, tmp_path):
         keep_crosswalk(stream, resolved, store, str(tmp_path / "c")).awaitTermination(120)
     assert store._versions("v") == [0, 1, 2]
     _same(store.edges(TS), rollup(crosswalk(every, resolved), TS))
+
+
+def test_roll_up_shuffles_once_by_edge(spark):
+    """Labels' rows are shuffled by label and once by edge; chunks of several labels are still told apart."""
+    every, resolved = spark.createDataFrame(_mentions(), MENTION), _resolved(spark)
+    plan = rollup(crosswalk(every, resolved), TS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("Join") == 1
+    shared = spark.createDataFrame([("c", f"s{k}", "1", "t", "a", 0.9, "m", (True,), -k) for k in range(6)], MENTION)
+    got = [(r["rxcui"], r["spl_set_id"]) for r in crosswalk(shared, resolved).orderBy("rxcui").collect()]
+    assert got == [("r0", "s3"), ("r1", "s4"), ("r2", "s5"), ("x", "s5")]
