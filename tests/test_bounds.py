@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 
 from corbel import queries
-from corbel.operators import dictionary, resolve, vectors
+from corbel.operators import cut, dictionary, resolve, vectors
 from corbel.plans import evidence, questions
 
 
@@ -112,3 +112,9 @@ def test_search_holds_few_scores(spark):
         first = np.argsort(-scores, axis=1, kind="stable")[:, :3]
         want = [(5 * k, n + 1, int(j), float(abs(scores[k, j]) if metric == "l2" else scores[k, j])) for k in range(2_000) for n, j in enumerate(first[k])]
         assert run(asked, rows, metric) == want
+
+
+def test_batches_come_in_pieces(spark):
+    """A step takes few rows at once, whatever Spark's batches hold: 10,000 parsed texts were held together."""
+    parts = list(cut.pieces(iter([pd.DataFrame({"k": range(1_000)}), pd.DataFrame({"k": []}), pd.DataFrame({"k": range(1_000, 1_300)})])))
+    assert max(map(len, parts)) <= cut.PIECE and [k for p in parts for k in p["k"]] == list(range(1_300))
