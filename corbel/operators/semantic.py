@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corbel.operators.cut import discard, materialize
+from corbel.operators.cut import discard, materialize, pieces
 
 #: Steps of a weight of 1 and of a component of 1 in exact products: a sum over 2^36 texts stays within 64 bits.
 _WEIGHT, _PART = 10, 16
@@ -104,7 +104,7 @@ def _counted(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """(at, n): the buckets of each text that has words, ascending, and their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             found = [sorted(f.items()) for t in b["text"] if (f := _terms(t, buckets))]
             yield pd.DataFrame({"at": [[k for k, _ in f] for f in found], "n": [[c for _, c in f] for f in found]})
 
