@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,13 +14,15 @@ from corbel import constants as K
 from corbel.functions.keys import short_sha1
 from corbel.functions.ranking import surface_confidence
 from corbel.functions.text import any_of, literal_map, semantic_tag, strip_tag
-from corbel.operators.cut import materialize
+from corbel.operators.cut import materialize, pieces
 from corbel.operators.ordered import first_rows
 
 #: Lexicon terms that are shipped to every task at most; a larger lexicon is joined instead.
 BROADCAST_TERMS = 200_000
 #: Candidate terms of one text that ``whole_words`` looks for at a time.
 TERMS_AT_ONCE = 20_000
+#: Texts with their candidate terms that a task holds at a time.
+TEXTS_AT_ONCE = 32
 #: A word: letters, digits and underscores of any script.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -86,7 +89,7 @@ def spans(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str =
         for k in keys.value:
             machine.add_word(k, k)
         machine.make_automaton()
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, text in zip(b[id_column], b[text_column]):
                 low = (text or "").lower()
@@ -136,12 +139,15 @@ def whole_words(texts: DataFrame, terms: DataFrame, id_column: str, text_column:
     shares = met.groupBy("h").agg(F.ceil(F.count("*") / TERMS_AT_ONCE).alias("parts"))
     asked = met.join(shares, "h").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts"))).groupBy("h", "part").agg(F.collect_list("term").alias("terms"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("h", pa.binary()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        for b in batches:
+        # A row has many terms: few rows at a time become Python's texts.
+        for b in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             out = []
-            for h, text, wanted in zip(b["h"], b["text"], b["terms"]):
+            for h, text, wanted in zip(*(b.column(c).to_pylist() for c in ("h", "text", "terms"))):
                 machine = ahocorasick.Automaton()
                 for t in wanted:
                     machine.add_word(t, len(t))
@@ -150,10 +156,10 @@ def whole_words(texts: DataFrame, terms: DataFrame, id_column: str, text_column:
                 found = [(e + 1 - n, e + 1) for e, n in machine.iter(low)]
                 found = [(s, e) for s, e in found if _edge(low, s) and _edge(low, e)]
                 if found:
-                    out.append((h, [s for s, _ in found], [e for _, e in found]))
-            yield pd.DataFrame(out, columns=["h", "starts", "ends"])
+                    out.append({"h": h, "starts": [s for s, _ in found], "ends": [e for _, e in found]})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    found = once.join(asked, "h").select("h", "text", "terms").mapInPandas(run, "h binary, starts array<int>, ends array<int>")
+    found = once.join(asked, "h").select("h", "text", "terms").mapInArrow(run, "h binary, starts array<int>, ends array<int>")
     if not bare.isEmpty():
         more = spans(once, bare, "h").groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("x"))
         found = found.unionByName(more.select("h", F.col("x.start").alias("starts"), F.col("x.end").alias("ends")))
@@ -163,7 +169,7 @@ def whole_words(texts: DataFrame, terms: DataFrame, id_column: str, text_column:
     kind = texts.schema[id_column].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for i, text, starts, ends in zip(b[id_column], b["text"], b["starts"], b["ends"]):
                 low = text.lower()
