@@ -515,6 +515,35 @@ def test_thresholds_come_from_rows_held_back(spark, monkeypatch):
     assert 10 < seen["rows"] < 100 and not seen["told"] & seen["trained"]
 
 
+def test_every_labelled_row_counts_in_the_fit(spark, monkeypatch):
+    """Toxic rows of a kind that only rows beyond a bounded sample have: in blocks, none is left out."""
+    texts = [(k, words(12, k) + (" grumblefoot" if k % 2 else ""), "en" if k % 3 else "de") for k in range(3600)]
+    docs = spark.createDataFrame(texts + texts[:50], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3600)], "doc_id long, toxic int")
+    counts, told = [], []
+    start, cal = toxicity._start, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "_start", lambda c, rng: counts.append(c) or start(c, rng))
+    monkeypatch.setattr(toxicity, "calibrate", lambda s, y, langs, **more: told.append(more["times"].sum()) or cal(s, y, langs, **more))
+    nets = [toxicity.fit_toxicity(docs.repartition(k), labels) for k in (2, 5)]
+    assert all(c[:, -1].sum() + n == 3600 for c, n in zip(counts, told)) and 600 < told[0] < 850 and len(told) == 2
+    assert (nets[0].embed == nets[1].embed).all() and (nets[0].out == nets[1].out).all() and nets[0].thresholds == nets[1].thresholds
+    assert set(nets[0].thresholds) == {"", "de", "en"}
+    told = [toxicity._forward(nets[0], toxicity.Buckets().of(t)) >= 0.5 for _, t, _ in texts[:300]]
+    assert np.mean([p == (k % 2 == 1) for k, p in enumerate(told)]) > 0.97
+    assert spark.sql("SHOW TABLES").where("tableName LIKE 'corbel_toxicity%'").count() == 0
+
+
+def test_thresholds_from_counts_equal_those_from_rows():
+    r = np.random.default_rng(3)
+    s, y = r.integers(0, 16, 400) / 16, r.integers(0, 2, 400).astype(float)
+    langs = np.where(r.random(400) < 0.5, "a", "b")
+    rows = {}
+    for key in zip(s, y, langs.tolist()):
+        rows[key] = rows.get(key, 0) + 1
+    n = [np.array([k[i] for k in rows]) for i in (0, 1)]
+    assert toxicity.calibrate(s, y, langs.tolist()) == toxicity.calibrate(*n, [k[2] for k in rows], times=np.array(list(rows.values())))
+
+
 def test_scorer_equals_the_network():
     texts = [toxicity.Buckets().of(words(40, k) + (" badword" if k % 2 else "")) for k in range(60)]
     net = toxicity.fit_network(texts, np.array([k % 2 for k in range(60)], float), rounds=3)
