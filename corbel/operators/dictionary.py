@@ -187,6 +187,8 @@ def holding(texts: DataFrame, terms: DataFrame, text_column: str = "text") -> Da
     """
     distinct = terms.select("term").where("term <> ''").distinct()
     parts = -(-distinct.count() // BROADCAST_TERMS)
+    if not parts:  # no text needs to be read
+        return texts.where("false").withColumn("term", F.lit(None).cast("string"))
     if parts > 1:
         parts += 1  # hashed parts are uneven
         found = [holding(texts, distinct.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k), text_column) for k in range(parts)]

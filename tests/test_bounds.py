@@ -1,10 +1,14 @@
 """Inputs beyond the sizes that operators ship to every task at once."""
 
+import os
 import random
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from corbel import queries
 from corbel.operators import cut, dictionary, resolve, vectors
@@ -118,3 +122,36 @@ def test_batches_come_in_pieces(spark):
     """A step takes few rows at once, whatever Spark's batches hold: 10,000 parsed texts were held together."""
     parts = list(cut.pieces(iter([pd.DataFrame({"k": range(1_000)}), pd.DataFrame({"k": []}), pd.DataFrame({"k": range(1_000, 1_300)})])))
     assert max(map(len, parts)) <= cut.PIECE and [k for p in parts for k in p["k"]] == list(range(1_300))
+
+
+def test_a_cue_has_one_of_its_words():
+    """Snippets skip a pattern whose words a text lacks; the same snippets come out as with every pattern searched."""
+    texts = [f"Foo bar. It has {x} in all of it! Then more." for x in (
+        "contraindicated with MAOI", "DO NOT USE any monoamine oxidase", "Vitamin  K antagonist", "P-gp", "co-administration", "Increases INR", "reduce levels", "TMP-SMX", "miconazole", "pregnancy", "severe hepatic impairment", "REMS", "serious hazards",
+        "life threatening things", "ſeizure", "ſerious riſks", "İndication", "5 %x", "for the prevention", "usual starting dose 5 mg. No", "initial dose of 3 g. No", "titrate up. No", "maximum daily dose 4 mg. No", "given with meals now. No", "nothing",
+    )]
+    intents = [*evidence._CUES, "dosage"]
+    found = [[evidence.intent_snippet_of(i, t) for i in intents] for t in texts]
+    looked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(evidence, "_present", lambda words, low: looked.append(words) or [""])
+        assert found == [[evidence.intent_snippet_of(i, t) for i in intents] for t in texts] and looked
+
+
+def test_snippets_are_cut_of_the_best_rows_only(spark, tmp_path):
+    """Without similarities a snippet is cut for no more than the rows that are shown."""
+    seen = str(tmp_path)
+
+    @F.pandas_udf("string")
+    def told(intents: pd.Series, texts: pd.Series) -> pd.Series:
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write("x" * len(texts))
+        return texts.str.slice(0, 20)
+
+    rows = spark.createDataFrame([("s1", "warnings", f"Warning: fatal case {k:04d}.", k) for k in range(400)], "spl_set_id string, section string, text string, ord long")
+    asked = spark.createDataFrame([("q", "what", "warning", "", "x", "s1")], "qid string, text string, intent string, phrase string, drug_name string, question_label string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(evidence, "intent_snippet", told)
+        found = evidence.collect_evidence(asked, rows).collect()
+    assert len(found) == 6
+    assert 0 < sum(os.path.getsize(f"{seen}/{f}") for f in os.listdir(seen)) <= 6
