@@ -161,7 +161,7 @@ def enrich(master: DataFrame, relations: DataFrame, arrays: DataFrame) -> DataFr
 
 def enriched(master: DataFrame, rows: DataFrame, arrays: DataFrame) -> DataFrame:
     """``enrich`` for relations that have the names of what they lead to."""
-    related = rows.groupBy(F.col("src_rxcui").alias("rxcui")).pivot("rela", list(RELATED)).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct(F.col("dst_rxcui").alias("rxcui"), "name", "tty")))))
+    related = rows.groupBy(F.col("src_rxcui").alias("rxcui")).pivot("rela", list(RELATED)).agg(sorted_set(F.struct(F.col("dst_rxcui").alias("rxcui"), "name", "tty")))
     for old, new in RELATED.items():
         related = related.withColumnRenamed(old, new)
     out = master.join(related, "rxcui", "left").join(arrays, "rxcui", "left")
