@@ -64,52 +64,113 @@ def label_to_drug(resolved: DataFrame, prefer_types: bool = False) -> DataFrame:
     return rows.groupBy("spl_set_id").agg(F.max_by(F.struct("c.rxcui", "c.tty"), "ord").alias("c")).select("spl_set_id", "c.rxcui", "c.tty")
 
 
+def _drugs(resolved: DataFrame) -> DataFrame:
+    """(spl_set_id, drugs): a label's drugs that have an id, with their places, the primary one first."""
+    every = F.transform(F.concat(F.array("primary"), "secondary"), lambda d, pos: F.struct(pos.alias("pos"), d["rxcui"].alias("rxcui"), d["tty"].alias("tty"), d["has_ndc"].alias("has_ndc"), d["via"].alias("via")))
+    return resolved.select("spl_set_id", F.filter(every, lambda d: d["rxcui"].isNotNull()).alias("drugs"))
+
+
+def _own_chunks(rows: DataFrame) -> bool:
+    """Whether no chunk is of several labels; if in doubt it is said to be."""
+    label = F.xxhash64("spl_set_id")
+    per = rows.groupBy(F.xxhash64("chunk_id")).agg(F.min(label).alias("least"), F.max(label).alias("most"))
+    return not per.agg(F.max(F.col("least") != F.col("most"))).first()[0]
+
+
 def crosswalk(mentions: DataFrame, resolved: DataFrame, min_conf: float = 0.0) -> DataFrame:
     """Mentions of conditions with the drugs of their label; of one chunk, drug, concept and link type the first.
 
     Rows lie by label after the join; as long as no chunk is of several labels
     they are told apart where they lie, and later steps by label find them so.
     """
-    every = F.transform(F.concat(F.array("primary"), "secondary"), lambda d, pos: F.struct(pos.alias("pos"), d["rxcui"].alias("rxcui"), d["tty"].alias("tty"), d["has_ndc"].alias("has_ndc"), d["via"].alias("via")))
-    drugs = resolved.select("spl_set_id", F.filter(every, lambda d: d["rxcui"].isNotNull()).alias("drugs"))
     rows = mentions.where(F.col("confidence") >= min_conf)
-    own = rows.groupBy(F.xxhash64("chunk_id")).agg(F.min("spl_set_id").alias("least"), F.max("spl_set_id").alias("most")).where("least <> most").isEmpty()
-    rows = rows.join(drugs, "spl_set_id").withColumn("d", F.explode("drugs")).select("*", "d.rxcui", "d.tty", "d.has_ndc", "d.via").withColumn("ord", F.struct("ord", "d.pos")).drop("drugs", "d")
+    own = _own_chunks(rows)
+    rows = rows.join(_drugs(resolved), "spl_set_id").withColumn("d", F.explode("drugs")).select("*", "d.rxcui", "d.tty", "d.has_ndc", "d.via").withColumn("ord", F.struct("ord", "d.pos")).drop("drugs", "d")
     return first_rows(rows, ["spl_set_id"] * own + ["chunk_id", "rxcui", "snomed_id", "link_type"])
 
 
 EDGE = ["rxcui", "snomed_id", "link_type"]
+#: What a row of support says; the first row of a group speaks for those that were left out, too.
+SAID = ["ord", "section", "text", "negated", "mentions", "confidence", "more"]
+
+
+def support_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """Each mention as a row of support: it counts once, and no further sections are known."""
+    return rows.select(*keys, "ord", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"), F.lit(1).cast("long").alias("mentions"), "confidence", F.lit(None).cast("array<string>").alias("more"))
+
+
+def merged_support(rows: DataFrame, keys: list[str], examples: int = 5) -> DataFrame:
+    """The first rows of support of each group; the first one has the group's mentions, greatest confidence and the sections of those left out.
+
+    Support of several batches adds up to what it would be if they had come in
+    one.  Groups are sorted, never held as a whole.
+    """
+    order = Window.partitionBy(*keys).orderBy("ord", "section", "text", "negated")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("at", F.row_number().over(order))
+    told = rows.withColumn("all_mentions", F.sum("mentions").over(every)).withColumn("most", F.max("confidence").over(every)).withColumn("lost", F.collect_set(F.when(F.col("at") > examples, F.col("section"))).over(every)).withColumn("known", F.collect_set("more").over(every))
+    first, more = F.col("at") == 1, F.array_union("lost", F.flatten("known"))
+    return told.where(F.col("at") <= examples).select(*keys, "ord", "section", "text", "negated", F.when(first, F.col("all_mentions")).otherwise(0).alias("mentions"), F.when(first, F.col("most")).alias("confidence"), F.when(first & ((F.size("lost") > 0) | (F.size("known") > 0)), more).alias("more"))
 
 
 def label_support(rows: DataFrame, examples: int = 5) -> DataFrame:
-    """What each label says for each edge: its sections, mentions, greatest confidence and first mentions; ``merged_support`` adds such rows up."""
-    shown = F.struct("ord", "section", F.col("match_text").alias("text"), F.col("qualifiers.negated").alias("negated"))
-    return rows.groupBy(*EDGE, "spl_set_id").agg(sorted_set(F.col("section")).alias("sections"), F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.slice(F.sort_array(F.collect_list(shown)), 1, examples).alias("shown"))
+    """What each label says for each edge: its first mentions as rows of support."""
+    return merged_support(support_rows(rows, *EDGE, "spl_set_id"), ["spl_set_id", *EDGE], examples)
 
 
-def merged_support(parts: DataFrame, examples: int = 5) -> DataFrame:
-    """The support of several batches of mentions as if they had come in one."""
-    return parts.groupBy(*EDGE, "spl_set_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), F.slice(F.sort_array(F.flatten(F.collect_list("shown"))), 1, examples).alias("shown")
-    )
+def drug_support(mentions: DataFrame, resolved: DataFrame, min_conf: float = 0.0, examples: int = 5) -> DataFrame:
+    """What each label says for each condition and link type, with its drugs; ``edge_support`` makes edges' support of it.
+
+    It says what ``label_support`` says of ``crosswalk``'s rows.  As long as
+    no chunk is of several labels, and no label is resolved twice, mentions
+    are told apart and added up before they meet the drugs.
+    """
+    rows = mentions.where(F.col("confidence") >= min_conf)
+    labels = resolved.groupBy(F.xxhash64("spl_set_id")).count().agg(F.max("count")).first()[0] or 0
+    if labels > 1 or not _own_chunks(rows):
+        found = label_support(crosswalk(mentions, resolved, min_conf), examples)
+        return found.withColumn("drugs", F.array(F.struct(F.col("ord.pos").alias("pos"), "rxcui"))).withColumn("ord", F.col("ord.ord")).select("spl_set_id", "snomed_id", "link_type", *SAID, "drugs")
+    names = F.concat(F.array("primary.rxcui"), F.col("secondary.rxcui"))
+    placed = F.arrays_zip(F.sequence(F.lit(0), F.size(names) - 1).alias("pos"), names.alias("rxcui"))
+    # Of a drug that comes twice the first place counts.
+    once = F.filter(placed, lambda d, k: F.array_position(names, d["rxcui"]) == k + 1)
+    drugs = resolved.select("spl_set_id", F.when(F.size(F.array_distinct(names)) == F.size(names), placed).otherwise(once).alias("drugs"))
+    keys = ["spl_set_id", "snomed_id", "link_type"]
+    # Rows are dealt by label once, for all that follows.
+    once = first_rows(support_rows(rows, *keys, "chunk_id").where("spl_set_id is not null"), ["spl_set_id", "chunk_id", "snomed_id", "link_type"])
+    return merged_support(once, keys, examples).join(drugs, "spl_set_id").select(*keys, *SAID, "drugs")
+
+
+def edge_support(support: DataFrame) -> DataFrame:
+    """The support of edges by that of labels with their drugs."""
+    rows = support.withColumn("d", F.explode("drugs")).where("d.rxcui is not null")
+    return rows.select("d.rxcui", "snomed_id", "link_type", "spl_set_id", F.struct("ord", "d.pos").alias("ord"), *SAID[1:])
 
 
 def composed(support: DataFrame, run_ts: str, labels: int = 50, examples: int = 5) -> DataFrame:
     """One row per edge from its labels' support, with its first labels and its first examples.
 
-    An edge may have any number of labels: only its first ones are brought
-    together.  Labels are numbered by their names and by their first mentions
-    after one shuffle by edge, and an edge's first examples are among those of
-    as many labels with the first mentions.
+    A label may have several rows, and an edge any number of labels: after one
+    shuffle by edge, mentions are numbered by their order and labels by their
+    names, and only the first ones are brought together.
     """
     edge = Window.partitionBy(*EDGE)
-    rows = support.withColumn("name_at", F.row_number().over(edge.orderBy(F.asc_nulls_last("spl_set_id")))).withColumn("first_at", F.row_number().over(edge.orderBy(F.col("shown")[0]["ord"])))
-    shown = F.transform("shown", lambda x: F.struct(x["ord"].alias("ord"), F.struct(F.col("spl_set_id"), x["section"].alias("section"), x["text"].alias("text"), x["negated"].alias("negated")).alias("example")))
-    found = rows.groupBy(*EDGE).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections")))).alias("sections"), sorted_set(F.when(F.col("name_at") <= labels, F.col("spl_set_id"))).alias("spl_set_ids"), F.count("spl_set_id").alias("spl_count"),
-        F.sum("mentions").alias("chunk_count"), F.round(F.max("confidence"), 3).alias("max_confidence"), F.slice(F.sort_array(F.flatten(F.collect_list(F.when(F.col("first_at") <= examples, shown)))), 1, examples).alias("examples"),
+    by_name = edge.orderBy(F.asc_nulls_last("spl_set_id"))
+    every = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = support.withColumn("first_at", F.row_number().over(edge.orderBy("ord", "spl_set_id", "section", "text", "negated")))
+    rows = rows.withColumn("row_at", F.row_number().over(by_name)).withColumn("name_at", F.dense_rank().over(by_name)).withColumn("before", F.lag("spl_set_id").over(by_name))
+    new = F.col("spl_set_id").isNotNull() & ~F.col("spl_set_id").eqNullSafe(F.col("before"))
+    shown = F.struct("first_at", F.struct("spl_set_id", "section", "text", "negated").alias("example"))
+    told = {
+        "sections": F.collect_set("section"), "more": F.collect_set("more"), "spl_set_ids": F.collect_list(F.when(new & (F.col("name_at") <= labels), F.col("spl_set_id"))), "spl_count": F.count(F.when(new, 1)),
+        "chunk_count": F.sum("mentions"), "max_confidence": F.max("confidence"), "examples": F.collect_list(F.when(F.col("first_at") <= examples, shown)),
+    }
+    found = rows.select(*EDGE, "row_at", *[c.over(every).alias(k) for k, c in told.items()]).where("row_at = 1")
+    sections = F.when(F.size("more") > 0, F.array_union("sections", F.flatten("more"))).otherwise(F.col("sections"))
+    return found.select(
+        *EDGE, F.sort_array(sections).alias("sections"), "spl_set_ids", "spl_count", "chunk_count", F.round("max_confidence", 3).alias("max_confidence"),
+        F.sort_array("examples")["example"].alias("examples"), F.lit(run_ts).alias("last_updated"),
     )
-    return found.withColumn("examples", F.transform("examples", lambda x: x["example"])).withColumn("last_updated", F.lit(run_ts))
 
 
 def rollup(rows: DataFrame, run_ts: str, labels: int = 50, examples: int = 5) -> DataFrame:

@@ -1,9 +1,10 @@
 """The crosswalk kept up batch by batch: each append writes what it adds, and reading adds it up.
 
 Below the folder, ``v<n>`` is what batch n added and ``c<n>`` what all batches
-up to n added together.  Each has the labels' ``support`` of edges with their
-first mentions, and the ``chunks`` it knows; chunks are written last, so a
-version without them isn't there, and a batch that failed may run again.
+up to n added together.  Each has the labels' ``support``, their first mentions
+of each condition with the drugs that they had then, and the ``chunks`` it
+knows; chunks are written last, so a version without them isn't there, and a
+batch that failed may run again.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corbel.operators.links import composed, crosswalk, label_support, merged_support
+from corbel.operators.cut import discard, materialize
+from corbel.operators.links import composed, drug_support, edge_support, merged_support
 from corbel.streaming.tables import _folder
 
 
@@ -54,13 +56,17 @@ class CrosswalkStore:
         if base and batch <= base[0]:
             return
         own = f"{self.path}/v{batch}"
-        chunks = mentions.select("chunk_id").where("chunk_id is not null").distinct()
+        chunks = materialize(mentions.select("chunk_id").where("chunk_id is not null").distinct(), "chunks")
+        fresh = mentions
         if parts := self._parts(batch):
             # Few chunks of a batch are known; the many known ones are scanned, not shuffled, if the batch is small.
             known = self._each(parts, "chunks").join(chunks, "chunk_id", "left_semi")
-            mentions = mentions.join(known, "chunk_id", "left_anti")
-        label_support(crosswalk(mentions, resolved, min_conf), self.examples).write.mode("overwrite").parquet(f"{own}/support")
+            fresh = materialize(mentions.where(F.col("confidence") >= min_conf).join(known, "chunk_id", "left_anti"), "mentions")
+        drug_support(fresh, resolved, min_conf, self.examples).write.mode("overwrite").parquet(f"{own}/support")
         chunks.write.mode("overwrite").parquet(f"{own}/chunks")
+        discard(chunks)
+        if parts:
+            discard(fresh)
 
     def compact(self) -> None:
         """Add all batches up in one version; those it holds are deleted after it is written."""
@@ -68,21 +74,18 @@ class CrosswalkStore:
         if len(parts) < 2:
             return
         own = f"{self.path}/c{versions[-1]}"
-        self._support(parts).write.mode("overwrite").parquet(f"{own}/support")
+        merged_support(self._each(parts, "support"), ["spl_set_id", "snomed_id", "link_type", "drugs"], self.examples).write.mode("overwrite").parquet(f"{own}/support")
         self._each(parts, "chunks").distinct().write.mode("overwrite").parquet(f"{own}/chunks")
         for p in parts:
             place, fs = _folder(self.spark, f"{self.path}/{p}")
             fs.delete(place, True)
 
-    def _support(self, parts: list[str]) -> DataFrame:
-        return merged_support(self._each(parts, "support"), self.examples)
-
     def edges(self, run_ts: str) -> DataFrame:
         """What ``rollup`` gives for the mentions of all batches.  A store without a batch is an error."""
         parts = self._parts()
         if not parts:
             raise ValueError(f"no batch has been added to {self.path}")
-        return composed(self._support(parts), run_ts, self.labels, self.examples)
+        return composed(edge_support(self._each(parts, "support")), run_ts, self.labels, self.examples)
 
 
 def keep_crosswalk(mentions: DataFrame, resolved: DataFrame, store: CrosswalkStore, checkpoint: str, min_conf: float = 0.0, **trigger) -> StreamingQuery:

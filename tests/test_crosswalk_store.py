@@ -82,3 +82,43 @@ def test_roll_up_shuffles_once_by_edge(spark):
     shared = spark.createDataFrame([("c", f"s{k}", "1", "t", "a", 0.9, "m", (True,), -k) for k in range(6)], MENTION)
     got = [(r["rxcui"], r["spl_set_id"]) for r in crosswalk(shared, resolved).orderBy("rxcui").collect()]
     assert got == [("r0", "s3"), ("r1", "s4"), ("r2", "s5"), ("x", "s5")]
+
+
+def _by_hand(mentions, drugs, labels, examples):
+    """The roll-up of mentions by loops, ``drugs`` being those of each label in their order."""
+    rows = sorted((m[8], pos, m[1], m[4], m[0], d, m[2], m[3], m[5], m[7][0]) for m in mentions for pos, d in enumerate(drugs[m[1]]))
+    seen, edges = set(), {}
+    for o, _, label, section, chunk, *edge, confidence, negated in rows:
+        if (key := (chunk, *edge)) not in seen:
+            seen.add(key)
+            edges.setdefault(tuple(edge), []).append((label, section, confidence, negated))
+    return {e: (sorted({r[1] for r in x}), sorted({r[0] for r in x})[:labels], len({r[0] for r in x}), len(x), max(r[2] for r in x), [(r[0], r[1], r[3]) for r in x[:examples]]) for e, x in edges.items()}
+
+
+@pytest.mark.parametrize("shared, twice", [(False, False), (True, False), (False, True)])
+def test_support_is_kept_once_for_all_drugs(spark, tmp_path, shared, twice):
+    """Labels with many mentions of a kind, a drug that comes twice, chunks of several labels, labels that are resolved twice."""
+    draw = random.Random(5)
+    rows = []
+    for k in range(300):
+        label = draw.randrange(5)
+        rows.append((f"c{k // 6 % 50}" if shared else f"c{label}-{k // 2}", f"s{label}", draw.choice("12"), "warning", draw.choice("abcdefgh"), round(draw.random(), 2), "m", (draw.choice([True, False]),), k))
+    every = spark.createDataFrame(rows, MENTION)
+    drugs = {f"s{k}": [f"r{k % 2}", "x", "x", f"y{k}", f"z{k}"] for k in range(5)}
+    one = lambda x: (x, "SCD", True, "spl_set_id", 165)
+    kind = "struct<rxcui:string,tty:string,has_ndc:boolean,via:string,score:int>"
+    resolved = spark.createDataFrame([(s, one(d[0]), [one(x) for x in [*d[1:], None]]) for s, d in drugs.items()] * (1 + twice), f"spl_set_id string, primary {kind}, secondary array<{kind}>")
+    store = CrosswalkStore(spark, str(tmp_path / "s"), examples=2, labels=3)
+    part = lambda k: every.where(F.pmod(F.crc32("chunk_id"), F.lit(2)) == k)
+    for k in range(2):
+        store.append(part(k), resolved)
+    want = _by_hand(rows, drugs, 3, 2)
+    for compacted in range(2):
+        got = {tuple(r[k] for k in EDGE): (r["sections"], r["spl_set_ids"], r["spl_count"], r["chunk_count"], r["max_confidence"], [(e["spl_set_id"], e["section"], e["negated"]) for e in r["examples"]]) for r in store.edges(TS).collect()}
+        assert got == want
+        if not shared and not twice:
+            kept = spark.read.parquet(str(tmp_path / "s" / ("c1" if compacted else "v[01]") / "support"))
+            # Five labels, two conditions, two mentions of each; drugs don't multiply them.
+            assert kept.count() == 5 * 2 * 2 * (1 if compacted else 2)
+        store.compact()
+    assert "ObjectHashAggregate" not in store.edges(TS)._jdf.queryExecution().executedPlan().toString()
